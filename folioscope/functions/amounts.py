@@ -108,7 +108,11 @@ def describe(text: Column, document_type: Column) -> Column:
 def extraction_confidence(
     amount: Column, currency: Column, date: Column, document_type: Column, as_of: Column
 ) -> Column:
-    """Points for amount, currency, date and known type; a date equal to today counts half."""
+    """Points for amount, currency, date and known type.
+
+    A stated date equal to today counts half; an unstated one stands for the present moment,
+    never midnight, and counts in full.
+    """
     points = (
         F.when(amount > 0, 0.4).otherwise(0.0)
         + F.when(currency != "EUR", 0.2).otherwise(0.1)
@@ -137,14 +141,11 @@ def transaction(text: Column, document_type: Column, document_id: Column, as_of:
                 category.alias("category"),
                 subcategory.alias("subcategory"),
                 document_id.alias("document_id"),
-                extraction_confidence(known_amount, currency, stated_or_null(stated), document_type, as_of)
-                .alias("confidence"),
+                extraction_confidence(known_amount, currency, stated, document_type, as_of).alias(
+                    "confidence"
+                ),
             )
 
-        def stated_or_null(stated: Column) -> Column:
-            # an unstated date stands for "now", which never equals midnight of today
-            return F.coalesce(stated, F.lit("0001-01-01").cast("date"))
-
         return let(
             F.struct(extract_amount(t).alias("amount"), find_money_date(t).alias("date")), from_found
         )

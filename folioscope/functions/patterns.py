@@ -7,6 +7,7 @@ property classes that both engines read alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -57,8 +58,22 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + portable(pattern)
 
 
+def literal_start(pattern: str) -> str:
+    """Plain text every match of ``pattern`` must begin with ('' if there is none)."""
+    depth = 0
+    for ch in re.sub(r"\\.|\[[^]]*\]", "", pattern):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            return ""
+    start = re.match(r"[^\W\d_]*(?: [^\W\d_]+)*", pattern).group()
+    return start[:-1] if pattern[len(start) : len(start) + 1] in ("?", "*", "{") else start
+
+
 def has(col: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return col.rlike(java(pattern, ignore_case))
+    """Whether ``pattern`` matches; a plain substring test goes first where it can decide."""
+    matched = col.rlike(java(pattern, ignore_case))
+    start = "" if ignore_case else literal_start(pattern)
+    return col.contains(start) & matched if len(start) > 1 else matched
 
 
 def has_any(col: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:

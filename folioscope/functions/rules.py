@@ -24,7 +24,8 @@ def rule_scores(plain: Column) -> dict[str, Column]:
     return {
         kind: count_contained(plain, words)
         + reduce(
-            lambda a, b: a + b, [F.when(has(plain, p), 2).otherwise(0) for p in lx.RULE_PATTERNS[kind]]
+            lambda a, b: a + b,
+            [F.when(has(plain, p, False), 2).otherwise(0) for p in lx.RULE_PATTERNS[kind]],
         )
         for kind, words in lx.RULE_KEYWORDS.items()
     }
@@ -241,7 +242,7 @@ def definitive_override(text: Column, prediction: Column, scores: Column) -> Col
             *[
                 F.when(
                     F.map_contains_key(scores, kind)
-                    & ((prediction == kind) | has_any(low, patterns)),
+                    & ((prediction == kind) | has_any(low, patterns, False)),
                     F.lit(kind),
                 )
                 for kind, patterns in lx.FORCING_MARKERS.items()
