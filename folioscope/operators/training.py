@@ -70,11 +70,13 @@ def tfidf_features(
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    n = df.agg(F.count(F.lit(1)).alias("docs"))
+    one = F.lit(1).alias("_one")
+    n = df.agg(F.count(F.lit(1)).alias("docs")).select("docs", one)
     vocabulary = (
         counts.groupBy("term")
         .agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(n))  # one row
+        .withColumn("_one", F.lit(1))
+        .join(F.broadcast(n), "_one")  # one row
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
         .orderBy(F.desc("uses"), "term")
         .limit(max_features)
