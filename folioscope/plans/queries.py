@@ -1,0 +1,222 @@
+"""Every registered query: (session, table folder) to DataFrame, over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import amounts, dates, fields, labels, responses, rules, text
+from folioscope.functions import lexicon as lx
+from folioscope.plans.business_docs import (
+    as_of,
+    business_documents,
+    evidence_scores,
+    labelled_transactions,
+    money,
+    order_fields,
+    orders_with_customers,
+    table,
+    transactions,
+)
+from folioscope.operators import corpus, detect, finance, quality, training
+from folioscope.session import scratch_dir
+from folioscope.sources import files
+from folioscope.sources.templates import GENERAL_KINDS
+from folioscope.streaming import ingest, totals
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+TEXT = F.col("text")
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def joined(array: Column) -> Column:
+    return F.array_join(array, "|")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    doubles = [f.name for f in df.schema if f.dataType.simpleString() == "double"]
+    return df.withColumns({c: F.round(c, digits) for c in doubles})
+
+
+# --- text -----------------------------------------------------------------------------------
+
+
+@query
+def clean_text_basic(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.clean_text_basic(TEXT).alias("text"))
+
+
+@query
+def clean_training_text(spark, sf_dir):
+    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_training_text(TEXT).alias("text"))
+    return cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
+
+
+@query
+def clean_punctuation(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.clean_punctuation(TEXT).alias("text"))
+
+
+@query
+def clean_text_multilingual(spark, sf_dir):
+    both = documents(spark, sf_dir).select("doc_id", "text").unionByName(
+        business_documents(spark, sf_dir).select(F.col("doc_id") + 1_000_000_000, "text").toDF("doc_id", "text")
+    )
+    cleaned = both.select("doc_id", text.clean_text_multilingual(TEXT).alias("text"))
+    return cleaned.withColumn("too_short", text.is_too_short(TEXT))
+
+
+@query
+def clean_for_excerpt(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(TEXT).alias("text"))
+
+
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, text): two receipts in three are JSON objects, the rest plain text."""
+    f = order_fields()
+    key = F.col("o_orderkey")
+    item = lambda i: F.concat(
+        F.lit('{"name":"Item '), i.cast("string"), F.lit('","quantity":'), i.cast("string"),
+        F.lit(',"price":"'), f["unit"], F.lit('"}'),
+    )
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.pmod(key, F.lit(13)) + 1), item), ",")
+    as_json = F.concat(
+        F.lit('{"company":"'), f["customer"], F.lit('","date":"'), f["date"], F.lit('","total":'),
+        F.when(F.pmod(key, F.lit(2)) == 0, F.concat(F.lit('"'), f["amount"], F.lit('"'))).otherwise(f["quantity"]),
+        F.lit(',"items":['), items, F.lit('],"cashier_name":"'), f["segment"], F.lit('","till":'),
+        f["quantity"], F.lit(',"note":"","nested":{"a":1}}'),
+    )
+    plain = F.concat(F.lit("Receipt "), f["key"], F.lit(" Total "), f["amount"])
+    broken = F.concat(F.lit('{"company": '), f["customer"])
+    kind = F.pmod(key, F.lit(7))
+    body = F.when(kind == 0, plain).when(kind == 1, broken).otherwise(as_json)
+    return orders_with_customers(spark, sf_dir).select(
+        key.alias("doc_id"), F.col("c_mktsegment").alias("label"), body.alias("text")
+    )
+
+
+@query
+def json_receipt_to_text(spark, sf_dir):
+    return receipts(spark, sf_dir).select("doc_id", text.json_receipt_to_text(TEXT).alias("text"))
+
+
+@query
+def apply_cleaned(spark, sf_dir):
+    return receipts(spark, sf_dir).select(
+        "doc_id", "label", text.apply_cleaned(TEXT, text.json_receipt_to_text(TEXT)).alias("text")
+    )
+
+
+@query
+def unwrap_json_text(spark, sf_dir):
+    kind = F.pmod("doc_id", F.lit(3))
+    wrapped = F.when(kind == 0, F.to_json(F.struct("doc_id", "text"))).when(kind == 1, F.concat(F.lit('{"text" '), TEXT))
+    return documents(spark, sf_dir).select(
+        "doc_id", text.unwrap_json_text(wrapped.otherwise(TEXT)).alias("text")
+    )
+
+
+@query
+def strip_accents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.strip_accents(TEXT).alias("text"))
+
+
+@query
+def tokenize_filter(spark, sf_dir):
+    clean = text.clean_text_multilingual(TEXT)
+    return documents(spark, sf_dir).select(
+        "doc_id", F.array_join(text.tokenize_filter(clean), " ").alias("tokens")
+    )
+
+
+@query
+def boost_keywords(spark, sf_dir):
+    return business_documents(spark, sf_dir).select("doc_id", text.boost_keywords(TEXT).alias("text"))
+
+
+@query
+def truncate_for_embedding(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.truncate_for_embedding(TEXT).alias("text"))
+
+
+@query
+def truncate_at_word(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.truncate_at_word(TEXT, 200).alias("text"))
+
+
+@query
+def prepare_report_text(spark, sf_dir):
+    kept = documents(spark, sf_dir).filter(text.has_report_text(TEXT))
+    return kept.select("doc_id", text.prepare_report_text(TEXT).alias("text"))
+
+
+# --- labels ---------------------------------------------------------------------------------
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, raw): label-like strings put together from columns of part and orders."""
+    kinds = F.array(*[F.lit(x) for x in (
+        "Invoice ", "billing record", "Payment slip", "service agreement", "Purchase Order", "delivery_note",
+        "bank statement", "Expense Report", "salary sheet", "Legal letter", "email form", "quotation", "",
+    )])
+    part = table(spark, sf_dir, "part")
+    raw = F.concat_ws(" ", F.get(kinds, F.pmod("p_partkey", F.lit(13)).cast("int")), F.when(F.col("p_size") > 25, F.col("p_type")))
+    return part.select(F.col("p_partkey").alias("id"), raw.alias("raw"))
+
+
+@query
+def map_label_standard(spark, sf_dir):
+    return raw_labels(spark, sf_dir).select("id", "raw", labels.map_label_standard(F.col("raw")).alias("label"))
+
+
+@query
+def map_label_commercial(spark, sf_dir):
+    return raw_labels(spark, sf_dir).select("id", labels.map_label_commercial(F.col("raw")).alias("label"))
+
+
+@query
+def map_label_company(spark, sf_dir):
+    return raw_labels(spark, sf_dir).select("id", labels.map_label_company(F.col("raw")).alias("label"))
+
+
+@query
+def infer_label(spark, sf_dir):
+    docs = business_documents(spark, sf_dir)
+    kind = F.pmod("doc_id", F.lit(5))
+    inferred = labels.infer_label(
+        label=F.when(kind == 0, F.upper("label")),
+        category=F.when(kind == 1, F.concat(F.lit(" "), F.col("label"))),
+        file_name=F.when(kind == 2, F.concat(F.col("label"), F.lit("_17.PDF"))),
+        text=TEXT,
+    )
+    return docs.select("doc_id", inferred.alias("label"))
+
+
+@query
+def merge_and_drop_small(spark, sf_dir):
+    docs = raw_labels(spark, sf_dir).select(
+        "id", F.when(F.col("raw") == "quotation", "purchase_orders").otherwise(F.col("raw")).alias("label")
+    )
+    return corpus.merge_and_drop_small(docs, min_rows=60)
+
+
+@query
+def lint_labels(spark, sf_dir):
+    return quality.lint_labels(raw_labels(spark, sf_dir).select(F.col("raw").alias("label")))
+
+
+def financial_report_by_rules(spark, sf_dir):
+    docs = business_documents(spark, sf_dir)
+    return finance.financial_report(transactions(docs), as_of(), 365)

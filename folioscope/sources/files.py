@@ -70,7 +70,8 @@ def _first_files(spark: SparkSession, folder: str, glob: str, limit: int) -> Dat
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(folder)
-        .select("path", F.regexp_replace("path", "[^/]*$", "").alias("dir"))
+        .select(F.col("_metadata.file_path").alias("path"))
+        .withColumn("dir", F.regexp_replace("path", "[^/]*$", ""))
     )
     rank = F.row_number().over(W.partitionBy("dir").orderBy("path"))
     return listed.withColumn("rank", rank).filter(F.col("rank") <= limit).select("path")
@@ -153,7 +154,7 @@ def inventory_sources(spark: SparkSession, folder: str) -> DataFrame:
 def decode_bytes(content: Column) -> Column:
     """Text of a byte column: UTF-8 with or without mark, else Latin-1."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), "^﻿", "")
+    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), "^\uFEFF", "")
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
