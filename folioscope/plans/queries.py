@@ -217,6 +217,358 @@ def lint_labels(spark, sf_dir):
     return quality.lint_labels(raw_labels(spark, sf_dir).select(F.col("raw").alias("label")))
 
 
+
+# --- rules ----------------------------------------------------------------------------------
+
+
+@query
+def rule_score(spark, sf_dir):
+    plain = business_documents(spark, sf_dir).withColumn("plain", text.strip_accents(TEXT))
+    points = rules.rule_scores(F.col("plain"))
+    return plain.select("doc_id", *[c.alias(f"points_{k}") for k, c in points.items()]).select(
+        "*", rules.best_rule({k: F.col(f"points_{k}") for k in points}).alias("rule")
+    )
+
+
+@query
+def decision_list(spark, sf_dir):
+    clean = text.clean_text_multilingual(TEXT)
+    return business_documents(spark, sf_dir).select(
+        "doc_id", "label", rules.decision_list(clean).alias("document_type")
+    )
+
+
+@query
+def keyword_vote(spark, sf_dir):
+    vote = rules.keyword_vote(TEXT)
+    return business_documents(spark, sf_dir).select("doc_id", vote.alias("v")).select(
+        "doc_id",
+        "v.prediction",
+        F.round("v.confidence", 6).alias("confidence"),
+        *[F.round(F.col("v.confidence_scores")[c], 6).alias(f"score_{c}") for c in ("invoice", "purchase_order", "unknown")],
+    )
+
+
+def score_columns(scores: str = "scores") -> list[Column]:
+    return [
+        F.round(F.try_element_at(scores, F.lit(c)), 6).alias(f"score_{c}") for c in lx.COMMERCIAL_TYPES
+    ]
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence_scores(business_documents(spark, sf_dir))
+
+
+@query
+def adjust_scores(spark, sf_dir):
+    adjusted = rules.adjust_scores(F.col("scores"), rules.evidence(TEXT))
+    return scored(spark, sf_dir).select("doc_id", adjusted.alias("scores")).select("doc_id", *score_columns())
+
+
+@query
+def threshold_and_restrict(spark, sf_dir):
+    picked = rules.threshold_and_restrict(F.col("scores"))
+    return scored(spark, sf_dir).select("doc_id", picked.alias("p")).select(
+        "doc_id", "p.prediction", F.col("p.confidence_scores").alias("scores")
+    ).select("doc_id", "prediction", *score_columns())
+
+
+@query
+def definitive_override(spark, sf_dir):
+    top = rules.top_entry(F.col("scores"))["key"]
+    return scored(spark, sf_dir).select(
+        "doc_id", rules.definitive_override(TEXT, top, F.col("scores")).alias("prediction")
+    )
+
+
+@query
+def ambiguity_flag(spark, sf_dir):
+    top = rules.top_entry(F.col("scores"))["key"]
+    out = rules.ambiguity_flag(top, F.col("scores"), rules.evidence(TEXT))
+    return scored(spark, sf_dir).select("doc_id", out.alias("o")).select(
+        "doc_id", "o.prediction", F.col("o.confidence_scores").alias("scores")
+    ).select("doc_id", "prediction", *score_columns())
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, text, prediction, confidence, confidence_scores) of the score steps."""
+    return scored(spark, sf_dir).select(
+        "doc_id", "label", "text", rules.predict(TEXT, F.col("scores")).alias("p")
+    ).select("doc_id", "label", "text", "p.*")
+
+
+@query
+def predict(spark, sf_dir):
+    return predicted(spark, sf_dir).select(
+        "doc_id", "prediction", F.round("confidence", 6).alias("confidence"), *score_columns("confidence_scores")
+    )
+
+
+@query
+def hybrid_decision(spark, sf_dir):
+    rule = rules.rule_score(F.lower(TEXT))
+    decided = rules.hybrid_decision(F.col("prediction"), F.col("confidence"), rule)
+    return predicted(spark, sf_dir).select("doc_id", decided.alias("d")).select("doc_id", "d.*")
+
+
+@query
+def final_prediction(spark, sf_dir):
+    listed = rules.decision_list(text.clean_text_multilingual(TEXT))
+    rows = predicted(spark, sf_dir).withColumn("rule", listed)
+    return rows.select(
+        "doc_id",
+        "rule",
+        rules.final_prediction(
+            F.col("rule"), F.col("prediction"), F.col("confidence"), F.col("confidence_scores")
+        ).alias("final_prediction"),
+    )
+
+
+@query
+def confidence_flag(spark, sf_dir):
+    return predicted(spark, sf_dir).select(
+        "doc_id",
+        rules.confidence_flag(F.col("confidence")).alias("flag"),
+        rules.confidence_flag_two_level(F.col("confidence")).alias("older_flag"),
+    )
+
+
+@query
+def commercial_decision(spark, sf_dir):
+    listed = rules.decision_list(text.clean_text_multilingual(TEXT))
+    prediction, confidence = F.col("prediction"), F.col("confidence")
+    rows = predicted(spark, sf_dir).withColumn("rule", listed)
+    hybrid = rules.hybrid_decision(prediction, confidence, rules.rule_score(F.lower(TEXT)))
+    return rows.withColumn("hybrid", hybrid).select(
+        "doc_id",
+        rules.commercial_decision(F.col("rule"), prediction, confidence, F.col("hybrid")).alias("a"),
+        rules.commercial_decision(F.col("rule"), prediction, confidence, None).alias("b"),
+    ).select(
+        "doc_id",
+        F.col("a.document_type").alias("hybrid_type"),
+        F.round("a.confidence", 6).alias("hybrid_confidence"),
+        F.col("b.document_type").alias("model_type"),
+        F.round("b.confidence", 6).alias("model_confidence"),
+    )
+
+
+# --- fields ---------------------------------------------------------------------------------
+
+
+def spelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, raw): order dates in ten spellings, some of them unreadable."""
+    day = F.col("o_orderdate").cast("date")
+    f = order_fields()
+    fmt = lambda p: F.date_format(day, p)
+    spellings = F.array(
+        f["date"], f["long_date"], fmt("MMMM d, yyyy"), f["iso_date"], f["french_date"],
+        fmt("d.M.yy"), fmt("yyyy/MM/dd"), fmt("M/d/yyyy"), fmt("dd-MM-yyyy"), F.concat(F.lit("on "), f["date"]),
+    )
+    return orders_with_customers(spark, sf_dir).select(
+        F.col("o_orderkey").alias("id"),
+        F.get(spellings, F.pmod("o_orderkey", F.lit(10)).cast("int")).alias("raw"),
+    )
+
+
+@query
+def normalize_date(spark, sf_dir):
+    return spelled_dates(spark, sf_dir).select(
+        "id",
+        dates.normalize_date(F.col("raw")).alias("iso"),
+        dates.normalize_date(F.col("raw"), True).alias("iso_full_months"),
+    )
+
+
+@query
+def parse_date_formats(spark, sf_dir):
+    parsed = dates.parse_date_formats(F.col("raw"), as_of())
+    return spelled_dates(spark, sf_dir).select("id", F.date_format(parsed, "yyyy-MM-dd").alias("day"))
+
+
+@query
+def extract_client(spark, sf_dir):
+    name, address = fields.extract_client(TEXT)
+    return business_documents(spark, sf_dir).select(
+        "doc_id", name.alias("client_name"), address.alias("client_address")
+    )
+
+
+@query
+def response_projection(spark, sf_dir):
+    name, address = fields.extract_client(TEXT)
+    found = {"date": dates.extract_dates(TEXT)[0], "client_name": name, "client_address": address}
+    return detect.response_projection(business_documents(spark, sf_dir), found).drop("text")
+
+
+@query
+def extract_dates(spark, sf_dir):
+    date, due = dates.extract_dates(TEXT)
+    return business_documents(spark, sf_dir).select("doc_id", date.alias("date"), due.alias("due_date"))
+
+
+@query
+def extract_fields_by_type(spark, sf_dir):
+    found = fields.extract_fields_by_type(TEXT, F.col("label"))
+    return business_documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query
+def analyze_invoice(spark, sf_dir):
+    cleaned = business_documents(spark, sf_dir).select(
+        "doc_id", text.clean_text_multilingual(TEXT).alias("clean")
+    )
+    return cleaned.select("doc_id", *[c.alias(n) for n, c in fields.analyze_invoice(F.col("clean")).items()])
+
+
+@query
+def extract_key_info(spark, sf_dir):
+    found = fields.extract_key_info(TEXT)
+    return business_documents(spark, sf_dir).select("doc_id", *[joined(c).alias(n) for n, c in found.items()])
+
+
+@query
+def sentence_scores(spark, sf_dir):
+    clean = documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(TEXT).alias("clean"))
+    split = clean.select("doc_id", F.posexplode(fields.sentences(F.col("clean"))).alias("at", "sentence"))
+    return split.select("doc_id", "at", "sentence", fields.sentence_score(F.col("sentence")).alias("score"))
+
+
+@query
+def smart_excerpt(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", fields.smart_excerpt(TEXT).alias("excerpt"))
+
+
+@query
+def extract_amount(spark, sf_dir):
+    amount = amounts.extract_amount(TEXT)
+    rows = business_documents(spark, sf_dir).select("doc_id", "text", amount.alias("found"))
+    return rows.select(
+        "doc_id",
+        F.coalesce("found", F.lit(0.0)).alias("amount"),
+        amounts.amount_currency(F.col("found"), TEXT).alias("currency"),
+    )
+
+
+@query
+def identify_currency(spark, sf_dir):
+    both = documents(spark, sf_dir).select("doc_id", "text").unionByName(
+        business_documents(spark, sf_dir).select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text")
+    )
+    return both.select("doc_id", amounts.identify_currency(TEXT).alias("currency"))
+
+
+@query
+def extract_date(spark, sf_dir):
+    day = dates.extract_date(TEXT, as_of())
+    return business_documents(spark, sf_dir).select("doc_id", F.date_format(day, "yyyy-MM-dd").alias("day"))
+
+
+@query
+def categorize(spark, sf_dir):
+    category, subcategory = amounts.categorize(F.col("label"))
+    return business_documents(spark, sf_dir).select(
+        "doc_id", category.alias("category"), subcategory.alias("subcategory")
+    )
+
+
+@query
+def describe(spark, sf_dir):
+    return business_documents(spark, sf_dir).select(
+        "doc_id", amounts.describe(TEXT, F.col("label")).alias("description")
+    )
+
+
+@query
+def extraction_confidence(spark, sf_dir):
+    return labelled_transactions(spark, sf_dir).select(
+        F.col("document_id").cast("bigint").alias("doc_id"), F.round("confidence", 4).alias("confidence")
+    )
+
+
+def plain_dates(df: DataFrame) -> DataFrame:
+    return df.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query
+def to_transactions(spark, sf_dir):
+    rows = transactions(business_documents(spark, sf_dir))
+    return plain_dates(rows).withColumn("confidence", F.round("confidence", 4))
+
+
+@query
+def largest_amount(spark, sf_dir):
+    f = order_fields()
+    rows = orders_with_customers(spark, sf_dir).select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.concat(F.lit("amount "), f["amount"], F.lit(" "), F.get(F.array(*[F.lit(c) for c in ("EUR", "usd", "TND", "dollars")]), F.pmod("o_orderkey", F.lit(4)).cast("int"))).alias("info"),
+        F.concat(F.col("c_name"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, ", ").otherwise(" "), f["commas"]).alias("text"),
+    )
+    info = F.col("info")
+    return rows.select(
+        "doc_id",
+        F.round(amounts.largest_amount(TEXT, info), 2).alias("amount"),
+        F.round(amounts.largest_amount(TEXT, info, False), 2).alias("amount_commas_skipped"),
+    )
+
+
+def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, response): order facts as model answers, well formed and broken in five ways."""
+    f = order_fields()
+    key = F.col("o_orderkey")
+
+    def body(amount: Column, end: str = "}") -> Column:
+        return F.concat(
+            F.lit('{"document_type": "invoice", "amount": '), amount, F.lit(', "currency": "EUR", "date": "'),
+            f["iso_date"], F.lit('", "description": "order '), f["key"],
+            F.lit('", "category": "income", "subcategory": "sales_revenue", "confidence": 0.9' + end),
+        )
+
+    form = F.pmod(key, F.lit(6))
+    response = (
+        F.when(form == 0, body(f["amount"]))
+        .when(form == 1, F.concat(F.lit("Here it is:\n```json\n"), body(f["amount"]), F.lit("\n```")))
+        .when(form == 2, body(f["commas"]))
+        .when(form == 3, body(f["amount"], ",}"))
+        .when(form == 4, F.replace(body(f["amount"]), F.lit('"'), F.lit("'")))
+        .otherwise(body(f["amount"], ""))
+    )
+    return orders_with_customers(spark, sf_dir).select(key.alias("id"), response.alias("response"))
+
+
+@query
+def repair_json_response(spark, sf_dir):
+    typed = responses.repair_json_response(F.col("response"), as_of())
+    return stored_responses(spark, sf_dir).select("id", typed.alias("t")).select("id", "t.*")
+
+
+def broken_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, response): report JSON cut off before its end."""
+    f = order_fields()
+    whole = F.split_part(f["amount"], F.lit("."), F.lit(1))
+    return orders_with_customers(spark, sf_dir).select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(
+            F.lit('{"bilan_comptable": {"actif": {"total_actif": '), whole, F.lit('}, "passif": {"total_passif": '), whole,
+            F.lit('}}, "compte_de_resultat": {"chiffre_affaires": '), f["commas"], F.lit(', "resultat_net": '), f["tax"],
+            F.lit('}, "ratios_financiers": {"marge_nette_percent": '), f["quantity"], F.lit('.5, "liquidite_generale": 2},'),
+            F.lit(' "points_forts": ["a '), f["key"], F.lit('", "b", "c", "d"], "points_faibles": [], "recommandations": ["x"],'),
+            F.lit(' "details_transactions": [{"montant": '), f["subtotal"], F.lit(', "libelle": "'), f["customer"],
+            F.lit('"}, {"montant": '), f["quantity"], F.lit(', "libelle": "second"}'),
+        ).alias("response"),
+    )
+
+
+@query
+def regex_report_fields(spark, sf_dir):
+    found = responses.regex_report_fields(F.col("response"))
+    rows = broken_reports(spark, sf_dir).select("id", *[c.alias(n) for n, c in found.items()])
+    notes = {n: joined(F.col(n)) for n in lx.REPORT_NOTES}
+    details = F.transform(
+        "details_transactions", lambda t: F.concat_ws("/", t["document_id"], t["libelle"], F.round(t["montant"] * 100).cast("bigint"))
+    )
+    return rows.withColumns(notes).withColumn("details_transactions", joined(details))
+
+
 def financial_report_by_rules(spark, sf_dir):
     docs = business_documents(spark, sf_dir)
     return finance.financial_report(transactions(docs), as_of(), 365)
