@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,17 +75,49 @@ def has(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     return col.contains(start) & matched if len(start) > 1 else matched
 
 
+def sql_text(value: str) -> str:
+    """Raw SQL string literal."""
+    if "'" not in value:
+        return f"r'{value}'"
+    if '"' not in value:
+        return f'r"{value}"'
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_has(name: str, pattern: str, ignore_case: bool = True) -> str:
+    matched = f"{name} rlike {sql_text(java(pattern, ignore_case))}"
+    start = "" if ignore_case else literal_start(pattern)
+    return f"(contains({name}, {sql_text(start)}) and {matched})" if len(start) > 1 else f"({matched})"
+
+
+def sql_contains(name: str, words: Iterable[str]) -> str:
+    return "(" + " or ".join(f"contains({name}, {sql_text(w)})" for w in words) + ")"
+
+
+def sql_count(name: str, words: Iterable[str]) -> str:
+    return "(" + " + ".join(f"cast(contains({name}, {sql_text(w)}) as int)" for w in words) + ")"
+
+
+def let_sql(value: Column, body: str, name: str = "t") -> Column:
+    """Evaluate ``value`` once and hand it to a SQL expression under ``name``.
+
+    Word lists and pattern lists become one expression text instead of thousands of column
+    objects, and long ones stay out of generated code, whose methods are limited in size.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
 def has_any(col: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:
-    return reduce(lambda a, b: a | b, [has(col, p, ignore_case) for p in patterns])
+    return let_sql(col, " or ".join(sql_has("t", p, ignore_case) for p in patterns))
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
+    return let_sql(col, sql_contains("t", words))
 
 
 def count_contained(col: Column, words: Iterable[str]) -> Column:
     """How many of ``words`` occur in ``col``."""
-    return reduce(lambda a, b: a + b, [col.contains(w).cast("int") for w in words])
+    return let_sql(col, sql_count("t", words))
 
 
 def first_group(col: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:

@@ -5,78 +5,79 @@ Scores travel as ``map<string,double>`` columns, entries in class order.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import lexicon as lx
-from folioscope.functions.patterns import contains_any, count_contained, has, has_any, let
+from folioscope.functions.patterns import (
+    count_contained,
+    let,
+    let_sql,
+    sql_contains,
+    sql_count,
+    sql_has,
+)
 
 CONFIDENCE_THRESHOLD = 0.10
 
 
-def rule_scores(plain: Column) -> dict[str, Column]:
-    """Points per type on accent-free text: 1 per keyword, 2 per strong pattern.
+def rule_points(plain: Column) -> Column:
+    """Struct of points per type on accent-free text: 1 per keyword, 2 per strong pattern.
 
     Catalogue words keep their accents, so accented ones never match.
     """
-    return {
-        kind: count_contained(plain, words)
-        + reduce(
-            lambda a, b: a + b,
-            [F.when(has(plain, p, False), 2).otherwise(0) for p in lx.RULE_PATTERNS[kind]],
-        )
-        for kind, words in lx.RULE_KEYWORDS.items()
-    }
+    fields = []
+    for kind, words in lx.RULE_KEYWORDS.items():
+        strong = " + ".join(f"2 * cast({sql_has('t', p, False)} as int)" for p in lx.RULE_PATTERNS[kind])
+        fields.append(f"{sql_count('t', words)} + {strong} as {kind}")
+    return let_sql(plain, f"struct({', '.join(fields)})")
 
 
-def best_rule(scores: dict[str, Column], min_score: int = 2) -> Column:
+def best_rule(points: Column, min_score: int = 2) -> Column:
     """Type with most points, the earlier one on a tie; null below ``min_score``."""
-    ranked = F.array(
-        *[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores.items())]
-    )
-    return let(F.array_max(ranked), lambda top: F.when(top["s"] >= min_score, top["k"]))
+    ranked = ", ".join(f"struct(p.{k} as s, {-i} as i, '{k}' as k)" for i, k in enumerate(lx.RULE_KEYWORDS))
+    top = let_sql(points, f"array_max(array({ranked}))", "p")
+    return let_sql(top, f"if(top.s >= {min_score}, top.k, null)", "top")
 
 
 def rule_score(plain: Column) -> Column:
-    return best_rule(rule_scores(plain))
+    return best_rule(rule_points(plain))
 
 
 def decision_list(clean: Column) -> Column:
     """Type by ordered rules on text cleaned by ``clean_text_multilingual``."""
-    has_word = clean.contains
-    flags = {name: contains_any(clean, words) for name, words in lx.INVOICE_INDICATORS.items()}
-    score = reduce(lambda a, b: a + b, [f.cast("int") for f in flags.values()])
-    facture, arabic = has_word("facture"), has_word("فاتورة")
-    invoice = (
-        (facture & contains_any(clean, ["tva", "ttc", "montant"]))
-        | (arabic & (contains_any(clean, ["ضريبة", "المبلغ", "أداء"]) | facture))
-        | (has_word("facture du mois") & contains_any(clean, ["montant total", "tva"]))
-        | (has_word("invoice") & contains_any(clean, ["total", "amount"]))
-        | (flags["tunisian"] & flags["tax"])
-        | (flags["keyword"] & (score >= 3))
-        | (score >= 4)
-        | has(clean, lx.INVOICE_NUMBER_SHAPE, False)
-    )
-    solde = has_word("solde")
-    bank = (
-        contains_any(clean, lx.BANK_PHRASES)
-        | (solde & contains_any(clean, ["crédit", "débit", "crediteur", "debiteur"]))
-        | (has_word("devise") & has_word("dirham"))
-        | (has_word("agence") & has_word("compte"))
-    )
-    return (
-        F.when(invoice, "invoice")
-        .when(has_word("devis") & contains_any(clean, ["offre", "prix estimatif"]), "quote")
-        .when(contains_any(clean, ["bon de commande", "commande n"]), "purchase_order")
-        .when(has_word("bon de livraison"), "delivery_note")
-        .when(contains_any(clean, ["reçu", "justificatif de paiement"]), "receipt")
-        .when(bank, "bank_statement")
-        .when(contains_any(clean, ["note de frais", "remboursement", "justificatif"]), "expense_report")
-        .when(contains_any(clean, ["bulletin de paie", "salaire brut"]), "payslip")
-        .otherwise(lx.UNKNOWN_TYPE)
-    )
+    word = lambda *words: sql_contains("t", words)
+    flags = {name: sql_contains("t", words) for name, words in lx.INVOICE_INDICATORS.items()}
+    score = "(" + " + ".join(f"cast({f} as int)" for f in flags.values()) + ")"
+    both = lambda a, b: f"({a} and {b})"
+    invoice = [
+        both(word("facture"), word("tva", "ttc", "montant")),
+        both(word("فاتورة"), word("ضريبة", "المبلغ", "أداء", "facture")),
+        both(word("facture du mois"), word("montant total", "tva")),
+        both(word("invoice"), word("total", "amount")),
+        both(flags["tunisian"], flags["tax"]),
+        both(flags["keyword"], f"{score} >= 3"),
+        f"{score} >= 4",
+        sql_has("t", lx.INVOICE_NUMBER_SHAPE, False),
+    ]
+    bank = [
+        sql_contains("t", lx.BANK_PHRASES),
+        both(word("solde"), word("crédit", "débit", "crediteur", "debiteur")),
+        both(word("devise"), word("dirham")),
+        both(word("agence"), word("compte")),
+    ]
+    ordered = {
+        "invoice": " or ".join(invoice),
+        "quote": both(word("devis"), word("offre", "prix estimatif")),
+        "purchase_order": word("bon de commande", "commande n"),
+        "delivery_note": word("bon de livraison"),
+        "receipt": word("reçu", "justificatif de paiement"),
+        "bank_statement": " or ".join(bank),
+        "expense_report": word("note de frais", "remboursement", "justificatif"),
+        "payslip": word("bulletin de paie", "salaire brut"),
+    }
+    branches = " ".join(f"when {test} then '{kind}'" for kind, test in ordered.items())
+    return let_sql(clean, f"case {branches} else '{lx.UNKNOWN_TYPE}' end")
 
 
 def keyword_vote(text: Column, classes: list[str] = lx.DOCUMENT_CLASSES) -> Column:
@@ -141,18 +142,17 @@ def normalized(scores: Column) -> Column:
 
 def evidence(text: Column) -> Column:
     """Wording flags used by the score adjustments, as one struct of booleans."""
-    return let(
-        F.lower(text),
-        lambda low: F.struct(
-            contains_any(low, lx.DEFINITIVE_INVOICE_WORDS).alias("definitive"),
-            contains_any(low, lx.INVOICE_WORDS).alias("invoice"),
-            has_any(low, lx.STRONG_INVOICE_PATTERNS, False).alias("strong_invoice"),
-            contains_any(low, lx.ORDER_WORDS).alias("order"),
-            has_any(low, lx.STRONG_ORDER_PATTERNS, False).alias("strong_order"),
-            has_any(low, lx.ORDER_EXCLUSIONS, False).alias("order_excluded"),
-            low.startswith("bon de commande").alias("order_heading"),
-        ),
-    )
+    any_of = lambda patterns: " or ".join(sql_has("t", p, False) for p in patterns)
+    flags = {
+        "definitive": sql_contains("t", lx.DEFINITIVE_INVOICE_WORDS),
+        "invoice": sql_contains("t", lx.INVOICE_WORDS),
+        "strong_invoice": any_of(lx.STRONG_INVOICE_PATTERNS),
+        "order": sql_contains("t", lx.ORDER_WORDS),
+        "strong_order": any_of(lx.STRONG_ORDER_PATTERNS),
+        "order_excluded": any_of(lx.ORDER_EXCLUSIONS),
+        "order_heading": "startswith(t, 'bon de commande')",
+    }
+    return let_sql(F.lower(text), f"struct({', '.join(f'({test}) as `{n}`' for n, test in flags.items())})")
 
 
 def adjust_scores(scores: Column, flags: Column) -> Column:
@@ -236,20 +236,12 @@ def threshold_and_restrict(
 
 def definitive_override(text: Column, prediction: Column, scores: Column) -> Column:
     """First type, in marker order, that has a marker in the text or is already predicted."""
-    return let(
-        F.lower(text),
-        lambda low: F.coalesce(
-            *[
-                F.when(
-                    F.map_contains_key(scores, kind)
-                    & ((prediction == kind) | has_any(low, patterns, False)),
-                    F.lit(kind),
-                )
-                for kind, patterns in lx.FORCING_MARKERS.items()
-            ],
-            prediction,
-        ),
-    )
+    tests = []
+    for kind, patterns in lx.FORCING_MARKERS.items():
+        marked = " or ".join(sql_has("x.low", p, False) for p in patterns)
+        tests.append(f"when map_contains_key(x.m, '{kind}') and (x.p = '{kind}' or {marked}) then '{kind}'")
+    given = F.struct(F.lower(text).alias("low"), prediction.alias("p"), scores.alias("m"))
+    return let_sql(given, f"case {' '.join(tests)} else x.p end", "x")
 
 
 def ambiguity_flag(prediction: Column, scores: Column, flags: Column) -> Column:

@@ -10,6 +10,16 @@ BROADCAST_ROWS = 10_000
 SALTS = 64
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small, hardly split input over all cores; larger inputs are left alone.
+
+    Pattern matching is heavy per row, and a table that is one file split would otherwise be
+    worked on by a single core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def attach_class_table(
     df: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner"
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import amounts, rules, text
 from folioscope.functions.lexicon import FRENCH_MONTHS
+from folioscope.operators.joins import spread
 from folioscope.sources.templates import COMMERCIAL_KINDS, render_documents
 
 AS_OF = "2001-08-02"
@@ -68,7 +69,7 @@ def order_fields() -> dict[str, Column]:
 
 
 def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").join(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
 
@@ -78,7 +79,7 @@ def business_documents(
 ) -> DataFrame:
     """(doc_id, label, text, doc_date): one rendered document per order."""
     joined = orders_with_customers(spark, sf_dir)
-    return render_documents(joined, F.col("o_orderkey"), order_fields(), kinds, F.col("o_orderkey"))
+    return render_documents(joined, F.col("o_orderkey"), order_fields(), kinds)
 
 
 def transactions(docs: DataFrame, document_type: Column | None = None, today: Column | None = None) -> DataFrame:
@@ -103,16 +104,10 @@ def labelled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_scores(docs: DataFrame) -> DataFrame:
     """Documents with a score per rule type standing in for a model: squared rule points
     plus one, as shares. Every value derives from the document's own text."""
-    scored = docs.select(
-        "doc_id", "label", "text", F.struct(
-            *[s.alias(k) for k, s in rules.rule_scores(F.lower(F.col("text"))).items()]
-        ).alias("points"),
+    shares = docs.select(
+        "doc_id", "label", "text", rules.rule_points(F.lower("text")).alias("points")
     )
-    raw = F.create_map(
-        *[
-            x
-            for k in rules.lx.RULE_KEYWORDS
-            for x in (F.lit(k), (F.col(f"points.{k}") * F.col(f"points.{k}") + 1).cast("double"))
-        ]
+    raw = ", ".join(
+        f"'{k}', cast(points.{k} * points.{k} + 1 as double)" for k in rules.lx.RULE_KEYWORDS
     )
-    return scored.select("doc_id", "label", "text", rules.normalized(raw).alias("scores"))
+    return shares.select("doc_id", "label", "text", rules.normalized(F.expr(f"map({raw})")).alias("scores"))

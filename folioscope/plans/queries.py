@@ -21,6 +21,7 @@ from folioscope.plans.business_docs import (
     transactions,
 )
 from folioscope.operators import corpus, detect, finance, quality, training
+from folioscope.operators.joins import spread
 from folioscope.session import scratch_dir
 from folioscope.sources import files
 from folioscope.sources.templates import GENERAL_KINDS
@@ -38,7 +39,7 @@ def query(fn: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def joined(array: Column) -> Column:
@@ -223,10 +224,13 @@ def lint_labels(spark, sf_dir):
 
 @query
 def rule_score(spark, sf_dir):
-    plain = business_documents(spark, sf_dir).withColumn("plain", text.strip_accents(TEXT))
-    points = rules.rule_scores(F.col("plain"))
-    return plain.select("doc_id", *[c.alias(f"points_{k}") for k, c in points.items()]).select(
-        "*", rules.best_rule({k: F.col(f"points_{k}") for k in points}).alias("rule")
+    plain = business_documents(spark, sf_dir).select(
+        "doc_id", rules.rule_points(text.strip_accents(TEXT)).alias("points")
+    )
+    return plain.select(
+        "doc_id",
+        *[F.col(f"points.{k}").alias(f"points_{k}") for k in lx.RULE_KEYWORDS],
+        rules.best_rule(F.col("points")).alias("rule"),
     )
 
 
@@ -429,8 +433,8 @@ def extract_key_info(spark, sf_dir):
 @query
 def sentence_scores(spark, sf_dir):
     clean = documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(TEXT).alias("clean"))
-    split = clean.select("doc_id", F.posexplode(fields.sentences(F.col("clean"))).alias("at", "sentence"))
-    return split.select("doc_id", "at", "sentence", fields.sentence_score(F.col("sentence")).alias("score"))
+    split = clean.select("doc_id", F.posexplode(fields.sentences(F.col("clean"))).alias("sentence_no", "sentence"))
+    return split.select("doc_id", "sentence_no", "sentence", fields.sentence_score(F.col("sentence")).alias("score"))
 
 
 @query
@@ -501,7 +505,7 @@ def largest_amount(spark, sf_dir):
     rows = orders_with_customers(spark, sf_dir).select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("amount "), f["amount"], F.lit(" "), F.get(F.array(*[F.lit(c) for c in ("EUR", "usd", "TND", "dollars")]), F.pmod("o_orderkey", F.lit(4)).cast("int"))).alias("info"),
-        F.concat(F.col("c_name"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, ", ").otherwise(" "), f["commas"]).alias("text"),
+        F.concat(F.col("c_name"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, " , ").otherwise(" "), f["commas"]).alias("text"),
     )
     info = F.col("info")
     return rows.select(

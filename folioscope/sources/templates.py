@@ -5,7 +5,6 @@ from __future__ import annotations
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 # Placeholders are the fields of plans.business_docs.order_fields.
 TEMPLATES = {
@@ -90,26 +89,35 @@ def template_parts(template: str) -> list[tuple[str, bool]]:
     return out
 
 
-def fill(template: str, fields: dict[str, Column]) -> Column:
-    return F.concat(*[fields[p] if is_field else F.lit(p) for p, is_field in template_parts(template)])
+def fill_sql(template: str) -> str:
+    """SQL that fills a template from columns named like its placeholders, with a prefix."""
+    parts = [f"f_{p}" if is_field else sql_string(p) for p, is_field in template_parts(template)]
+    return f"concat({', '.join(parts)})"
+
+
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
 def render_documents(
-    df: DataFrame, key: Column, fields: dict[str, Column], kinds: list[str], id_col: Column
+    df: DataFrame, key: Column, fields: dict[str, Column], kinds: list[str]
 ) -> DataFrame:
     """(doc_id, label, text): class by ``key`` modulo, template by the rest of ``key``.
 
     Choices are functions of the key, so a re-run of a lost task renders the same text.
     """
     n = len(kinds)
-    kind = F.pmod(key, F.lit(n))
-    turn = F.floor(key / n)
-    text = None
-    for i, name in enumerate(kinds):
-        variants = TEMPLATES[name]
+    used = {p for k in kinds for t in TEMPLATES[k] for p, is_field in template_parts(t) if is_field}
+    rows = df.select(key.alias("doc_id"), *[c.alias(f"f_{name}") for name, c in fields.items() if name in used])
+    branches = []
+    for i, kind in enumerate(kinds):
+        variants = TEMPLATES[kind]
         for v, template in enumerate(variants):
-            chosen = (kind == i) & (F.pmod(turn, F.lit(len(variants))) == v)
-            filled = fill(template, fields)
-            text = F.when(chosen, filled) if text is None else text.when(chosen, filled)
-    label = F.get(F.array(*[F.lit(k) for k in kinds]), kind.cast("int"))
-    return df.select(id_col.alias("doc_id"), label.alias("label"), text.alias("text"))
+            chosen = f"pmod(doc_id, {n}) = {i} and pmod(doc_id div {n}, {len(variants)}) = {v}"
+            branches.append(f"when {chosen} then {fill_sql(template)}")
+    names = ", ".join(sql_string(k) for k in kinds)
+    return rows.selectExpr(
+        "doc_id",
+        f"array({names})[cast(pmod(doc_id, {n}) as int)] as label",
+        f"case {' '.join(branches)} end as text",
+    )

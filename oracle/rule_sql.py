@@ -218,9 +218,9 @@ def score(s: str) -> str:
 
 
 EXCERPT = f"""cleaned as materialized (select doc_id, text, {excerpt_clean('text')} as clean from documents),
-ranked as (select doc_id, list({{'s': s, 'out': '', 'used': 0::bigint}} order by score desc, at) as best
-  from (select doc_id, s, at, {score('s')} as score from (
-    select doc_id, unnest({sentence_list('clean')}) as s, generate_subscripts({sentence_list('clean')}, 1) as at from cleaned))
+ranked as (select doc_id, list({{'s': s, 'out': '', 'used': 0::bigint}} order by score desc, sno) as best
+  from (select doc_id, s, sno, {score('s')} as score from (
+    select doc_id, unnest({sentence_list('clean')}) as s, generate_subscripts({sentence_list('clean')}, 1) as sno from cleaned))
   group by doc_id),
 packed as (select doc_id, best[1].s as top, list_reduce(best, lambda acc, x:
     case when acc.used + length(x.s) + 2 <= 300 then {{'s': '', 'out': acc.out || case when acc.used > 0 then ' ' else '' end || x.s || '.',
@@ -342,8 +342,8 @@ STATEMENTS = {
     "extract_key_info": f"""with {BIZ} select doc_id, {listed('text', lx.KEY_AMOUNT_PATTERNS)} as amounts,
       {listed('text', lx.KEY_DATE_PATTERNS, 0)} as dates, {listed('text', lx.KEY_NUMBER_PATTERNS)} as invoice_numbers from biz""",
     "sentence_scores": f"""with c as materialized (select doc_id, {excerpt_clean('text')} as clean from documents),
-      s as (select doc_id, unnest({sentence_list('clean')}) as sentence, generate_subscripts({sentence_list('clean')}, 1) - 1 as at from c)
-      select doc_id, at, sentence, {score('sentence')} as score from s""",
+      s as (select doc_id, unnest({sentence_list('clean')}) as sentence, generate_subscripts({sentence_list('clean')}, 1) - 1 as sentence_no from c)
+      select doc_id, sentence_no, sentence, {score('sentence')} as score from s""",
     "smart_excerpt": f"with {EXCERPT}",
     "extract_amount": f"""with {BIZ}, a as (select doc_id, lower(text) as low, {amount('lower(text)')} as found from biz)
       select doc_id, coalesce(found, 0.0) as amount, case when found is null then 'USD' else {currency('low')} end as currency from a""",
