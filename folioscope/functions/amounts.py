@@ -161,7 +161,7 @@ def transaction(text: Column, document_type: Column, document_id: Column, as_of:
         document_id.alias("document_id"),
         F.lit(0.0).alias("confidence"),
     )
-    return F.when(text.isNull(), failed).otherwise(build(text))
+    return F.when(text.isNull(), failed).otherwise(let(text, build))
 
 
 def largest_amount(text: Column, info: Column, bare_comma_voids: bool = True) -> Column:

@@ -12,8 +12,13 @@ from folioscope.functions.responses import stated_turnover
 AMOUNT = F.col("amount")
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum to six decimals that does not depend on the order rows arrive in."""
+    return F.sum(amount.cast("decimal(20,6)")).cast("double")
+
+
 def _sum_if(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, AMOUNT)), F.lit(0.0))
+    return F.coalesce(exact_sum(F.when(condition, AMOUNT)), F.lit(0.0))
 
 
 def _category_sums() -> list[Column]:
@@ -62,8 +67,8 @@ def currency_breakdown(df: DataFrame) -> DataFrame:
 def type_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("document_type").agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(F.sum(AMOUNT), 2).alias("total_amount"),
-        F.round(F.avg(AMOUNT), 2).alias("average_amount"),
+        F.round(exact_sum(AMOUNT), 2).alias("total_amount"),
+        F.round(exact_sum(AMOUNT) / F.count(F.lit(1)), 2).alias("average_amount"),
     )
 
 
@@ -113,7 +118,7 @@ def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     folded = (
         period_filter(df, as_of, days)
         .groupBy("currency", "document_type", "category")
-        .agg(F.sum(AMOUNT).alias("amount"), F.count(F.lit(1)).alias("rows"))
+        .agg(exact_sum(AMOUNT).alias("amount"), F.count(F.lit(1)).alias("rows"))
     )
     by_currency = currency_breakdown(folded).agg(
         F.map_from_entries(
@@ -122,7 +127,7 @@ def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     )
     by_type = (
         folded.groupBy("document_type")
-        .agg(F.sum("rows").alias("count"), F.sum(AMOUNT).alias("total"))
+        .agg(F.sum("rows").alias("count"), exact_sum(AMOUNT).alias("total"))
         .select(
             "document_type",
             F.struct(
@@ -181,7 +186,7 @@ def simple_report(df: DataFrame) -> DataFrame:
         [["currency"], ["category"], []], F.col("currency"), F.col("category")
     )
     return grouped.agg(
-        F.round(F.sum(AMOUNT), 2).alias("total"), F.count(F.lit(1)).alias("count")
+        F.round(exact_sum(AMOUNT), 2).alias("total"), F.count(F.lit(1)).alias("count")
     )
 
 
@@ -451,7 +456,7 @@ def documented_totals(df: DataFrame, tax: Column) -> DataFrame:
     return df.agg(
         F.round(_sum_if(category == "income"), 2).alias("total_revenue_found"),
         F.round(_sum_if(category == "expense"), 2).alias("total_expenses_found"),
-        F.round(F.coalesce(F.sum(tax), F.lit(0.0)), 2).alias("total_tax_found"),
+        F.round(F.coalesce(exact_sum(tax), F.lit(0.0)), 2).alias("total_tax_found"),
         seen("currency").alias("currencies_found"),
         seen("document_type").alias("document_types_processed"),
         F.count_if(F.col("document_type") == "bank_statement").alias("_bank"),

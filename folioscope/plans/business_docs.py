@@ -93,7 +93,8 @@ def transactions(docs: DataFrame, document_type: Column | None = None, today: Co
     built = amounts.transaction(
         F.col("text"), F.col("document_type"), F.col("doc_id").cast("string"), today if today is not None else as_of()
     )
-    return typed.select(built.alias("t")).select("t.*")
+    # a generated row is built once: filters on its fields do not rebuild it below
+    return typed.select(F.inline(F.array(built)))
 
 
 def labelled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -573,6 +573,189 @@ def regex_report_fields(spark, sf_dir):
     return rows.withColumns(notes).withColumn("details_transactions", joined(details))
 
 
+
+# --- finance --------------------------------------------------------------------------------
+
+
+@query
+def period_filter(spark, sf_dir):
+    recent = finance.period_filter(labelled_transactions(spark, sf_dir), as_of(), 365)
+    return plain_dates(recent).select("document_id", "date", "amount", "currency")
+
+
+@query
+def category_totals(spark, sf_dir):
+    return finance.category_totals(labelled_transactions(spark, sf_dir))
+
+
+@query
+def currency_breakdown(spark, sf_dir):
+    return finance.currency_breakdown(labelled_transactions(spark, sf_dir))
+
+
+@query
+def type_summary(spark, sf_dir):
+    return finance.type_summary(labelled_transactions(spark, sf_dir))
+
+
+@query
+def report_advice(spark, sf_dir):
+    return finance.report_advice(labelled_transactions(spark, sf_dir)).select(
+        joined(F.col("recommendations")).alias("recommendations")
+    )
+
+
+@query
+def transaction_details(spark, sf_dir):
+    return finance.transaction_details(labelled_transactions(spark, sf_dir))
+
+
 def financial_report_by_rules(spark, sf_dir):
     docs = business_documents(spark, sf_dir)
     return finance.financial_report(transactions(docs), as_of(), 365)
+
+
+@query
+def financial_report(spark, sf_dir):
+    def cents(c: Column) -> Column:
+        return F.round(c * 100).cast("bigint").cast("string")
+
+    by_currency = F.transform(
+        F.map_entries("currency_breakdown"),
+        lambda e: F.concat_ws("/", e["key"], *[cents(e["value"][k]) for k in ("income", "expense", "potential", "net")]),
+    )
+    by_type = F.transform(
+        F.map_entries("document_analysis"),
+        lambda e: F.concat_ws("/", e["key"], e["value"]["count"].cast("string"), cents(e["value"]["total_amount"])),
+    )
+    return financial_report_by_rules(spark, sf_dir).select(
+        "summary.*",
+        "transaction_count",
+        joined(F.col("recommendations")).alias("recommendations"),
+        joined(by_currency).alias("by_currency"),
+        joined(by_type).alias("by_type"),
+        F.date_format("period.start_date", "yyyy-MM-dd").alias("start_date"),
+    )
+
+
+@query
+def keep_valid(spark, sf_dir):
+    return finance.keep_valid(labelled_transactions(spark, sf_dir)).select("document_id", "amount")
+
+
+@query
+def simple_report(spark, sf_dir):
+    return finance.simple_report(finance.keep_valid(labelled_transactions(spark, sf_dir)))
+
+
+@query
+def simple_advice(spark, sf_dir):
+    return finance.simple_advice(labelled_transactions(spark, sf_dir)).select(
+        joined(F.col("recommendations")).alias("recommendations")
+    )
+
+
+@query
+def convert_to_tnd(spark, sf_dir):
+    converted = finance.convert_to_tnd(labelled_transactions(spark, sf_dir))
+    return converted.select("document_id", "currency", F.round("amount_tnd", 2).alias("amount_tnd"))
+
+
+def nested_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, document_type, amounts): one document per order line."""
+    price, key = F.col("l_extendedprice"), F.col("l_orderkey")
+
+    def entry(amount: Column, kind: str, description: str) -> Column:
+        return F.struct(
+            F.round(amount, 2).alias("amount"), F.lit("USD").alias("currency"), F.lit(kind).alias("type"),
+            F.lit(description).alias("description"),
+        )
+
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", key.cast("string"), F.col("l_linenumber").cast("string")).alias("document_id"),
+        F.when(F.col("l_returnflag") == "R", "receipt").otherwise("invoice").alias("document_type"),
+        F.array(
+            entry(price, "revenue", "line price"),
+            entry(price * F.col("l_discount"), "expense", "discount"),
+            entry(price * F.col("l_tax"), "tax", "tax"),
+        ).alias("amounts"),
+    )
+
+
+@query
+def flat_amounts(spark, sf_dir):
+    flat = finance.flat_amounts(nested_amounts(spark, sf_dir))
+    return flat.groupBy("type", "kind", "description").agg(
+        F.count(F.lit(1)).alias("n"), F.round(finance.exact_sum(F.col("amount")), 2).alias("amount")
+    )
+
+
+@query
+def revenue_expense_totals(spark, sf_dir):
+    return finance.revenue_expense_totals(nested_amounts(spark, sf_dir))
+
+
+def customer_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(customer, revenue, sheet): balance sheet estimated from each customer's orders."""
+    revenue = (
+        orders_with_customers(spark, sf_dir)
+        .groupBy(F.col("c_custkey").alias("customer"))
+        .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100).alias("revenue"))
+    )
+    return revenue.withColumn("sheet", finance.estimated_balance_sheet(F.col("revenue")))
+
+
+def sheet_columns() -> list[Column]:
+    balance, income = "sheet.bilan_comptable", "sheet.compte_de_resultat"
+    return [
+        F.col(f"{balance}.actif.actif_courant.clients_et_comptes_rattaches").alias("receivables"),
+        F.col(f"{balance}.actif.actif_courant.disponibilites").alias("cash"),
+        F.col(f"{balance}.actif.total_actif").alias("assets"),
+        F.col(f"{balance}.passif.capitaux_propres.capital_social").alias("capital"),
+        F.col(f"{balance}.passif.capitaux_propres.total_capitaux_propres").alias("equity"),
+        F.col(f"{balance}.passif.passif_courant.fournisseurs_et_comptes_rattaches").alias("suppliers"),
+        F.col(f"{balance}.passif.passif_courant.total_passif_courant").alias("current_debt"),
+        F.col(f"{balance}.passif.total_passif").alias("liabilities"),
+        F.col(f"{income}.produits_exploitation.chiffre_affaires").alias("turnover"),
+        F.col(f"{income}.charges_exploitation.achats_consommes").alias("purchases"),
+        F.col(f"{income}.charges_exploitation.total_charges_exploitation").alias("charges"),
+        F.col(f"{income}.resultat_net").alias("result"),
+        *[F.col(f"sheet.ratios_financiers.{r}").cast("double").alias(r) for r in lx.REPORT_RATIOS],
+    ]
+
+
+@query
+def estimated_balance_sheet(spark, sf_dir):
+    return customer_sheets(spark, sf_dir).select("customer", *sheet_columns())
+
+
+def turnover_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_reports(spark, sf_dir).select(
+        "id", finance.estimated_from_turnover(F.col("response")).alias("sheet")
+    )
+
+
+@query
+def estimated_from_turnover(spark, sf_dir):
+    return turnover_sheets(spark, sf_dir).select("id", *sheet_columns())
+
+
+@query
+def check_balance(spark, sf_dir):
+    both = customer_sheets(spark, sf_dir).select(F.col("customer").alias("id"), "sheet", F.lit("customer").alias("kind"))
+    checked = finance.check_balance(both).select("kind", "id", "balanced", "empty")
+    stated = turnover_sheets(spark, sf_dir).select("id", "sheet", F.lit("turnover").alias("kind"))
+    return checked.unionByName(finance.check_balance(stated).select("kind", "id", "balanced", "empty"))
+
+
+@query
+def post_accounts(spark, sf_dir):
+    return finance.post_accounts(labelled_transactions(spark, sf_dir))
+
+
+@query
+def documented_totals(spark, sf_dir):
+    tax = F.when(F.col("document_type") == "invoice", F.round(F.col("amount") * 0.2, 2))
+    found = finance.documented_totals(labelled_transactions(spark, sf_dir), tax)
+    lists = ("currencies_found", "document_types_processed")
+    return found.withColumns({c: joined(F.col(c)) for c in lists})
