@@ -510,8 +510,8 @@ def largest_amount(spark, sf_dir):
     info = F.col("info")
     return rows.select(
         "doc_id",
-        F.round(amounts.largest_amount(TEXT, info), 2).alias("amount"),
-        F.round(amounts.largest_amount(TEXT, info, False), 2).alias("amount_commas_skipped"),
+        F.round(amounts.largest_amount(TEXT, info), 4).alias("amount"),
+        F.round(amounts.largest_amount(TEXT, info, False), 4).alias("amount_commas_skipped"),
     )
 
 
@@ -759,3 +759,517 @@ def documented_totals(spark, sf_dir):
     found = finance.documented_totals(labelled_transactions(spark, sf_dir), tax)
     lists = ("currencies_found", "document_types_processed")
     return found.withColumns({c: joined(F.col(c)) for c in lists})
+
+
+# --- quality profile ------------------------------------------------------------------------
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
+    """Documents with one of their columns as label."""
+    return documents(spark, sf_dir).select("doc_id", "text", F.col(label).alias("label"), "source")
+
+
+def with_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query
+def null_profile(spark, sf_dir):
+    return rounded(quality.null_profile(with_quality(spark, sf_dir)))
+
+
+@query
+def short_text_profile(spark, sf_dir):
+    return rounded(quality.short_text_profile(documents(spark, sf_dir)))
+
+
+@query
+def duplicate_count(spark, sf_dir):
+    return quality.duplicate_count(documents(spark, sf_dir))
+
+
+@query
+def length_stats(spark, sf_dir):
+    return rounded(quality.length_stats(documents(spark, sf_dir)))
+
+
+@query
+def nonprintable_count(spark, sf_dir):
+    return quality.nonprintable_count(documents(spark, sf_dir))
+
+
+@query
+def meaningful_ratio(spark, sf_dir):
+    return rounded(quality.meaningful_ratio(documents(spark, sf_dir)))
+
+
+@query
+def label_distribution(spark, sf_dir):
+    return rounded(quality.label_distribution(labelled(spark, sf_dir)))
+
+
+@query
+def imbalance_ratio(spark, sf_dir):
+    return rounded(quality.imbalance_ratio(labelled(spark, sf_dir)))
+
+
+@query
+def small_classes(spark, sf_dir):
+    return quality.small_classes(labelled(spark, sf_dir, "source"), below=60)
+
+
+@query
+def source_profile(spark, sf_dir):
+    return rounded(quality.source_profile(documents(spark, sf_dir)))
+
+
+@query
+def neighbour_similarity(spark, sf_dir):
+    pairs = quality.neighbour_similarity(documents(spark, sf_dir))
+    return rounded(pairs)
+
+
+@query
+def near_duplicate_pairs(spark, sf_dir):
+    return rounded(quality.near_duplicate_pairs(documents(spark, sf_dir)))
+
+
+@query
+def ocr_artifact_counts(spark, sf_dir):
+    return quality.ocr_artifact_counts(documents(spark, sf_dir))
+
+
+@query
+def quality_grade(spark, sf_dir):
+    graded = quality.quality_grade(labelled(spark, sf_dir))
+    return rounded(graded.withColumns({c: joined(F.col(c)) for c in ("issues", "advice")}))
+
+
+@query
+def size_estimate(spark, sf_dir):
+    return rounded(quality.size_estimate(documents(spark, sf_dir)))
+
+
+@query
+def rank_classes(spark, sf_dir):
+    return rounded(quality.rank_classes(labelled(spark, sf_dir, "source")))
+
+
+@query
+def size_bands(spark, sf_dir):
+    return quality.size_bands(labelled(spark, sf_dir))
+
+
+@query
+def balance_status(spark, sf_dir):
+    return rounded(quality.balance_status(labelled(spark, sf_dir)))
+
+
+@query
+def training_readiness(spark, sf_dir):
+    return rounded(quality.training_readiness(labelled(spark, sf_dir)))
+
+
+@query
+def compare_distributions(spark, sf_dir):
+    before = labelled(spark, sf_dir, "source")
+    after = corpus.first_of_each_text(before, ["doc_id"])
+    return quality.compare_distributions(before, after)
+
+
+@query
+def validate_preserved(spark, sf_dir):
+    before = receipts(spark, sf_dir)
+    cleaned = text.apply_cleaned(TEXT, text.json_receipt_to_text(TEXT))
+    return quality.validate_preserved(before, before.select("doc_id", "label", cleaned.alias("text")))
+
+
+@query
+def validate_ingest(spark, sf_dir):
+    return rounded(quality.validate_ingest(labelled(spark, sf_dir)))
+
+
+@query
+def validate_samples(spark, sf_dir):
+    return rounded(quality.validate_samples(labelled(spark, sf_dir)))
+
+
+@query
+def validate_cleaned(spark, sf_dir):
+    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(TEXT))
+    found = quality.validate_cleaned(cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH))
+    return rounded(found.withColumn("issues", joined(F.col("issues"))))
+
+
+@query
+def top_n_with_others(spark, sf_dir):
+    return rounded(quality.top_n_with_others(labelled(spark, sf_dir, "source")))
+
+
+@query
+def length_boxplot(spark, sf_dir):
+    return rounded(quality.length_boxplot(labelled(spark, sf_dir, "source")))
+
+
+@query
+def growth_by_source(spark, sf_dir):
+    return quality.growth_by_source(documents(spark, sf_dir))
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    return rounded(quality.dataset_summary(labelled(spark, sf_dir)))
+
+
+@query
+def cleaned_corpus_profile(spark, sf_dir):
+    """Cleaned corpus, label counts and length statistics per language."""
+    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(TEXT))
+    kept = cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
+    return rounded(quality.dataset_summary(kept))
+
+
+# --- corpus ---------------------------------------------------------------------------------
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by source, as an existing corpus and new arrivals."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text", F.col("lang").alias("label"), "source")
+    existing = F.col("source") >= "src5"
+    return rows.filter(existing), rows.filter(~existing).drop("source")
+
+
+@query
+def integrate_dedup(spark, sf_dir):
+    return corpus.integrate_dedup(*halves(spark, sf_dir))
+
+
+@query
+def integration_report(spark, sf_dir):
+    return corpus.integration_report(*halves(spark, sf_dir))
+
+
+@query
+def append_no_dedup(spark, sf_dir):
+    return corpus.append_no_dedup(*halves(spark, sf_dir)).select("pos", "label", "source")
+
+
+@query
+def cap_per_class(spark, sf_dir):
+    capped = corpus.cap_per_class(labelled(spark, sf_dir), n=200)
+    return capped.select("doc_id", "label")
+
+
+@query
+def shuffle_rows(spark, sf_dir):
+    return corpus.shuffle_rank(documents(spark, sf_dir)).select("doc_id", "shuffle_rank")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return corpus.stratified_split(labelled(spark, sf_dir)).select("doc_id", "label", "split")
+
+
+@query
+def drop_rare_classes(spark, sf_dir):
+    kept = corpus.drop_small_classes(labelled(spark, sf_dir), min_rows=130)
+    return kept.select("doc_id", "label")
+
+
+@query
+def augment_min_samples(spark, sf_dir):
+    rows = business_documents(spark, sf_dir).withColumnRenamed("doc_id", "pos")
+    return corpus.augment_min_samples(rows, documents(spark, sf_dir).select("text", F.col("lang").alias("label")))
+
+
+@query
+def weighted_union(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "source")
+    return corpus.weighted_union(rows, F.when(F.col("source").isin("src1", "src2"), 2).otherwise(1))
+
+
+@query
+def take_first_n(spark, sf_dir):
+    return corpus.take_first_n(documents(spark, sf_dir), 300, "doc_id").select("doc_id", "text")
+
+
+# --- detection and sources ------------------------------------------------------------------
+
+
+def detected(df: DataFrame, name: str) -> DataFrame:
+    stats = detect.column_stats(df)
+    return stats.select(
+        F.lit(name).alias("table_name"),
+        "column",
+        F.round("mean_length", 6).alias("mean_length"),
+        F.round("distinct_ratio", 6).alias("distinct_ratio"),
+        (F.col("column") == F.lit(detect.detect_text_column(df, stats))).alias("is_text"),
+        F.coalesce(F.col("column") == F.lit(detect.detect_label_column(df, stats)), F.lit(False)).alias("is_label"),
+    )
+
+
+@query
+def detect_text_column(spark, sf_dir):
+    parts = [detected(table(spark, sf_dir, t), t) for t in ("documents", "customer", "part", "orders")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def detect_label_column(spark, sf_dir):
+    return detected(table(spark, sf_dir, "pages"), "pages").unionByName(
+        detected(table(spark, sf_dir, "nation"), "nation")
+    ).unionByName(detected(table(spark, sf_dir, "events"), "events"))
+
+
+@query
+def coalesce_text(spark, sf_dir):
+    part, docs = table(spark, sf_dir, "part"), documents(spark, sf_dir)
+    return part.select(F.col("p_partkey").alias("id"), detect.coalesce_text(part).alias("text")).unionByName(
+        docs.select(F.col("doc_id").alias("id"), detect.coalesce_text(docs).alias("text"))
+    )
+
+
+@query
+def coalesce_label(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("category", F.when(F.col("p_size") > 10, "").otherwise(F.col("p_type")))
+    part = part.withColumn("type", F.when(F.col("p_size") > 20, F.col("p_brand")))
+    return part.select("p_partkey", detect.coalesce_label(part).alias("label"))
+
+
+@query
+def profile_schema(spark, sf_dir):
+    return detect.profile_schema(documents(spark, sf_dir)).select("position", "column", "type", "n_rows")
+
+
+@query
+def flatten_company_record(spark, sf_dir):
+    key = F.col("conv_id") + F.col("turn")
+    messages = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("content")))
+    names = F.array(*[F.lit(n) for n in ("q3.Report.txt", "Invoice_9", "note", "Legal.contract.pdf")])
+    records = spread(table(spark, sf_dir, "conversations"), "conv_id").select(
+        F.when(F.pmod(key, F.lit(4)) == 0, F.col("text")).alias("file_content"),
+        F.struct(F.when(F.pmod(key, F.lit(4)) == 1, F.col("text")).alias("text"), F.lit("").alias("content")).alias("extracted_data"),
+        F.when(F.pmod(key, F.lit(4)) >= 2, messages).alias("chat_format"),
+        F.get(names, F.pmod(key, F.lit(3)).cast("int")).alias("file_name"),
+        F.when(F.pmod(key, F.lit(5)) == 0, F.col("role")).alias("document_type"),
+    )
+    return detect.flatten_company_record(records)
+
+
+@query
+def prune_sparse_columns(spark, sf_dir):
+    rows = with_quality(spark, sf_dir).select(
+        "doc_id", "text", F.col("lang").alias("label"), "source", F.col("quality").alias("word_count")
+    )
+    return detect.prune_sparse_columns(rows, ("doc_id", "label"))
+
+
+@query
+def render_documents(spark, sf_dir):
+    return business_documents(spark, sf_dir, GENERAL_KINDS)
+
+
+@query
+def records_to_corpus(spark, sf_dir):
+    return files.detected_records(documents(spark, sf_dir).drop("lang", "n_chars", "doc_id"), "CSV")
+
+
+def digest(df: DataFrame) -> DataFrame:
+    """Texts replaced by their MD5 and length, to compare long rows briefly."""
+    return df.withColumns({"text_md5": F.md5("text"), "chars": F.length("text")}).drop("text")
+
+
+@query
+def scan_labelled_csv(spark, sf_dir):
+    path = scratch_dir(spark, "csv")
+    rows = documents(spark, sf_dir).select("text", F.concat(F.col("lang"), F.lit(" ")).alias("label"))
+    rows.write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    return digest(files.scan_labelled_csv(spark, path))
+
+
+@query
+def scan_json_records(spark, sf_dir):
+    path = scratch_dir(spark, "json")
+    documents(spark, sf_dir).select(F.col("text").alias("body"), F.col("source").alias("category")).write.json(path)
+    return digest(files.scan_json_records(spark, path, schema="body string, category string"))
+
+
+@query
+def scan_csv_records(spark, sf_dir):
+    path = scratch_dir(spark, "loose-csv")
+    documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"), F.col("source").alias("origin")).write.options(
+        header="true", quote='"', escape='"', quoteAll="true"
+    ).csv(path)
+    return digest(files.scan_csv_records(spark, path))
+
+
+@query
+def scan_text_files(spark, sf_dir):
+    path = scratch_dir(spark, "text")
+    documents(spark, sf_dir).select("text", "source").repartition("source").write.partitionBy("source").text(path)
+    return digest(files.scan_text_files(spark, path)).groupBy("label").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars")
+    )
+
+
+@query
+def scan_annotation_json(spark, sf_dir):
+    path = scratch_dir(spark, "annotations")
+    notes = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("text")))
+    few = documents(spark, sf_dir).groupBy("lang").agg(F.max_by("text", "doc_id").alias("text"))
+    few.repartition("lang").select("lang", notes.alias("annotations")).write.partitionBy("lang").json(path)
+    return digest(files.scan_annotation_json(spark, path)).select("label", "text_md5", "chars")
+
+
+@query
+def inventory_sources(spark, sf_dir):
+    return files.inventory_sources(spark, sf_dir)
+
+
+@query
+def decode_bytes(spark, sf_dir):
+    latin = F.encode(F.regexp_replace("text", "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
+    content = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.encode("text", "UTF-8")).otherwise(latin)
+    return documents(spark, sf_dir).select("doc_id", files.decode_bytes(content).alias("text"))
+
+
+@query
+def versioned_save(spark, sf_dir):
+    path = scratch_dir(spark, "versions")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    files.versioned_save(docs, path)
+    files.versioned_save(corpus.first_of_each_text(files.load_version(spark, path), ["doc_id"]), path)
+    old, new = (files.load_version(spark, path, v) for v in files.saved_versions(spark, path))
+    return old.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(1)).unionByName(
+        new.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(2))
+    )
+
+
+# --- training and evaluation ----------------------------------------------------------------
+
+
+@query
+def tfidf_features(spark, sf_dir):
+    return rounded(training.tfidf_features(documents(spark, sf_dir)))
+
+
+@query
+def tfidf_features_without_stopwords(spark, sf_dir):
+    weights = training.tfidf_features(documents(spark, sf_dir), max_features=5_000, min_df=1, max_df=1.0, stopwords=lx.STOPWORDS)
+    return rounded(weights)
+
+
+@query
+def class_weights(spark, sf_dir):
+    return rounded(training.class_weights(labelled(spark, sf_dir)))
+
+
+def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = text.clean_text_multilingual(TEXT)
+    return business_documents(spark, sf_dir).select(
+        "label", rules.decision_list(clean).alias("prediction")
+    )
+
+
+@query
+def classification_report(spark, sf_dir):
+    return rounded(training.classification_report(rule_predictions(spark, sf_dir)))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return training.confusion_matrix(rule_predictions(spark, sf_dir), lx.DOCUMENT_CLASSES)
+
+
+@query
+def confusion_matrix_shares(spark, sf_dir):
+    return rounded(
+        training.confusion_matrix(rule_predictions(spark, sf_dir), lx.COMMERCIAL_TYPES, normalize=True)
+    )
+
+
+def class_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.confidence_by_class(predicted(spark, sf_dir))
+
+
+@query
+def confidence_by_class(spark, sf_dir):
+    return rounded(class_confidence(spark, sf_dir))
+
+
+@query
+def confidence_bands(spark, sf_dir):
+    return training.confidence_bands(class_confidence(spark, sf_dir))
+
+
+@query
+def performance_ranking(spark, sf_dir):
+    return rounded(training.performance_ranking(class_confidence(spark, sf_dir)))
+
+
+@query
+def train_linear_classifier(spark, sf_dir):
+    rows = corpus.stratified_split(labelled(spark, sf_dir))
+    model = training.train_linear_classifier(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=10)
+    return training.classification_report(training.score_batch(model, rows.filter("split = 'test'")))
+
+
+@query
+def train_logistic(spark, sf_dir):
+    rows = corpus.stratified_split(labelled(spark, sf_dir))
+    model = training.train_logistic(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=20)
+    return training.confidence_by_class(training.score_batch(model, rows.filter("split = 'test'")))
+
+
+@query
+def score_batch(spark, sf_dir):
+    rows = corpus.stratified_split(labelled(spark, sf_dir))
+    model = training.train_logistic(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=20)
+    return training.score_batch(model, rows.filter("split = 'test'")).select("doc_id", "label", "prediction", "confidence")
+
+
+@query
+def grid_search(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "label")
+    model = training.grid_search(rows, vocabularies=(500, 2_000), penalties=(0.01,), folds=2)
+    return training.grid_results(rows, model)
+
+
+@query
+def embed_documents(spark, sf_dir):
+    return training.embed_documents(documents(spark, sf_dir))
+
+
+# --- streams --------------------------------------------------------------------------------
+
+
+@query
+def ingest_stream(spark, sf_dir):
+    base = scratch_dir(spark, "ingest")
+    docs = table(spark, sf_dir, "documents")
+    ingest.start_corpus(docs.limit(0), f"{base}/corpus")
+    stream = (
+        spark.readStream.schema(docs.schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+    ingest.ingest_stream(stream, f"{base}/corpus", f"{base}/checkpoint").awaitTermination()
+    return ingest.read_corpus(spark, f"{base}/corpus").select("doc_id", "lang")
+
+
+@query
+def stream_period_totals(spark, sf_dir):
+    base = scratch_dir(spark, "totals")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kind = F.col("event_type")
+    amounts_by_category = events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(kind == "purchase", "income").when(kind == "error", "expense").otherwise("potential_income").alias("category"),
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+    )
+    periods = totals.period_totals(amounts_by_category, "7 days", "1 day")
+    totals.write_period_totals(periods, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    spelled = {c: F.date_format(c, "yyyy-MM-dd") for c in ("period_start", "period_end")}
+    return spark.read.parquet(f"{base}/out").withColumns(spelled)

@@ -356,9 +356,9 @@ STATEMENTS = {
     "to_transactions": f"""with {RULE_TX} select document_type, amount, currency, strftime(date, '%Y-%m-%d') as date, description, category, subcategory,
       document_id, round(confidence, 4) as confidence from tx""",
     "largest_amount": f"""with {ORDER_ROWS}, r as (select o_orderkey as doc_id, o_orderkey % 4 as c, o_orderkey % 3 = 0 as bare,
-        greatest(cents, case when substr(c_name, 10)::bigint > 10 then substr(c_name, 10)::bigint * 100 end) / 100.0 as top from order_rows)
-      select doc_id, round(case when not bare then top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end end, 2) as amount,
-        round(top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end, 2) as amount_commas_skipped from r""",
+        greatest(cents, case when substr(c_name, 10)::bigint > 10 then substr(c_name, 10)::bigint * 100 end) / 100.0::double as top from order_rows)
+      select doc_id, round(case when not bare then top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end::double end, 4) as amount,
+        round(top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end::double, 4) as amount_commas_skipped from r""",
     "repair_json_response": f"""with {ORDER_ROWS}, r as (select *, o_orderkey % 6 as form from order_rows)
       select o_orderkey as id, 'invoice' as document_type, cents / 100.0::double as amount, 'EUR' as currency,
         case when form = 5 then '{AS_OF}' else {f['iso_date']} end as date,

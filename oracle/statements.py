@@ -1,7 +1,7 @@
 """All statements by query name."""
 
-from oracle import finance_sql, rule_sql, text_sql
+from oracle import corpus_sql, finance_sql, rule_sql, text_sql
 
 STATEMENTS: dict[str, str] = {}
-for _module in (text_sql, rule_sql, finance_sql):
+for _module in (text_sql, rule_sql, finance_sql, corpus_sql):
     STATEMENTS |= _module.STATEMENTS
