@@ -9,8 +9,6 @@ from folioscope.functions import lexicon as lx
 from folioscope.functions.patterns import let
 from folioscope.functions.responses import stated_turnover
 
-AMOUNT = F.col("amount")
-
 
 def exact_sum(amount: Column) -> Column:
     """Sum to six decimals that does not depend on the order rows arrive in."""
@@ -18,7 +16,7 @@ def exact_sum(amount: Column) -> Column:
 
 
 def _sum_if(condition: Column) -> Column:
-    return F.coalesce(exact_sum(F.when(condition, AMOUNT)), F.lit(0.0))
+    return F.coalesce(exact_sum(F.when(condition, F.col("amount"))), F.lit(0.0))
 
 
 def _category_sums() -> list[Column]:
@@ -67,8 +65,8 @@ def currency_breakdown(df: DataFrame) -> DataFrame:
 def type_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("document_type").agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(exact_sum(AMOUNT), 2).alias("total_amount"),
-        F.round(exact_sum(AMOUNT) / F.count(F.lit(1)), 2).alias("average_amount"),
+        F.round(exact_sum(F.col("amount")), 2).alias("total_amount"),
+        F.round(exact_sum(F.col("amount")) / F.count(F.lit(1)), 2).alias("average_amount"),
     )
 
 
@@ -102,7 +100,7 @@ def transaction_details(df: DataFrame) -> DataFrame:
     return df.select(
         "document_id",
         F.col("document_type").alias("type"),
-        F.round(AMOUNT, 2).alias("montant"),
+        F.round(F.col("amount"), 2).alias("montant"),
         F.when(F.col("category") == "income", "701").otherwise("607").alias("compte_comptable"),
         F.col("description").alias("libelle"),
         F.date_format("date", "yyyy-MM-dd").alias("date"),
@@ -118,7 +116,7 @@ def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     folded = (
         period_filter(df, as_of, days)
         .groupBy("currency", "document_type", "category")
-        .agg(exact_sum(AMOUNT).alias("amount"), F.count(F.lit(1)).alias("rows"))
+        .agg(exact_sum(F.col("amount")).alias("amount"), F.count(F.lit(1)).alias("rows"))
     )
     by_currency = currency_breakdown(folded).agg(
         F.map_from_entries(
@@ -127,7 +125,7 @@ def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     )
     by_type = (
         folded.groupBy("document_type")
-        .agg(F.sum("rows").alias("count"), exact_sum(AMOUNT).alias("total"))
+        .agg(F.sum("rows").alias("count"), exact_sum(F.col("amount")).alias("total"))
         .select(
             "document_type",
             F.struct(
@@ -186,12 +184,12 @@ def simple_report(df: DataFrame) -> DataFrame:
         [["currency"], ["category"], []], F.col("currency"), F.col("category")
     )
     return grouped.agg(
-        F.round(exact_sum(AMOUNT), 2).alias("total"), F.count(F.lit(1)).alias("count")
+        F.round(exact_sum(F.col("amount")), 2).alias("total"), F.count(F.lit(1)).alias("count")
     )
 
 
 def simple_advice(df: DataFrame) -> DataFrame:
-    facts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(AMOUNT > 1000).alias("high"))
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") > 1000).alias("high"))
     review = F.concat(
         F.lit("Review "), F.col("high").cast("string"), F.lit(" high-value transactions for accuracy")
     )
@@ -206,7 +204,7 @@ def simple_advice(df: DataFrame) -> DataFrame:
 
 def keep_valid(df: DataFrame) -> DataFrame:
     """Rows with an amount above zero."""
-    return df.filter(AMOUNT > 0)
+    return df.filter(F.col("amount") > 0)
 
 
 def require_rows(df: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def require_rows(df: DataFrame) -> DataFrame:
 def convert_to_tnd(df: DataFrame, rates: dict[str, float] = lx.TND_RATES) -> DataFrame:
     """Adds ``amount_tnd``; currencies without a rate give null."""
     table = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])
-    return df.withColumn("amount_tnd", AMOUNT * F.try_element_at(table, F.col("currency")))
+    return df.withColumn("amount_tnd", F.col("amount") * F.try_element_at(table, F.col("currency")))
 
 
 def flat_amounts(df: DataFrame) -> DataFrame:

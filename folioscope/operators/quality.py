@@ -18,8 +18,6 @@ from folioscope.functions.patterns import BLANK, WORD, has, strip
 from folioscope.operators.corpus import text_key
 from folioscope.operators.joins import with_position
 
-TEXT, LABEL = F.col("text"), F.col("label")
-N_CHARS = F.length(TEXT)
 MEANINGFUL_WORD = rf"(?<![{WORD}])[A-Za-z]{{3,}}(?![{WORD}])"
 
 
@@ -58,8 +56,8 @@ def null_profile(df: DataFrame) -> DataFrame:
 def short_text_profile(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(strip(TEXT) == "").alias("empty_texts"),
-        F.count_if(N_CHARS < 20).alias("short_texts"),
+        F.count_if(strip(F.col("text")) == "").alias("empty_texts"),
+        F.count_if(F.length("text") < 20).alias("short_texts"),
     ).withColumns(
         {
             "short_percent": _share(F.col("short_texts"), F.col("n")),
@@ -71,17 +69,17 @@ def short_text_profile(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows whose text has appeared before; digests, not texts, are shuffled."""
     return df.agg(
-        (F.count(F.lit(1)) - F.count_distinct(text_key(TEXT))).alias("duplicate_texts")
+        (F.count(F.lit(1)) - F.count_distinct(text_key(F.col("text")))).alias("duplicate_texts")
     )
 
 
 def length_stats(df: DataFrame) -> DataFrame:
     return df.agg(
-        F.avg(N_CHARS).alias("mean_length"),
-        F.median(N_CHARS).alias("median_length"),
-        F.min(N_CHARS).alias("min_length"),
-        F.max(N_CHARS).alias("max_length"),
-        F.count_if(N_CHARS > 5000).alias("very_long_texts"),
+        F.avg(F.length("text")).alias("mean_length"),
+        F.median(F.length("text")).alias("median_length"),
+        F.min(F.length("text")).alias("min_length"),
+        F.max(F.length("text")).alias("max_length"),
+        F.count_if(F.length("text") > 5000).alias("very_long_texts"),
         F.count(F.lit(1)).alias("n"),
     ).withColumn("too_many_long", F.col("very_long_texts") > F.col("n") * 0.01)
 
@@ -97,7 +95,7 @@ def is_meaningful(text: Column) -> Column:
 def nonprintable_count(df: DataFrame, sample_rows: int | None = None, order: str = "doc_id") -> DataFrame:
     """Rows with non-printable characters, flagged above 5% of the rows looked at."""
     return _sampled(df, sample_rows, order).agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(is_nonprintable(TEXT)).alias("nonprintable_texts")
+        F.count(F.lit(1)).alias("checked"), F.count_if(is_nonprintable(F.col("text"))).alias("nonprintable_texts")
     ).withColumn(
         "many_nonprintable",
         F.col("nonprintable_texts") > (F.col("checked") if sample_rows is None else F.lit(sample_rows)) * 0.05,
@@ -113,7 +111,7 @@ def meaningful_ratio(
     thousand even when there are fewer.
     """
     return _sampled(df, sample_rows, order).agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(is_meaningful(TEXT)).alias("meaningful_texts")
+        F.count(F.lit(1)).alias("checked"), F.count_if(is_meaningful(F.col("text"))).alias("meaningful_texts")
     ).withColumn(
         "meaningful_percent",
         _share(F.col("meaningful_texts"), F.col("checked") if denominator is None else F.lit(denominator)),
@@ -134,7 +132,7 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _extremes() -> list[Column]:
-    frequent_first = F.struct(-F.col("n"), LABEL)
+    frequent_first = F.struct(-F.col("n"), F.col("label"))
     return [
         F.min_by("label", frequent_first).alias("most_common"),
         F.max("n").alias("max_count"),
@@ -166,7 +164,7 @@ def lint_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return (
         df.select(F.col(label).alias("label"))
         .distinct()
-        .withColumn("problem", label_problem(LABEL))
+        .withColumn("problem", label_problem(F.col("label")))
         .filter("problem is not null")
     )
 
@@ -174,7 +172,7 @@ def lint_labels(df: DataFrame, label: str = "label") -> DataFrame:
 def source_profile(df: DataFrame, source: str = "source") -> DataFrame:
     return (
         df.groupBy(F.col(source).alias("source"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(N_CHARS).alias("mean_length"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("mean_length"))
         .withColumn("percent", _share(F.col("n"), F.sum("n").over(W.partitionBy())))
     )
 
@@ -186,9 +184,9 @@ def neighbour_similarity(df: DataFrame, key: str = "doc_id", reach: int = 9, blo
     the block before it, so one shuffle serves all comparisons and no block can grow hot.
     """
     words = F.array_distinct(
-        F.filter(F.split(F.lower(TEXT), f"[{BLANK}]+"), lambda w: w != "")
+        F.filter(F.split(F.lower(F.col("text")), f"[{BLANK}]+"), lambda w: w != "")
     )
-    numbered = with_position(df.select(F.col(key).alias("id"), TEXT), "id").select(
+    numbered = with_position(df.select(F.col(key).alias("id"), F.col("text")), "id").select(
         "id", "pos", words.alias("words")
     )
     home = F.floor((F.col("pos") - 1) / block)
@@ -241,29 +239,29 @@ def near_duplicate_pairs(
 def ocr_artifact_counts(df: DataFrame) -> DataFrame:
     """(artifact, n): rows matching each artefact pattern."""
     counts = df.agg(
-        *[F.count_if(has(TEXT, p, False)).alias(name) for name, p in lx.OCR_PATTERNS.items()]
+        *[F.count_if(has(F.col("text"), p, False)).alias(name) for name, p in lx.OCR_PATTERNS.items()]
     )
     return counts.unpivot([], list(lx.OCR_PATTERNS), "artifact", "n")
 
 
 def size_estimate(df: DataFrame) -> DataFrame:
-    return df.agg((F.count(F.lit(1)) * F.avg(N_CHARS) / 1048576).alias("megabytes"))
+    return df.agg((F.count(F.lit(1)) * F.avg(F.length("text")) / 1048576).alias("megabytes"))
 
 
 def corpus_facts(df: DataFrame) -> DataFrame:
     """One row with every text-level count the grade needs, in one pass over the corpus."""
-    ocr = reduce(lambda a, b: a | b, [has(TEXT, p, False) for p in lx.OCR_PATTERNS.values()])
+    ocr = reduce(lambda a, b: a | b, [has(F.col("text"), p, False) for p in lx.OCR_PATTERNS.values()])
     return df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in df.columns],
-        F.avg(N_CHARS).alias("mean_length"),
-        F.count_if(strip(TEXT) == "").alias("empty_texts"),
-        F.count_if(N_CHARS < 20).alias("short_texts"),
-        F.count_if(N_CHARS > 5000).alias("long_texts"),
-        F.count_if(is_nonprintable(TEXT)).alias("nonprintable"),
-        F.count_if(is_meaningful(TEXT)).alias("meaningful"),
+        F.avg(F.length("text")).alias("mean_length"),
+        F.count_if(strip(F.col("text")) == "").alias("empty_texts"),
+        F.count_if(F.length("text") < 20).alias("short_texts"),
+        F.count_if(F.length("text") > 5000).alias("long_texts"),
+        F.count_if(is_nonprintable(F.col("text"))).alias("nonprintable"),
+        F.count_if(is_meaningful(F.col("text"))).alias("meaningful"),
         F.count_if(ocr).alias("ocr_texts"),
-        F.count_distinct(text_key(TEXT)).alias("distinct_texts"),
+        F.count_distinct(text_key(F.col("text"))).alias("distinct_texts"),
     )
 
 
@@ -274,7 +272,7 @@ def quality_grade(df: DataFrame, key: str = "doc_id") -> DataFrame:
         F.count(F.lit(1)).alias("labels"),
         F.try_divide(F.max("n"), F.min("n")).alias("ratio"),
         F.count_if(F.col("n") < 10).alias("small"),
-        F.count_if(label_problem(LABEL).isNotNull()).alias("misspelled"),
+        F.count_if(label_problem(F.col("label")).isNotNull()).alias("misspelled"),
     )
     near = near_duplicate_pairs(df, key).select("near_duplicates")
     one = F.lit(1).alias("_one")
@@ -389,7 +387,7 @@ def validate_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
         F.sum("after").alias("rows_after"),
         F.count_if(F.col("difference") != 0).alias("labels_changed"),
     )
-    left = after.agg(F.count_if(TEXT.rlike(rf"^[{BLANK}]*\{{")).alias("json_rows_left"))
+    left = after.agg(F.count_if(F.col("text").rlike(rf"^[{BLANK}]*\{{")).alias("json_rows_left"))
     one = F.lit(1).alias("_one")
     return (
         counts.select("*", one)
@@ -414,10 +412,10 @@ def label_lengths(df: DataFrame) -> DataFrame:
     """(label, n, chars, min_length, wordy, null_texts): the corpus folded to one row per label."""
     return df.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(N_CHARS).alias("chars"),
-        F.min(N_CHARS).alias("min_length"),
-        F.count_if(TEXT.rlike("[A-Za-z]{3,}")).alias("wordy"),
-        F.count_if(TEXT.isNull()).alias("null_texts"),
+        F.sum(F.length("text")).alias("chars"),
+        F.min(F.length("text")).alias("min_length"),
+        F.count_if(F.col("text").rlike("[A-Za-z]{3,}")).alias("wordy"),
+        F.count_if(F.col("text").isNull()).alias("null_texts"),
     )
 
 
@@ -439,9 +437,9 @@ def validate_cleaned(df: DataFrame) -> DataFrame:
         F.count("label").alias("labels"),
         F.try_divide(F.sum("chars"), F.sum("n") - F.sum("null_texts")).alias("mean_length"),
         F.min("min_length").alias("min_length"),
-        F.try_divide(F.max(F.when(LABEL.isNotNull(), F.col("n"))), F.min(F.when(LABEL.isNotNull(), F.col("n")))).alias("ratio"),
+        F.try_divide(F.max(F.when(F.col("label").isNotNull(), F.col("n"))), F.min(F.when(F.col("label").isNotNull(), F.col("n")))).alias("ratio"),
         F.sum("null_texts").alias("null_texts"),
-        F.sum(F.when(LABEL.isNull(), F.col("n")).otherwise(0)).alias("null_labels"),
+        F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("null_labels"),
     )
     checks = [
         (F.col("null_texts") > 0, "Null texts found"),
@@ -459,7 +457,7 @@ def validate_cleaned(df: DataFrame) -> DataFrame:
 def top_n_with_others(df: DataFrame, label: str = "label", n: int = 8) -> DataFrame:
     """(label, n, percent): the ``n`` largest classes and all the rest as Others."""
     ranked = label_counts(df, label).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "label")))
-    name = F.when(F.col("rank") <= n, LABEL).otherwise("Others")
+    name = F.when(F.col("rank") <= n, F.col("label")).otherwise("Others")
     return (
         ranked.groupBy(name.alias("label"))
         .agg(F.sum("n").alias("n"))
@@ -475,7 +473,7 @@ def length_boxplot(df: DataFrame, label: str = "label", top: int = 6) -> DataFra
     """
     counts = label_counts(df, label)
     largest = counts.orderBy(F.desc("n"), "label").limit(top).select("label")
-    rows = df.select(F.col(label).alias("label"), N_CHARS.alias("chars"))
+    rows = df.select(F.col(label).alias("label"), F.length("text").alias("chars"))
     return (
         rows.join(F.broadcast(largest), "label", "left_semi")  # `top` rows
         .groupBy("label")

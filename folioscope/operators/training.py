@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -119,39 +120,49 @@ def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: flo
     ]
 
 
-def _labelled(stages: list, classifier) -> Pipeline:
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
-            *stages,
-            classifier,
-        ]
+def _label_index() -> StringIndexer:
+    return StringIndexer(
+        inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"
     )
 
 
-def train_linear_classifier(df: DataFrame, vocabulary: int = VOCABULARY, c: float = 1.5, max_iter: int = 50) -> PipelineModel:
+def _fit_on_features(df: DataFrame, features: list, classifier, keep: list[str]) -> PipelineModel:
+    """Fit the feature stages, keep their vectors, fit the classifier on those.
+
+    Optimisers pass over the data many times; they read stored vectors, not text.
+    """
+    prepared = Pipeline(stages=[_label_index(), *features]).fit(df)
+    vectors = prepared.transform(df).select("label_index", "features", *keep)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = classifier.fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[*prepared.stages, fitted])
+
+
+def train_linear_classifier(
+    df: DataFrame, vocabulary: int = VOCABULARY, c: float = 1.5, max_iter: int = 50, parallelism: int = 4
+) -> PipelineModel:
     """One-versus-rest linear SVMs with balanced class weights.
 
     ``c`` weighs the data against the penalty, so the penalty per row is 1 / (c n).
     """
-    weighted = with_class_weight(df)
-    n = df.count()
-    svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)))
+    svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(df.count(), 1)))
     classifier = OneVsRest(
         classifier=svm, labelCol="label_index", featuresCol="features", weightCol="class_weight",
-        rawPredictionCol="rawPrediction",
+        rawPredictionCol="rawPrediction", parallelism=parallelism,
     )
-    return _labelled(text_features(vocabulary), classifier).fit(weighted)
+    return _fit_on_features(with_class_weight(df), text_features(vocabulary), classifier, ["class_weight"])
 
 
 def train_logistic(df: DataFrame, vocabulary: int = 5_000, max_iter: int = 1_000) -> PipelineModel:
     """Multinomial logistic regression with unit penalty over the whole data."""
-    n = df.count()
     classifier = LogisticRegression(
         labelCol="label_index", featuresCol="features", family="multinomial", maxIter=max_iter,
-        regParam=1.0 / max(n, 1),
+        regParam=1.0 / max(df.count(), 1),
     )
-    return _labelled(text_features(vocabulary, 1.0, 1.0), classifier).fit(df)
+    return _fit_on_features(df, text_features(vocabulary, 1.0, 1.0), classifier, [])
 
 
 def grid_search(
@@ -173,7 +184,7 @@ def grid_search(
         .build()
     )
     return CrossValidator(
-        estimator=_labelled(stages, classifier),
+        estimator=Pipeline(stages=[_label_index(), *stages, classifier]),
         estimatorParamMaps=grid,
         evaluator=MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy"),
         numFolds=folds,
@@ -268,11 +279,12 @@ def confusion_matrix(
     prediction: str = "prediction",
     normalize: bool = False,
 ) -> DataFrame:
-    """One row per true class, one column per predicted class, listed classes only."""
-    listed = df.filter(F.col(label).isin(*classes) & F.col(prediction).isin(*classes))
-    table = (
-        listed.groupBy(F.col(label).alias("label")).pivot(prediction, classes).agg(F.count(F.lit(1)))
-    )
+    """One row per true class, one column per predicted class, listed classes only.
+
+    The pivot ignores unlisted predictions and the join unlisted labels, so no filter repeats
+    the work behind the prediction column.
+    """
+    table = df.groupBy(F.col(label).alias("label")).pivot(prediction, classes).agg(F.count(F.lit(1)))
     every = df.sparkSession.createDataFrame([(c,) for c in classes], "label string")
     dense = every.join(table, "label", "left").na.fill(0, classes)
     if not normalize:

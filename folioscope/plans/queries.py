@@ -30,8 +30,6 @@ from folioscope.streaming import ingest, totals
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TEXT = F.col("text")
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -56,18 +54,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def clean_text_basic(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.clean_text_basic(TEXT).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.clean_text_basic(F.col("text")).alias("text"))
 
 
 @query
 def clean_training_text(spark, sf_dir):
-    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_training_text(TEXT).alias("text"))
+    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_training_text(F.col("text")).alias("text"))
     return cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
 
 
 @query
 def clean_punctuation(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.clean_punctuation(TEXT).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.clean_punctuation(F.col("text")).alias("text"))
 
 
 @query
@@ -75,13 +73,13 @@ def clean_text_multilingual(spark, sf_dir):
     both = documents(spark, sf_dir).select("doc_id", "text").unionByName(
         business_documents(spark, sf_dir).select(F.col("doc_id") + 1_000_000_000, "text").toDF("doc_id", "text")
     )
-    cleaned = both.select("doc_id", text.clean_text_multilingual(TEXT).alias("text"))
-    return cleaned.withColumn("too_short", text.is_too_short(TEXT))
+    cleaned = both.select("doc_id", text.clean_text_multilingual(F.col("text")).alias("text"))
+    return cleaned.withColumn("too_short", text.is_too_short(F.col("text")))
 
 
 @query
 def clean_for_excerpt(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(TEXT).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(F.col("text")).alias("text"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,33 +108,33 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_receipt_to_text(spark, sf_dir):
-    return receipts(spark, sf_dir).select("doc_id", text.json_receipt_to_text(TEXT).alias("text"))
+    return receipts(spark, sf_dir).select("doc_id", text.json_receipt_to_text(F.col("text")).alias("text"))
 
 
 @query
 def apply_cleaned(spark, sf_dir):
     return receipts(spark, sf_dir).select(
-        "doc_id", "label", text.apply_cleaned(TEXT, text.json_receipt_to_text(TEXT)).alias("text")
+        "doc_id", "label", text.apply_cleaned(F.col("text"), text.json_receipt_to_text(F.col("text"))).alias("text")
     )
 
 
 @query
 def unwrap_json_text(spark, sf_dir):
     kind = F.pmod("doc_id", F.lit(3))
-    wrapped = F.when(kind == 0, F.to_json(F.struct("doc_id", "text"))).when(kind == 1, F.concat(F.lit('{"text" '), TEXT))
+    wrapped = F.when(kind == 0, F.to_json(F.struct("doc_id", "text"))).when(kind == 1, F.concat(F.lit('{"text" '), F.col("text")))
     return documents(spark, sf_dir).select(
-        "doc_id", text.unwrap_json_text(wrapped.otherwise(TEXT)).alias("text")
+        "doc_id", text.unwrap_json_text(wrapped.otherwise(F.col("text"))).alias("text")
     )
 
 
 @query
 def strip_accents(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.strip_accents(TEXT).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.strip_accents(F.col("text")).alias("text"))
 
 
 @query
 def tokenize_filter(spark, sf_dir):
-    clean = text.clean_text_multilingual(TEXT)
+    clean = text.clean_text_multilingual(F.col("text"))
     return documents(spark, sf_dir).select(
         "doc_id", F.array_join(text.tokenize_filter(clean), " ").alias("tokens")
     )
@@ -144,23 +142,23 @@ def tokenize_filter(spark, sf_dir):
 
 @query
 def boost_keywords(spark, sf_dir):
-    return business_documents(spark, sf_dir).select("doc_id", text.boost_keywords(TEXT).alias("text"))
+    return business_documents(spark, sf_dir).select("doc_id", text.boost_keywords(F.col("text")).alias("text"))
 
 
 @query
 def truncate_for_embedding(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.truncate_for_embedding(TEXT).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.truncate_for_embedding(F.col("text")).alias("text"))
 
 
 @query
 def truncate_at_word(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.truncate_at_word(TEXT, 200).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.truncate_at_word(F.col("text"), 200).alias("text"))
 
 
 @query
 def prepare_report_text(spark, sf_dir):
-    kept = documents(spark, sf_dir).filter(text.has_report_text(TEXT))
-    return kept.select("doc_id", text.prepare_report_text(TEXT).alias("text"))
+    kept = documents(spark, sf_dir).filter(text.has_report_text(F.col("text")))
+    return kept.select("doc_id", text.prepare_report_text(F.col("text")).alias("text"))
 
 
 # --- labels ---------------------------------------------------------------------------------
@@ -200,7 +198,7 @@ def infer_label(spark, sf_dir):
         label=F.when(kind == 0, F.upper("label")),
         category=F.when(kind == 1, F.concat(F.lit(" "), F.col("label"))),
         file_name=F.when(kind == 2, F.concat(F.col("label"), F.lit("_17.PDF"))),
-        text=TEXT,
+        text=F.col("text"),
     )
     return docs.select("doc_id", inferred.alias("label"))
 
@@ -225,7 +223,7 @@ def lint_labels(spark, sf_dir):
 @query
 def rule_score(spark, sf_dir):
     plain = business_documents(spark, sf_dir).select(
-        "doc_id", rules.rule_points(text.strip_accents(TEXT)).alias("points")
+        "doc_id", rules.rule_points(text.strip_accents(F.col("text"))).alias("points")
     )
     return plain.select(
         "doc_id",
@@ -236,7 +234,7 @@ def rule_score(spark, sf_dir):
 
 @query
 def decision_list(spark, sf_dir):
-    clean = text.clean_text_multilingual(TEXT)
+    clean = text.clean_text_multilingual(F.col("text"))
     return business_documents(spark, sf_dir).select(
         "doc_id", "label", rules.decision_list(clean).alias("document_type")
     )
@@ -244,7 +242,7 @@ def decision_list(spark, sf_dir):
 
 @query
 def keyword_vote(spark, sf_dir):
-    vote = rules.keyword_vote(TEXT)
+    vote = rules.keyword_vote(F.col("text"))
     return business_documents(spark, sf_dir).select("doc_id", vote.alias("v")).select(
         "doc_id",
         "v.prediction",
@@ -265,7 +263,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adjust_scores(spark, sf_dir):
-    adjusted = rules.adjust_scores(F.col("scores"), rules.evidence(TEXT))
+    adjusted = rules.adjust_scores(F.col("scores"), rules.evidence(F.col("text")))
     return scored(spark, sf_dir).select("doc_id", adjusted.alias("scores")).select("doc_id", *score_columns())
 
 
@@ -281,14 +279,14 @@ def threshold_and_restrict(spark, sf_dir):
 def definitive_override(spark, sf_dir):
     top = rules.top_entry(F.col("scores"))["key"]
     return scored(spark, sf_dir).select(
-        "doc_id", rules.definitive_override(TEXT, top, F.col("scores")).alias("prediction")
+        "doc_id", rules.definitive_override(F.col("text"), top, F.col("scores")).alias("prediction")
     )
 
 
 @query
 def ambiguity_flag(spark, sf_dir):
     top = rules.top_entry(F.col("scores"))["key"]
-    out = rules.ambiguity_flag(top, F.col("scores"), rules.evidence(TEXT))
+    out = rules.ambiguity_flag(top, F.col("scores"), rules.evidence(F.col("text")))
     return scored(spark, sf_dir).select("doc_id", out.alias("o")).select(
         "doc_id", "o.prediction", F.col("o.confidence_scores").alias("scores")
     ).select("doc_id", "prediction", *score_columns())
@@ -297,7 +295,7 @@ def ambiguity_flag(spark, sf_dir):
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, text, prediction, confidence, confidence_scores) of the score steps."""
     return scored(spark, sf_dir).select(
-        "doc_id", "label", "text", rules.predict(TEXT, F.col("scores")).alias("p")
+        "doc_id", "label", "text", rules.predict(F.col("text"), F.col("scores")).alias("p")
     ).select("doc_id", "label", "text", "p.*")
 
 
@@ -310,14 +308,14 @@ def predict(spark, sf_dir):
 
 @query
 def hybrid_decision(spark, sf_dir):
-    rule = rules.rule_score(F.lower(TEXT))
+    rule = rules.rule_score(F.lower(F.col("text")))
     decided = rules.hybrid_decision(F.col("prediction"), F.col("confidence"), rule)
     return predicted(spark, sf_dir).select("doc_id", decided.alias("d")).select("doc_id", "d.*")
 
 
 @query
 def final_prediction(spark, sf_dir):
-    listed = rules.decision_list(text.clean_text_multilingual(TEXT))
+    listed = rules.decision_list(text.clean_text_multilingual(F.col("text")))
     rows = predicted(spark, sf_dir).withColumn("rule", listed)
     return rows.select(
         "doc_id",
@@ -339,10 +337,10 @@ def confidence_flag(spark, sf_dir):
 
 @query
 def commercial_decision(spark, sf_dir):
-    listed = rules.decision_list(text.clean_text_multilingual(TEXT))
+    listed = rules.decision_list(text.clean_text_multilingual(F.col("text")))
     prediction, confidence = F.col("prediction"), F.col("confidence")
     rows = predicted(spark, sf_dir).withColumn("rule", listed)
-    hybrid = rules.hybrid_decision(prediction, confidence, rules.rule_score(F.lower(TEXT)))
+    hybrid = rules.hybrid_decision(prediction, confidence, rules.rule_score(F.lower(F.col("text"))))
     return rows.withColumn("hybrid", hybrid).select(
         "doc_id",
         rules.commercial_decision(F.col("rule"), prediction, confidence, F.col("hybrid")).alias("a"),
@@ -391,7 +389,7 @@ def parse_date_formats(spark, sf_dir):
 
 @query
 def extract_client(spark, sf_dir):
-    name, address = fields.extract_client(TEXT)
+    name, address = fields.extract_client(F.col("text"))
     return business_documents(spark, sf_dir).select(
         "doc_id", name.alias("client_name"), address.alias("client_address")
     )
@@ -399,57 +397,57 @@ def extract_client(spark, sf_dir):
 
 @query
 def response_projection(spark, sf_dir):
-    name, address = fields.extract_client(TEXT)
-    found = {"date": dates.extract_dates(TEXT)[0], "client_name": name, "client_address": address}
+    name, address = fields.extract_client(F.col("text"))
+    found = {"date": dates.extract_dates(F.col("text"))[0], "client_name": name, "client_address": address}
     return detect.response_projection(business_documents(spark, sf_dir), found).drop("text")
 
 
 @query
 def extract_dates(spark, sf_dir):
-    date, due = dates.extract_dates(TEXT)
+    date, due = dates.extract_dates(F.col("text"))
     return business_documents(spark, sf_dir).select("doc_id", date.alias("date"), due.alias("due_date"))
 
 
 @query
 def extract_fields_by_type(spark, sf_dir):
-    found = fields.extract_fields_by_type(TEXT, F.col("label"))
+    found = fields.extract_fields_by_type(F.col("text"), F.col("label"))
     return business_documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
 @query
 def analyze_invoice(spark, sf_dir):
     cleaned = business_documents(spark, sf_dir).select(
-        "doc_id", text.clean_text_multilingual(TEXT).alias("clean")
+        "doc_id", text.clean_text_multilingual(F.col("text")).alias("clean")
     )
     return cleaned.select("doc_id", *[c.alias(n) for n, c in fields.analyze_invoice(F.col("clean")).items()])
 
 
 @query
 def extract_key_info(spark, sf_dir):
-    found = fields.extract_key_info(TEXT)
+    found = fields.extract_key_info(F.col("text"))
     return business_documents(spark, sf_dir).select("doc_id", *[joined(c).alias(n) for n, c in found.items()])
 
 
 @query
 def sentence_scores(spark, sf_dir):
-    clean = documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(TEXT).alias("clean"))
+    clean = documents(spark, sf_dir).select("doc_id", text.clean_for_excerpt(F.col("text")).alias("clean"))
     split = clean.select("doc_id", F.posexplode(fields.sentences(F.col("clean"))).alias("sentence_no", "sentence"))
     return split.select("doc_id", "sentence_no", "sentence", fields.sentence_score(F.col("sentence")).alias("score"))
 
 
 @query
 def smart_excerpt(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", fields.smart_excerpt(TEXT).alias("excerpt"))
+    return documents(spark, sf_dir).select("doc_id", fields.smart_excerpt(F.col("text")).alias("excerpt"))
 
 
 @query
 def extract_amount(spark, sf_dir):
-    amount = amounts.extract_amount(TEXT)
+    amount = amounts.extract_amount(F.col("text"))
     rows = business_documents(spark, sf_dir).select("doc_id", "text", amount.alias("found"))
     return rows.select(
         "doc_id",
         F.coalesce("found", F.lit(0.0)).alias("amount"),
-        amounts.amount_currency(F.col("found"), TEXT).alias("currency"),
+        amounts.amount_currency(F.col("found"), F.col("text")).alias("currency"),
     )
 
 
@@ -458,12 +456,12 @@ def identify_currency(spark, sf_dir):
     both = documents(spark, sf_dir).select("doc_id", "text").unionByName(
         business_documents(spark, sf_dir).select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text")
     )
-    return both.select("doc_id", amounts.identify_currency(TEXT).alias("currency"))
+    return both.select("doc_id", amounts.identify_currency(F.col("text")).alias("currency"))
 
 
 @query
 def extract_date(spark, sf_dir):
-    day = dates.extract_date(TEXT, as_of())
+    day = dates.extract_date(F.col("text"), as_of())
     return business_documents(spark, sf_dir).select("doc_id", F.date_format(day, "yyyy-MM-dd").alias("day"))
 
 
@@ -478,7 +476,7 @@ def categorize(spark, sf_dir):
 @query
 def describe(spark, sf_dir):
     return business_documents(spark, sf_dir).select(
-        "doc_id", amounts.describe(TEXT, F.col("label")).alias("description")
+        "doc_id", amounts.describe(F.col("text"), F.col("label")).alias("description")
     )
 
 
@@ -510,8 +508,8 @@ def largest_amount(spark, sf_dir):
     info = F.col("info")
     return rows.select(
         "doc_id",
-        F.round(amounts.largest_amount(TEXT, info), 4).alias("amount"),
-        F.round(amounts.largest_amount(TEXT, info, False), 4).alias("amount_commas_skipped"),
+        F.round(amounts.largest_amount(F.col("text"), info), 4).alias("amount"),
+        F.round(amounts.largest_amount(F.col("text"), info, False), 4).alias("amount_commas_skipped"),
     )
 
 
@@ -852,7 +850,8 @@ def size_estimate(spark, sf_dir):
 
 @query
 def rank_classes(spark, sf_dir):
-    return rounded(quality.rank_classes(labelled(spark, sf_dir, "source")))
+    ranked = rounded(quality.rank_classes(labelled(spark, sf_dir, "source")))
+    return ranked.withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 @query
@@ -880,7 +879,7 @@ def compare_distributions(spark, sf_dir):
 @query
 def validate_preserved(spark, sf_dir):
     before = receipts(spark, sf_dir)
-    cleaned = text.apply_cleaned(TEXT, text.json_receipt_to_text(TEXT))
+    cleaned = text.apply_cleaned(F.col("text"), text.json_receipt_to_text(F.col("text")))
     return quality.validate_preserved(before, before.select("doc_id", "label", cleaned.alias("text")))
 
 
@@ -896,7 +895,7 @@ def validate_samples(spark, sf_dir):
 
 @query
 def validate_cleaned(spark, sf_dir):
-    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(TEXT))
+    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(F.col("text")))
     found = quality.validate_cleaned(cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH))
     return rounded(found.withColumn("issues", joined(F.col("issues"))))
 
@@ -924,7 +923,7 @@ def dataset_summary(spark, sf_dir):
 @query
 def cleaned_corpus_profile(spark, sf_dir):
     """Cleaned corpus, label counts and length statistics per language."""
-    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(TEXT))
+    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(F.col("text")))
     kept = cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
     return rounded(quality.dataset_summary(kept))
 
@@ -1087,10 +1086,29 @@ def scan_labelled_csv(spark, sf_dir):
     return digest(files.scan_labelled_csv(spark, path))
 
 
+def as_arrays(df: DataFrame) -> DataFrame:
+    """Lines of one JSON array per partition from a column of JSON objects."""
+
+    def lines(frames):
+        import pandas
+
+        separator = "["
+        for frame in frames:
+            out = []
+            for value in frame["value"]:
+                out.append(separator + value)
+                separator = ","
+            yield pandas.DataFrame({"value": out})
+        yield pandas.DataFrame({"value": ["[]" if separator == "[" else "]"]})
+
+    return df.mapInPandas(lines, "value string")
+
+
 @query
 def scan_json_records(spark, sf_dir):
     path = scratch_dir(spark, "json")
-    documents(spark, sf_dir).select(F.col("text").alias("body"), F.col("source").alias("category")).write.json(path)
+    records = F.to_json(F.struct(F.col("text").alias("body"), F.col("source").alias("category")))
+    as_arrays(documents(spark, sf_dir).select(records.alias("value"))).write.text(path)
     return digest(files.scan_json_records(spark, path, schema="body string, category string"))
 
 
@@ -1165,7 +1183,7 @@ def class_weights(spark, sf_dir):
 
 
 def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = text.clean_text_multilingual(TEXT)
+    clean = text.clean_text_multilingual(F.col("text"))
     return business_documents(spark, sf_dir).select(
         "label", rules.decision_list(clean).alias("prediction")
     )

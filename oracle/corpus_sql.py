@@ -101,12 +101,16 @@ def matrix(classes: list[str], normalize: bool) -> str:
       select e.label, {shown} from (select unnest({strings(classes)}) as label) e left join m on e.label = m.label"""
 
 
-def column_facts(table: str, columns: list[str], text: str, label: str | None) -> str:
-    return " union all ".join(
-        f"""select {q(table)} as table_name, {q(c)} as "column", round(avg(length(coalesce({c}, 'nan'))), 6) as mean_length,
-        round(count(distinct {c}) / count(*), 6) as distinct_ratio, {str(c == text).lower()} as is_text, {str(c == label).lower()} as is_label from {table}"""
-        for c in columns
+def column_facts(table: str, columns: list[str]) -> str:
+    """Facts per string column, the text column (named or longest) and the label column."""
+    rows = " union all ".join(
+        f"select {i} as at_no, {q(c)} as col, avg(length(coalesce({c}, 'nan'))) as len, count(distinct {c}) / count(*) as ratio from {table}"
+        for i, c in enumerate(columns)
     )
+    text = q("text") if "text" in columns else "(select col from f order by len desc, at_no limit 1)"
+    return f"""select {q(table)} as table_name, col as "column", round(len, 6) as mean_length, round(ratio, 6) as distinct_ratio, col = {text} as is_text,
+      coalesce(at_no = (select min(at_no) from f where ratio between 0.01 and 0.5 and col <> {text}), false) as is_label from (
+      {rows}) facts""".replace("from f where", f"from ({rows}) f where").replace("from f order", f"from ({rows}) f order")
 
 
 STATEMENTS = {
@@ -139,7 +143,7 @@ STATEMENTS = {
     "quality_grade": GRADE,
     "size_estimate": "select round(sum(length(text)) / 1048576, 6) as megabytes from documents",
     "rank_classes": f"""with {SOURCE} select row_number() over (order by n desc, label) as rank, label, n, round(n * 100.0::double / sum(n) over (), 6) as percent from cnt
-      union all select null, 'TOTAL', sum(n), 100.0 from cnt""",
+      union all select 0, 'TOTAL', sum(n)::bigint, 100.0 from cnt""",
     "size_bands": f"""with {LANG}, b as (select *, case when n >= 1000 then 'large' when n >= 100 then 'medium' else 'small' end as band from cnt)
       select band, count(*) as classes, sum(n)::bigint as n from b group by band""",
     "balance_status": f"""with {LANG} select {EXTREMES}, case when max(n) / min(n) <= 10 then 'EXCELLENT' when max(n) / min(n) <= 50 then 'GOOD'
@@ -186,10 +190,15 @@ STATEMENTS = {
     "weighted_union": "select doc_id, source from documents union all select doc_id, source from documents where source in ('src1', 'src2')",
     "take_first_n": "select doc_id, text from documents order by doc_id limit 300",
     "detect_text_column": " union all ".join([
-        column_facts("documents", ["text", "lang", "source"], "text", "lang_or_none"),
-        column_facts("customer", ["c_name", "c_mktsegment"], "c_name", None),
-        column_facts("part", ["p_name", "p_brand", "p_type"], "PTEXT", "PLABEL"),
-        column_facts("orders", ["o_orderstatus", "o_orderpriority"], "o_orderpriority", None),
+        column_facts("documents", ["text", "lang", "source"]),
+        column_facts("customer", ["c_name", "c_mktsegment"]),
+        column_facts("part", ["p_name", "p_brand", "p_type"]),
+        column_facts("orders", ["o_orderstatus", "o_orderpriority"]),
+    ]),
+    "detect_label_column": " union all ".join([
+        column_facts("pages", ["url", "html"]),
+        column_facts("nation", ["n_name"]),
+        column_facts("events", ["event_type", "props"]),
     ]),
     "coalesce_text": """select p_partkey as id, array_to_string(list_filter([p_name, p_brand, p_type], lambda v: length(v) > 10), ' ') as text from part
       union all select doc_id, text from documents""",
