@@ -57,22 +57,27 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + portable(pattern)
 
 
-def literal_start(pattern: str) -> str:
-    """Plain text every match of ``pattern`` must begin with ('' if there is none)."""
-    depth = 0
-    for ch in re.sub(r"\\.|\[[^]]*\]", "", pattern):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "|" and depth == 0:
+def required_literal(pattern: str) -> str:
+    """Longest plain text that every match of ``pattern`` contains ('' if none is sure)."""
+    outside, depth = [], 0
+    for part in re.findall(r"\\.|\[[^]]*\]|.", pattern):
+        if part == "|" and depth == 0:
             return ""
-    start = re.match(r"[^\W\d_]*(?: [^\W\d_]+)*", pattern).group()
-    return start[:-1] if pattern[len(start) : len(start) + 1] in ("?", "*", "{") else start
+        if part in "()":
+            depth += 1 if part == "(" else -1
+            part = "\0"
+        outside.append(part if depth == 0 and (part.isalpha() or part in " ?*{") else "\0")
+    runs = re.findall(r"[^\0?*{]+(?![?*{])|[^\0?*{]+(?=[?*{])", "".join(outside))
+    # a letter under a quantifier may be absent
+    sure = [r if not re.search(re.escape(r) + r"[?*{]", "".join(outside)) else r[:-1] for r in runs]
+    return max(sure, key=len, default="")
 
 
 def has(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Whether ``pattern`` matches; a plain substring test goes first where it can decide."""
     matched = col.rlike(java(pattern, ignore_case))
-    start = "" if ignore_case else literal_start(pattern)
-    return col.contains(start) & matched if len(start) > 1 else matched
+    part = "" if ignore_case else required_literal(pattern)
+    return col.contains(part) & matched if len(part) > 1 else matched
 
 
 def sql_text(value: str) -> str:
@@ -86,8 +91,8 @@ def sql_text(value: str) -> str:
 
 def sql_has(name: str, pattern: str, ignore_case: bool = True) -> str:
     matched = f"{name} rlike {sql_text(java(pattern, ignore_case))}"
-    start = "" if ignore_case else literal_start(pattern)
-    return f"(contains({name}, {sql_text(start)}) and {matched})" if len(start) > 1 else f"({matched})"
+    part = "" if ignore_case else required_literal(pattern)
+    return f"(contains({name}, {sql_text(part)}) and {matched})" if len(part) > 1 else f"({matched})"
 
 
 def sql_contains(name: str, words: Iterable[str]) -> str:

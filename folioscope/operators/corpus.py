@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import lexicon as lx
-from folioscope.operators.joins import attach_class_table, hash_rank_cutoffs, seeded_hash
+from folioscope.functions.text import MIN_CLEAN_LENGTH, clean_training_text
+from folioscope.operators.joins import (
+    attach_class_table,
+    hash_rank_cutoffs,
+    seeded_hash,
+    with_computed,
+)
 
 SEED = 42
 
 
+def clean_training_corpus(df: DataFrame, min_length: int = MIN_CLEAN_LENGTH) -> DataFrame:
+    """Texts cleaned for training, those left too short dropped."""
+    cleaned = with_computed(df, text=clean_training_text(F.col("text")))
+    return cleaned.filter(F.length("text") >= min_length)
+
+
 def text_key(text: Column) -> Column:
     """32-byte digest that stands for a text in shuffles; null counts as one text."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("\0null")), 256))

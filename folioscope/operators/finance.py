@@ -74,6 +74,21 @@ def _messages(checks: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
 
 
+def _advice(currencies: Column, n: Column) -> Column:
+    """Messages from the columns income, expense, potential, quotes, invoices and two counts."""
+    income, expense = F.col("income"), F.col("expense")
+    return _messages(
+        [
+            (expense > income, lx.ADVICE_COSTS),
+            ((expense <= income) & (income > expense * 2), lx.ADVICE_CASH),
+            (F.col("potential") > income * 0.5, lx.ADVICE_POTENTIAL),
+            (F.col("quotes") > F.col("invoices"), lx.ADVICE_QUOTES),
+            (currencies > 2, lx.ADVICE_CURRENCIES),
+            (n < 5, lx.ADVICE_FEW_ROWS),
+        ]
+    )
+
+
 def report_advice(df: DataFrame, limit: int = 5) -> DataFrame:
     """One row with up to five messages."""
     kind = F.col("document_type")
@@ -81,19 +96,11 @@ def report_advice(df: DataFrame, limit: int = 5) -> DataFrame:
         *_category_sums(),
         F.count_if(kind == "quote").alias("quotes"),
         F.count_if(kind == "invoice").alias("invoices"),
-        F.size(F.collect_set("currency")).alias("currencies"),  # at most the known currencies
+        F.count_distinct("currency").alias("currencies"),
         F.count(F.lit(1)).alias("n"),
     )
-    income, expense = F.col("income"), F.col("expense")
-    checks = [
-        (expense > income, lx.ADVICE_COSTS),
-        ((expense <= income) & (income > expense * 2), lx.ADVICE_CASH),
-        (F.col("potential") > income * 0.5, lx.ADVICE_POTENTIAL),
-        (F.col("quotes") > F.col("invoices"), lx.ADVICE_QUOTES),
-        (F.col("currencies") > 2, lx.ADVICE_CURRENCIES),
-        (F.col("n") < 5, lx.ADVICE_FEW_ROWS),
-    ]
-    return facts.select(F.slice(_messages(checks), 1, limit).alias("recommendations"))
+    advice = _advice(F.col("currencies"), F.col("n"))
+    return facts.select(F.slice(advice, 1, limit).alias("recommendations"))
 
 
 def transaction_details(df: DataFrame) -> DataFrame:
@@ -110,53 +117,64 @@ def transaction_details(df: DataFrame) -> DataFrame:
 def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """One row: period, summary, breakdowns by currency and type, advice.
 
-    The transactions are folded to one row per (currency, type, category) first; every part
-    of the report is an aggregate of that small table.
+    One pass folds the transactions to a cell per (currency, type, category); the report is
+    put together from those few cells in a single row.
     """
-    folded = (
+    cells = (
         period_filter(df, as_of, days)
         .groupBy("currency", "document_type", "category")
         .agg(exact_sum(F.col("amount")).alias("amount"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.collect_list(F.struct("currency", "document_type", "category", "amount", "rows")).alias("cells"))
     )
-    by_currency = currency_breakdown(folded).agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct("currency", F.struct("income", "expense", "potential", "net"))))
-        ).alias("currency_breakdown")
-    )
-    by_type = (
-        folded.groupBy("document_type")
-        .agg(F.sum("rows").alias("count"), exact_sum(F.col("amount")).alias("total"))
-        .select(
-            "document_type",
-            F.struct(
-                "count", F.round("total", 2).alias("total_amount"),
-                F.round(F.col("total") / F.col("count"), 2).alias("average_amount"),
-            ).alias("v"),
+
+    def total(field: str, zero: Column, keep) -> Column:
+        return F.aggregate(F.filter("cells", keep), zero, lambda acc, c: acc + c[field])
+
+    def money(keep) -> Column:
+        return total("amount", F.lit(0.0), keep)
+
+    def rows(keep) -> Column:
+        return total("rows", F.lit(0).cast("bigint"), keep)
+
+    def names(field: str) -> Column:
+        return F.array_sort(F.array_distinct(F.transform("cells", lambda c: c[field])))
+
+    def in_category(name: str, currency: Column | None = None):
+        if currency is None:
+            return lambda c: c["category"] == name
+        return lambda c: (c["category"] == name) & (c["currency"] == currency)
+
+    def currency_entry(currency: Column) -> Column:
+        parts = {
+            out: money(in_category(name, currency))
+            for out, name in (("income", "income"), ("expense", "expense"), ("potential", "potential_income"))
+        }
+        return F.struct(
+            *[F.round(v, 2).alias(k) for k, v in parts.items()],
+            F.round(parts["income"] - parts["expense"], 2).alias("net"),
         )
-        .agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("document_type", "v")))).alias(
-                "document_analysis"
-            )
+
+    def type_entry(kind: Column) -> Column:
+        amount, n = money(lambda c: c["document_type"] == kind), rows(lambda c: c["document_type"] == kind)
+        return F.struct(
+            n.alias("count"), F.round(amount, 2).alias("total_amount"), F.round(amount / n, 2).alias("average_amount")
         )
-    )
-    facts = folded.agg(
-        *_category_sums(),
-        F.coalesce(F.sum(F.when(F.col("document_type") == "quote", F.col("rows"))), F.lit(0)).alias("quotes"),
-        F.coalesce(F.sum(F.when(F.col("document_type") == "invoice", F.col("rows"))), F.lit(0)).alias("invoices"),
-        F.count_distinct("currency").alias("currencies"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("transaction_count"),
+
+    facts = cells.select(
+        money(in_category("income")).alias("income"),
+        money(in_category("expense")).alias("expense"),
+        money(in_category("potential_income")).alias("potential"),
+        rows(lambda c: c["document_type"] == "quote").alias("quotes"),
+        rows(lambda c: c["document_type"] == "invoice").alias("invoices"),
+        rows(lambda c: F.lit(True)).alias("transaction_count"),
+        names("currency").alias("currencies"),
+        F.map_from_arrays(names("currency"), F.transform(names("currency"), currency_entry)).alias("currency_breakdown"),
+        F.map_from_arrays(names("document_type"), F.transform(names("document_type"), type_entry)).alias("document_analysis"),
     )
     income, expense = F.col("income"), F.col("expense")
-    checks = [
-        (expense > income, lx.ADVICE_COSTS),
-        ((expense <= income) & (income > expense * 2), lx.ADVICE_CASH),
-        (F.col("potential") > income * 0.5, lx.ADVICE_POTENTIAL),
-        (F.col("quotes") > F.col("invoices"), lx.ADVICE_QUOTES),
-        (F.col("currencies") > 2, lx.ADVICE_CURRENCIES),
-        (F.col("transaction_count") < 5, lx.ADVICE_FEW_ROWS),
-    ]
+    advice = _advice(F.size("currencies"), F.col("transaction_count"))
     net = income - expense
-    summary = facts.select(
+    return facts.select(
         F.struct(F.lit(days).alias("days"), F.date_sub(as_of, days).alias("start_date"), as_of.alias("end_date")).alias("period"),
         F.struct(
             F.round(income, 2).alias("total_income"),
@@ -165,15 +183,10 @@ def financial_report(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
             F.round(net, 2).alias("net_result"),
             F.round(F.when(income > 0, net / income * 100).otherwise(0.0), 2).alias("profit_margin_percent"),
         ).alias("summary"),
+        "currency_breakdown",
+        "document_analysis",
         "transaction_count",
-        F.slice(_messages(checks), 1, 5).alias("recommendations"),
-        F.lit(1).alias("_one"),
-    )
-    one = F.lit(1).alias("_one")
-    return (
-        summary.join(F.broadcast(by_currency.select("*", one)), "_one")  # single rows
-        .join(F.broadcast(by_type.select("*", one)), "_one")
-        .drop("_one")
+        F.slice(advice, 1, 5).alias("recommendations"),
     )
 
 

@@ -17,7 +17,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     worked on by a single core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose values are worked out once, where they stand.
+
+    A plain projection is repeated inside every filter on it, and such a filter sinks below
+    shuffles; a generated row stays in place. For values that are costly per row.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(f"_new_{n}") for n, c in columns.items()])))
+    rows = df.select(*[F.col(c) for c in df.columns], made)
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return rows.select(*kept, *[F.col(f"_new_{n}").alias(n) for n in columns])
 
 
 def attach_class_table(

@@ -59,8 +59,7 @@ def clean_text_basic(spark, sf_dir):
 
 @query
 def clean_training_text(spark, sf_dir):
-    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_training_text(F.col("text")).alias("text"))
-    return cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
+    return corpus.clean_training_corpus(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query
@@ -895,8 +894,7 @@ def validate_samples(spark, sf_dir):
 
 @query
 def validate_cleaned(spark, sf_dir):
-    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(F.col("text")))
-    found = quality.validate_cleaned(cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH))
+    found = quality.validate_cleaned(corpus.clean_training_corpus(labelled(spark, sf_dir)))
     return rounded(found.withColumn("issues", joined(F.col("issues"))))
 
 
@@ -923,9 +921,7 @@ def dataset_summary(spark, sf_dir):
 @query
 def cleaned_corpus_profile(spark, sf_dir):
     """Cleaned corpus, label counts and length statistics per language."""
-    cleaned = labelled(spark, sf_dir).withColumn("text", text.clean_training_text(F.col("text")))
-    kept = cleaned.filter(F.length("text") >= text.MIN_CLEAN_LENGTH)
-    return rounded(quality.dataset_summary(kept))
+    return rounded(quality.dataset_summary(corpus.clean_training_corpus(labelled(spark, sf_dir))))
 
 
 # --- corpus ---------------------------------------------------------------------------------
