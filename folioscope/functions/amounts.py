@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from folioscope.functions.patterns import (
     all_groups,
     contains_any,
     first_group,
+    has_any,
     let,
     replace_all,
     strip,
@@ -58,11 +59,8 @@ def identify_currency(text: Column, strict_currency: bool = False) -> Column:
     def marked(low: Column, marks: list[str]) -> Column:
         if not strict_currency:
             return contains_any(low, marks)
-        edge = rf"(?:^|[^{WORD}]){{}}(?:$|[^{WORD}])"
-        return reduce(
-            lambda a, b: a | b,
-            [low.rlike(edge.format(m)) if m.isalpha() else low.contains(m) for m in marks],
-        )
+        apart = [rf"(?:^|[^{WORD}]){m}(?:$|[^{WORD}])" if m.isalpha() else re.escape(m) for m in marks]
+        return has_any(low, apart, False)
 
     def read(low: Column) -> Column:
         return F.coalesce(

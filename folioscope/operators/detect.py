@@ -22,6 +22,9 @@ def column_stats(df: DataFrame) -> DataFrame:
     Distinct counts run over 32-byte digests, so wide texts are not shuffled.
     """
     names = _string_columns(df)
+    if not names:
+        none = "position int, column string, mean_length double, distinct_ratio double"
+        return df.sparkSession.createDataFrame([], none)
     digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),

@@ -105,8 +105,14 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return attach_class_table(df, weights, label)
 
 
-def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: float = 0.9) -> list:
-    """Pipeline stages from ``text`` to unit-length tf-idf ``features`` of 1-2 grams."""
+def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: float | None = 0.9) -> list:
+    """Pipeline stages from ``text`` to unit-length tf-idf ``features`` of 1-2 grams.
+
+    ``max_df`` is a share below one; None keeps terms however common.
+    """
+    vectorizer = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=min_df)
+    if max_df is not None:
+        vectorizer.setMaxDF(max_df)
     joined = SQLTransformer(
         statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"
     )
@@ -114,7 +120,7 @@ def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: flo
         RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN, gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         joined,
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df),
+        vectorizer,
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
     ]
@@ -162,7 +168,7 @@ def train_logistic(df: DataFrame, vocabulary: int = 5_000, max_iter: int = 1_000
         labelCol="label_index", featuresCol="features", family="multinomial", maxIter=max_iter,
         regParam=1.0 / max(df.count(), 1),
     )
-    return _fit_on_features(df, text_features(vocabulary, 1.0, 1.0), classifier, [])
+    return _fit_on_features(df, text_features(vocabulary, 1.0, None), classifier, [])
 
 
 def grid_search(

@@ -655,7 +655,7 @@ def simple_advice(spark, sf_dir):
 @query
 def convert_to_tnd(spark, sf_dir):
     converted = finance.convert_to_tnd(labelled_transactions(spark, sf_dir))
-    return converted.select("document_id", "currency", F.round("amount_tnd", 2).alias("amount_tnd"))
+    return converted.select("document_id", "currency", F.round("amount_tnd", 4).alias("amount_tnd"))
 
 
 def nested_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,7 +664,7 @@ def nested_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def entry(amount: Column, kind: str, description: str) -> Column:
         return F.struct(
-            F.round(amount, 2).alias("amount"), F.lit("USD").alias("currency"), F.lit(kind).alias("type"),
+            amount.alias("amount"), F.lit("USD").alias("currency"), F.lit(kind).alias("type"),
             F.lit(description).alias("description"),
         )
 

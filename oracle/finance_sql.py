@@ -39,9 +39,9 @@ LEDGER = " union all ".join(
 )
 
 LINES = """lines as (select l_orderkey || '-' || l_linenumber as document_id, case when l_returnflag = 'R' then 'receipt' else 'invoice' end as type,
-  unnest([{'kind': 'revenue', 'amount': round(l_extendedprice, 2), 'description': 'line price'},
-    {'kind': 'expense', 'amount': round(l_extendedprice * l_discount, 2), 'description': 'discount'},
-    {'kind': 'tax', 'amount': round(l_extendedprice * l_tax, 2), 'description': 'tax'}], recursive := true) from lineitem)"""
+  unnest([{'kind': 'revenue', 'amount': l_extendedprice, 'description': 'line price'},
+    {'kind': 'expense', 'amount': l_extendedprice * l_discount, 'description': 'discount'},
+    {'kind': 'tax', 'amount': l_extendedprice * l_tax, 'description': 'tax'}], recursive := true) from lineitem)"""
 
 SHEET = f"""{ORDER_ROWS}, rev as (select c_custkey as customer, sum(cents)::bigint / 100.0::double as r from order_rows group by c_custkey),
   a as (select *, trunc(r * 0.65)::bigint as receivables, trunc(r * 0.25)::bigint as cash, trunc(r * 0.08)::bigint as profit,
@@ -79,7 +79,7 @@ STATEMENTS = {
       select array_to_string(list_filter([case when n > 10 then {q(lx.ADVICE_TRACKING)} end,
         case when high > 0 then 'Review ' || high || ' high-value transactions for accuracy' end], lambda m: m is not null), '|') as recommendations from f""",
     "convert_to_tnd": f"""with {TX} select document_id, currency, round(amount * case currency when 'EUR' then 3.3::double when 'USD' then 3.1::double
-      when 'TND' then 1.0::double end, 2) as amount_tnd from tx""",
+      when 'TND' then 1.0::double end, 4) as amount_tnd from tx""",
     "flat_amounts": f"with {LINES} select type, kind, description, count(*) as n, round(sum(amount::decimal(20,6))::double, 2) as amount from lines group by all",
     "revenue_expense_totals": f"""with {LINES} select round(sum(amount::decimal(20,6)) filter (where kind = 'revenue')::double, 2) as total_revenue,
       round(sum(amount::decimal(20,6)) filter (where kind <> 'revenue')::double, 2) as total_expenses, count(*) as transactions from lines""",
