@@ -83,9 +83,10 @@ def cap_per_class(
 
 def shuffle_rank(df: DataFrame, row_id: str = "doc_id", seed: int = SEED, name: str = "shuffle_rank") -> DataFrame:
     """Rank of each row in a seeded permutation, numbered slice by slice of the hash space."""
-    keyed = df.withColumn("_h", seeded_hash(F.col(row_id), seed)).withColumn("_s", F.substring("_h", 1, 3))
-    sizes = df.select(F.substring(seeded_hash(F.col(row_id), seed), 1, 3).alias("_s")).groupBy("_s").count()
-    # at most 4096 rows
+    h = seeded_hash(F.col(row_id), seed)
+    keyed = df.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 4))
+    sizes = df.select(F.substring(h, 1, 4).alias("_s")).groupBy("_s").count()
+    # at most 65,536 rows
     shifts = sizes.select("_s", (F.sum("count").over(W.orderBy("_s")) - F.col("count")).alias("_shift"))
     inside = F.row_number().over(W.partitionBy("_s").orderBy("_h", row_id))
     return (

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.patterns import let_sql
+
 BROADCAST_ROWS = 10_000
 SALTS = 64
 
@@ -51,20 +55,31 @@ def attach_class_table(
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_position(df: DataFrame, key: str, name: str = "pos", buckets: int = 64) -> DataFrame:
+def with_position(
+    df: DataFrame, key: str, name: str = "pos", cuts: int = 64, rows_per_bucket: int = 1_000_000
+) -> DataFrame:
     """Number the rows 1..n by a unique numeric ``key`` without sorting them in one task.
 
-    Quantiles of the key cut the rows into buckets of like size; rows are numbered inside
-    their bucket and shifted by the sizes of the buckets before it.
+    Quantiles of the key cut the rows into like-sized ranges and each range into equal steps,
+    as many as bring a bucket to about ``rows_per_bucket``. Rows are numbered inside their
+    bucket and shifted by the sizes of the buckets before it. The shifts, one row per
+    bucket, are what is broadcast.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(key, shares)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
-    bucketed = df.withColumn(
-        "_bucket", F.size(F.filter(bounds, lambda b: F.col(key).cast("bigint") >= b))
+    shares = [i / cuts for i in range(cuts + 1)]
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, shares).alias("q")).first()
+    bounds = sorted({int(b) for b in found.q or [0]})
+    steps = min(max(math.ceil(found.n / (cuts * rows_per_bucket)), 1), 4096)
+    starts = ", ".join(f"{b}L" for b in bounds)
+    widths = ", ".join(f"{max(b - a, 1)}L" for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1]))
+    inside_range = (
+        f"least(greatest((x.k - array({starts})[x.r]) * {steps} div array({widths})[x.r], 0), {steps - 1})"
+    )
+    key_and_range = let_sql(
+        F.col(key).cast("bigint"),
+        f"struct(t as k, greatest(size(filter(array({starts}), b -> t >= b)) - 1, 0) as r)",
     )
+    bucketed = df.withColumn("_bucket", let_sql(key_and_range, f"x.r * {steps} + {inside_range}", "x"))
     sizes = bucketed.groupBy("_bucket").count()
-    # at most `buckets` rows
     shifts = sizes.select(
         "_bucket", (F.sum("count").over(W.orderBy("_bucket")) - F.col("count")).alias("_shift")
     )

@@ -275,11 +275,10 @@ def quality_grade(df: DataFrame, key: str = "doc_id") -> DataFrame:
         F.count_if(label_problem(F.col("label")).isNotNull()).alias("misspelled"),
     )
     near = near_duplicate_pairs(df, key).select("near_duplicates")
-    one = F.lit(1).alias("_one")
     facts = (
-        corpus_facts(df).select("*", one)
-        .join(F.broadcast(labels.select("*", one)), "_one")  # single rows
-        .join(F.broadcast(near.select("*", one)), "_one")
+        corpus_facts(df)
+        .withColumns({"_l": labels.select(F.struct("*")).scalar(), "near_duplicates": near.scalar()})
+        .select("*", "_l.*")
     )
     n = F.col("n")
     checks = [(F.col(f"missing_{c}") > 0, f"Missing values in {c}") for c in columns] + [
@@ -388,12 +387,8 @@ def validate_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(F.col("difference") != 0).alias("labels_changed"),
     )
     left = after.agg(F.count_if(F.col("text").rlike(rf"^[{BLANK}]*\{{")).alias("json_rows_left"))
-    one = F.lit(1).alias("_one")
-    return (
-        counts.select("*", one)
-        .join(F.broadcast(left.select("*", one)), "_one")  # single rows
-        .drop("_one")
-        .withColumn("preserved", F.expr("rows_before = rows_after and labels_changed = 0"))
+    return counts.withColumn("json_rows_left", left.scalar()).withColumn(
+        "preserved", F.expr("rows_before = rows_after and labels_changed = 0")
     )
 
 

@@ -71,13 +71,11 @@ def tfidf_features(
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    one = F.lit(1).alias("_one")
-    n = df.agg(F.count(F.lit(1)).alias("docs")).select("docs", one)
+    docs = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = (
         counts.groupBy("term")
         .agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(n), "_one")  # one row
+        .withColumn("docs", docs)
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
         .orderBy(F.desc("uses"), "term")
         .limit(max_features)

@@ -85,10 +85,12 @@ def test_class_join_beyond_the_broadcast_limit(spark, rows, monkeypatch):
 
 
 def test_positions_are_consecutive(spark):
-    ids = spark.range(0, 5000, 7).union(spark.range(10_000, 10_050))
-    got = sorted(local(joins.with_position(ids, "id", buckets=8), "pos", "id"))
-    assert [p for p, _ in got] == list(range(1, len(got) + 1))
-    assert [i for _, i in got] == sorted(i for _, i in got)
+    ids = spark.range(-50, 5000, 7).union(spark.range(10_000, 10_050))
+    for size in (1_000_000, 20):
+        got = sorted(local(joins.with_position(ids, "id", cuts=8, rows_per_bucket=size), "pos", "id"))
+        assert [p for p, _ in got] == list(range(1, len(got) + 1))
+        assert [i for _, i in got] == sorted(i for _, i in got)
+    assert joins.with_position(ids.filter("false"), "id").count() == 0
 
 
 def brute_similarity(docs, reach):
