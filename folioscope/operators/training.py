@@ -13,7 +13,6 @@ from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
     HashingTF,
-    NGram,
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
@@ -33,6 +32,12 @@ from folioscope.operators.joins import attach_class_table
 TOKEN = rf"[{WORD}]{{2,}}"
 VOCABULARY = 10_000
 
+# The terms of :func:`grams` as SQL text, for pipeline stages that are saved with a model.
+GRAMS_SQL = (
+    f"transform(array(regexp_extract_all(lower(text), r'{TOKEN}', 0)), w -> concat(w, "
+    "transform(slice(w, 1, greatest(size(w) - 1, 0)), (first, i) -> concat(first, ' ', w[i + 1]))))[0]"
+)
+
 
 def grams(text: Column, stopwords: Iterable[str] = ()) -> Column:
     """Lower-cased words of two or more characters and the pairs of neighbours among them."""
@@ -111,13 +116,8 @@ def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: flo
     vectorizer = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=min_df)
     if max_df is not None:
         vectorizer.setMaxDF(max_df)
-    joined = SQLTransformer(
-        statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"
-    )
     return [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN, gaps=False),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        joined,
+        SQLTransformer(statement=f"SELECT *, {GRAMS_SQL} AS terms FROM __THIS__"),
         vectorizer,
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),

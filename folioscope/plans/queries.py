@@ -1130,9 +1130,8 @@ def scan_text_files(spark, sf_dir):
 def scan_annotation_json(spark, sf_dir):
     path = scratch_dir(spark, "annotations")
     notes = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("text")))
-    few = documents(spark, sf_dir).groupBy("lang").agg(F.max_by("text", "doc_id").alias("text"))
-    few.repartition("lang").select("lang", notes.alias("annotations")).write.partitionBy("lang").json(path)
-    return digest(files.scan_annotation_json(spark, path)).select("label", "text_md5", "chars")
+    documents(spark, sf_dir).select("lang", notes.alias("annotations")).write.partitionBy("lang").json(path)
+    return digest(files.scan_annotation_json(spark, path, lines=True)).select("label", "text_md5", "chars")
 
 
 @query

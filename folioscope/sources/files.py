@@ -109,11 +109,16 @@ def annotation_text() -> Column:
     return F.coalesce(*named, joined)
 
 
-def scan_annotation_json(spark: SparkSession, folder: str, label: str = "receipt", limit: int = 200) -> DataFrame:
-    """(text, label, source_file): one row per ``*.json`` file with over ten characters."""
+def scan_annotation_json(
+    spark: SparkSession, folder: str, label: str = "receipt", limit: int = 200, lines: bool = False
+) -> DataFrame:
+    """(text, label, source_file): one row per ``*.json`` file with over ten characters.
+
+    With ``lines`` a file holds one record per line, which lets Spark split large files.
+    """
     rows = (
         spark.read.schema(ANNOTATION_SCHEMA)
-        .option("multiLine", "true")
+        .option("multiLine", str(not lines).lower())
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
         .json(folder)

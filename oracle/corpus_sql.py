@@ -217,8 +217,8 @@ STATEMENTS = {
     "scan_csv_records": f"select md5(t) as text_md5, length(t) as chars, source as label, 'CSV' as source from (select {basic('text')} as t, source from documents where length(text) > 20)",
     "scan_text_files": f"""with f as (select source, {strip("string_agg(text, chr(10) order by doc_id) || chr(10)")} as t from documents group by source)
       select 'receipt' as label, count(*) as files, sum(length(t))::bigint as chars from f""",
-    "scan_annotation_json": """with f as (select arg_max(text, doc_id) as t from documents group by lang)
-      select 'receipt' as label, md5(replace(t, chr(10), ' ')) as text_md5, length(t) as chars from f""",
+    "scan_annotation_json": """with f as (select replace(text, chr(10), ' ') as t from documents)
+      select 'receipt' as label, md5(t) as text_md5, length(t) as chars from f where length(t) > 10""",
     "inventory_sources": "select 'parquet' as extension, 14 as files, 14 as total, false as chosen",
     "decode_bytes": "select doc_id, case when doc_id % 2 = 0 then text else regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') end as text from documents",
     "versioned_save": """select lang, count(*) as n, 1 as version from documents group by lang union all
