@@ -57,7 +57,7 @@ GRADE = f"""with {LANG}, {NEIGHBOURS}, f as (select count(*) as n, count(*) - co
   c as (select count(*) as labels, max(n) / min(n) as ratio, count(*) filter (where n < 10) as small, count(*) filter (where {MISSPELLED}) as wrong from cnt),
   p as (select count(*) filter (where similarity > 0.8) as near from sim),
   i as (select *, {picks(GRADE_CHECKS)} as l from f, c, p)
-  select n, labels, round(mean_length, 6) as mean_length, round(n * mean_length / 1048576, 6) as megabytes, len(l) as issue_count,
+  select n, labels, round(mean_length, 6) as mean_length, round(n * mean_length / 1048576, 6) as megabytes, len(l)::int as issue_count,
     case when len(l) = 0 then {q(lx.GRADES[0])} when len(l) <= 2 then {q(lx.GRADES[1])} when len(l) <= 5 then {q(lx.GRADES[2])} else {q(lx.GRADES[3])} end as grade,
     array_to_string(l, '|') as issues, array_to_string({picks(ADVICE)}, '|') as advice from i"""
 
@@ -122,8 +122,8 @@ STATEMENTS = {
       round(count(*) filter (where length(text) < 20) * 100.0::double / count(*), 6) as short_percent,
       count(*) filter (where length(text) < 20) > count(*) * 0.05 as too_many_short from documents""",
     "duplicate_count": "select count(*) - count(distinct text) as duplicate_texts from documents",
-    "length_stats": """select round(avg(length(text)), 6) as mean_length, median(length(text))::double as median_length, min(length(text)) as min_length,
-      max(length(text)) as max_length, count(*) filter (where length(text) > 5000) as very_long_texts, count(*) as n,
+    "length_stats": """select round(avg(length(text)), 6) as mean_length, median(length(text))::double as median_length, min(length(text))::int as min_length,
+      max(length(text))::int as max_length, count(*) filter (where length(text) > 5000) as very_long_texts, count(*) as n,
       count(*) filter (where length(text) > 5000) > count(*) * 0.01 as too_many_long from documents""",
     "nonprintable_count": f"""select count(*) as checked, count(*) filter (where {UNPRINTABLE}) as nonprintable_texts,
       count(*) filter (where {UNPRINTABLE}) > count(*) * 0.05 as many_nonprintable from documents""",
@@ -142,7 +142,7 @@ STATEMENTS = {
     ),
     "quality_grade": GRADE,
     "size_estimate": "select round(sum(length(text)) / 1048576, 6) as megabytes from documents",
-    "rank_classes": f"""with {SOURCE} select row_number() over (order by n desc, label) as rank, label, n, round(n * 100.0::double / sum(n) over (), 6) as percent from cnt
+    "rank_classes": f"""with {SOURCE} select (row_number() over (order by n desc, label))::int as rank, label, n, round(n * 100.0::double / sum(n) over (), 6) as percent from cnt
       union all select 0, 'TOTAL', sum(n)::bigint, 100.0 from cnt""",
     "size_bands": f"""with {LANG}, b as (select *, case when n >= 1000 then 'large' when n >= 100 then 'medium' else 'small' end as band from cnt)
       select band, count(*) as classes, sum(n)::bigint as n from b group by band""",
@@ -154,13 +154,13 @@ STATEMENTS = {
     "compare_distributions": f"""with {SOURCE}, kept as (select label from lab qualify row_number() over (partition by text order by doc_id) = 1),
       k as (select label, count(*) as m from kept group by label)
       select cnt.label, n as before, coalesce(m, 0) as after, coalesce(m, 0) - n as difference from cnt left join k on cnt.label = k.label""",
-    "validate_preserved": f"""with {RECEIPTS} select count(*) as rows_before, count(*) as rows_after, 0 as labels_changed,
+    "validate_preserved": f"""with {RECEIPTS} select count(*) as rows_before, count(*) as rows_after, 0::bigint as labels_changed,
       count(*) filter (where kind = 1) as json_rows_left, true as preserved from receipts""",
     "validate_ingest": f"""with {LANG} select count(*) as n, round(avg(length(text)), 6) as mean_length, count(distinct label) as labels,
       avg(length(text)) < 50 as texts_short, count(distinct label) < 2 as single_label from lab""",
     "validate_samples": f"""with {LANG}, s as (select avg(length(text)) as m, count(*) filter (where regexp_matches(text, '[A-Za-z]{{3,}}')) * 100.0::double / count(*) as p,
       count(distinct label) as labels from lab) select round(m, 6) as mean_length, round(p, 6) as meaningful_percent, labels, m >= 50 and p >= 90 and labels >= 2 as valid from s""",
-    "validate_cleaned": f"""with {CLEANED}, f as (select sum(n)::bigint as n, count(*) as labels, sum(chars) / sum(n) as mean_length, min(lo) as min_length, max(n) / min(n) as ratio from g),
+    "validate_cleaned": f"""with {CLEANED}, f as (select sum(n)::bigint as n, count(*) as labels, sum(chars) / sum(n) as mean_length, min(lo)::int as min_length, max(n) / min(n) as ratio from g),
       i as (select *, {picks([('min_length < 20', 'Very short texts still present'), ('mean_length < 100', 'Average text length seems low'), ('ratio > 50', 'Severe imbalance still present')])} as l from f)
       select n, labels, round(mean_length, 6) as mean_length, min_length, round(ratio, 6) as ratio, array_to_string(l, '|') as issues, len(l) = 0 as passed from i""",
     "top_n_with_others": f"""with {SOURCE}, r as (select *, row_number() over (order by n desc, label) as rank from cnt)
@@ -212,14 +212,14 @@ STATEMENTS = {
     "prune_sparse_columns": "select doc_id, lang as label, source from documents",
     "render_documents": f"with {documents_cte('gen', GENERAL_KINDS)} select * from gen",
     "records_to_corpus": f"""select {basic('text')} as text, {STANDARD.replace('raw', 'source')} as label, 'CSV' as source from documents where length(text) > 20""",
-    "scan_labelled_csv": "select lang as label, md5(text) as text_md5, length(text) as chars from documents",
-    "scan_json_records": f"select md5(t) as text_md5, length(t) as chars, source as label, 'JSON' as source from (select {basic('text')} as t, source from documents where length(text) > 20)",
-    "scan_csv_records": f"select md5(t) as text_md5, length(t) as chars, source as label, 'CSV' as source from (select {basic('text')} as t, source from documents where length(text) > 20)",
+    "scan_labelled_csv": "select lang as label, md5(text) as text_md5, length(text)::int as chars from documents",
+    "scan_json_records": f"select md5(t) as text_md5, length(t)::int as chars, source as label, 'JSON' as source from (select {basic('text')} as t, source from documents where length(text) > 20)",
+    "scan_csv_records": f"select md5(t) as text_md5, length(t)::int as chars, source as label, 'CSV' as source from (select {basic('text')} as t, source from documents where length(text) > 20)",
     "scan_text_files": f"""with f as (select source, {strip("string_agg(text, chr(10) order by doc_id) || chr(10)")} as t from documents group by source)
       select 'receipt' as label, count(*) as files, sum(length(t))::bigint as chars from f""",
     "scan_annotation_json": """with f as (select replace(text, chr(10), ' ') as t from documents)
-      select 'receipt' as label, md5(t) as text_md5, length(t) as chars from f where length(t) > 10""",
-    "inventory_sources": "select 'parquet' as extension, 14 as files, 14 as total, false as chosen",
+      select 'receipt' as label, md5(t) as text_md5, length(t)::int as chars from f where length(t) > 10""",
+    "inventory_sources": "select 'parquet' as extension, 14::bigint as files, 14::bigint as total, false as chosen",
     "decode_bytes": "select doc_id, case when doc_id % 2 = 0 then text else regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') end as text from documents",
     "versioned_save": """select lang, count(*) as n, 1 as version from documents group by lang union all
       select lang, count(*), 2 from (select lang from documents qualify row_number() over (partition by text order by doc_id) = 1) group by lang""",
@@ -239,7 +239,7 @@ STATEMENTS = {
     "confidence_bands": f"""with {CONF} select case when mean_confidence > 0.9 then 'very high' when mean_confidence > 0.8 then 'high' when mean_confidence > 0.6 then 'medium' else 'low' end as band,
       case when mean_confidence > 0.8 then 'high' when mean_confidence >= 0.6 then 'medium' else 'low' end as report_band, count(*) as classes from cf group by all""",
     "performance_ranking": f"""with {CONF}, h as (select count(*) filter (where mean_confidence < 0.6) as low, count(*) filter (where mean_confidence > 0.8) as high, avg(mean_confidence) as m from cf)
-      select rank() over (order by mean_confidence desc) as rank, class, round(mean_confidence, 6) as mean_confidence, n, round(m, 6) as overall_mean,
+      select (rank() over (order by mean_confidence desc))::int as rank, class, round(mean_confidence, 6) as mean_confidence, n, round(m, 6) as overall_mean,
         concat_ws('; ', case when low > 0 then 'Collect more samples, review data quality, consider feature engineering' end,
           case when high > low then 'Overall performance looks good' end) as advice from cf, h""",
     "ingest_stream": "select doc_id, lang from documents qualify row_number() over (partition by text order by doc_id) = 1",

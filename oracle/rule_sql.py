@@ -342,7 +342,7 @@ STATEMENTS = {
     "extract_key_info": f"""with {BIZ} select doc_id, {listed('text', lx.KEY_AMOUNT_PATTERNS)} as amounts,
       {listed('text', lx.KEY_DATE_PATTERNS, 0)} as dates, {listed('text', lx.KEY_NUMBER_PATTERNS)} as invoice_numbers from biz""",
     "sentence_scores": f"""with c as materialized (select doc_id, {excerpt_clean('text')} as clean from documents),
-      s as (select doc_id, unnest({sentence_list('clean')}) as sentence, generate_subscripts({sentence_list('clean')}, 1) - 1 as sentence_no from c)
+      s as (select doc_id, unnest({sentence_list('clean')}) as sentence, (generate_subscripts({sentence_list('clean')}, 1) - 1)::int as sentence_no from c)
       select doc_id, sentence_no, sentence, {score('sentence')} as score from s""",
     "smart_excerpt": f"with {EXCERPT}",
     "extract_amount": f"""with {BIZ}, a as (select doc_id, lower(text) as low, {amount('lower(text)')} as found from biz)
