@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators.corpus import first_of_each_text, text_key
 
+BROADCAST_KEYS = 500_000  # 32 bytes each
+
 
 def start_corpus(existing: DataFrame, corpus_path: str) -> None:
     """Write the rows a corpus starts from (possibly none) as batch -1."""
@@ -28,18 +31,25 @@ def ingest_stream(
     """Append each batch's new texts to the corpus and stop when the source is read.
 
     A batch is cleaned by ``prepare``, reduced to the first row of each text, and freed of
-    texts that earlier batches hold; the join reads only their digests. Batches overwrite
-    their own folder, so a repeated batch leaves the same rows.
+    texts that earlier batches hold. Of the corpus only digests are read; if the batch has up
+    to ``BROADCAST_KEYS`` texts, its digests go to the corpus and the corpus is not shuffled.
+    Batches overwrite their own folder, so a repeated batch leaves the same rows.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = prepare(batch) if prepare else batch
         fresh = first_of_each_text(rows, [position]).withColumn("text_key", text_key(F.col("text")))
-        seen = spark.read.parquet(corpus_path).filter(F.col("batch") < batch_id).select("text_key")
-        fresh.join(seen, "text_key", "left_anti").write.mode("overwrite").parquet(
-            f"{corpus_path}/batch={batch_id}"
-        )
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            seen = spark.read.parquet(corpus_path).filter(F.col("batch") < batch_id).select("text_key")
+            if fresh.count() <= BROADCAST_KEYS:
+                seen = seen.join(F.broadcast(fresh.select("text_key")), "text_key", "left_semi")
+            fresh.join(seen, "text_key", "left_anti").write.mode("overwrite").parquet(
+                f"{corpus_path}/batch={batch_id}"
+            )
+        finally:
+            fresh.unpersist()
 
     return (
         stream.writeStream.foreachBatch(add)

@@ -71,7 +71,9 @@ def test_templates_fill_every_placeholder(spark):
             assert all(p in order_fields() for p, is_field in templates.template_parts(t) if is_field), kind
 
 
-def test_slices_ingest_like_the_whole(spark, tmp_path):
+@pytest.mark.parametrize("keys", [0, 1000])
+def test_slices_ingest_like_the_whole(spark, tmp_path, monkeypatch, keys):
+    monkeypatch.setattr(ingest, "BROADCAST_KEYS", keys)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") * 7 % 90).cast("string")).alias("text"))
     source, corpus_path, checkpoint = (str(tmp_path / n) for n in ("in", "corpus", "cp"))
     schema = "doc_id long, text string"
