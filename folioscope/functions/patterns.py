@@ -95,6 +95,32 @@ def sql_has(name: str, pattern: str, ignore_case: bool = True) -> str:
     return f"(contains({name}, {sql_text(part)}) and {matched})" if len(part) > 1 else f"({matched})"
 
 
+def _by_literal(patterns: Iterable[str]) -> dict[str, list[str]]:
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        part = required_literal(p)
+        groups.setdefault(part if len(part) > 1 else "", []).append(p)
+    return groups
+
+
+def sql_any(name: str, patterns: Iterable[str]) -> str:
+    """Whether any pattern matches; those that need the same text share one test for it."""
+    tests = []
+    for part, group in _by_literal(patterns).items():
+        matched = " or ".join(f"{name} rlike {sql_text(java(p, False))}" for p in group)
+        tests.append(f"(contains({name}, {sql_text(part)}) and ({matched}))" if part else f"({matched})")
+    return "(" + " or ".join(tests) + ")"
+
+
+def sql_hits(name: str, patterns: Iterable[str]) -> str:
+    """How many patterns match; those that need the same text share one test for it."""
+    sums = []
+    for part, group in _by_literal(patterns).items():
+        hits = " + ".join(f"cast({name} rlike {sql_text(java(p, False))} as int)" for p in group)
+        sums.append(f"if(contains({name}, {sql_text(part)}), {hits}, 0)" if part else f"({hits})")
+    return "(" + " + ".join(sums) + ")"
+
+
 def sql_contains(name: str, words: Iterable[str]) -> str:
     return "(" + " or ".join(f"contains({name}, {sql_text(w)})" for w in words) + ")"
 
@@ -113,7 +139,9 @@ def let_sql(value: Column, body: str, name: str = "t") -> Column:
 
 
 def has_any(col: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:
-    return let_sql(col, " or ".join(sql_has("t", p, ignore_case) for p in patterns))
+    if not ignore_case:
+        return let_sql(col, sql_any("t", patterns))
+    return let_sql(col, " or ".join(sql_has("t", p) for p in patterns))
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:

@@ -13,9 +13,11 @@ from folioscope.functions.patterns import (
     count_contained,
     let,
     let_sql,
+    sql_any,
     sql_contains,
     sql_count,
     sql_has,
+    sql_hits,
 )
 
 CONFIDENCE_THRESHOLD = 0.10
@@ -26,10 +28,10 @@ def rule_points(plain: Column) -> Column:
 
     Catalogue words keep their accents, so accented ones never match.
     """
-    fields = []
-    for kind, words in lx.RULE_KEYWORDS.items():
-        strong = " + ".join(f"2 * cast({sql_has('t', p, False)} as int)" for p in lx.RULE_PATTERNS[kind])
-        fields.append(f"{sql_count('t', words)} + {strong} as {kind}")
+    fields = [
+        f"{sql_count('t', words)} + 2 * {sql_hits('t', lx.RULE_PATTERNS[kind])} as {kind}"
+        for kind, words in lx.RULE_KEYWORDS.items()
+    ]
     return let_sql(plain, f"struct({', '.join(fields)})")
 
 
@@ -142,14 +144,13 @@ def normalized(scores: Column) -> Column:
 
 def evidence(text: Column) -> Column:
     """Wording flags used by the score adjustments, as one struct of booleans."""
-    any_of = lambda patterns: " or ".join(sql_has("t", p, False) for p in patterns)
     flags = {
         "definitive": sql_contains("t", lx.DEFINITIVE_INVOICE_WORDS),
         "invoice": sql_contains("t", lx.INVOICE_WORDS),
-        "strong_invoice": any_of(lx.STRONG_INVOICE_PATTERNS),
+        "strong_invoice": sql_any("t", lx.STRONG_INVOICE_PATTERNS),
         "order": sql_contains("t", lx.ORDER_WORDS),
-        "strong_order": any_of(lx.STRONG_ORDER_PATTERNS),
-        "order_excluded": any_of(lx.ORDER_EXCLUSIONS),
+        "strong_order": sql_any("t", lx.STRONG_ORDER_PATTERNS),
+        "order_excluded": sql_any("t", lx.ORDER_EXCLUSIONS),
         "order_heading": "startswith(t, 'bon de commande')",
     }
     return let_sql(F.lower(text), f"struct({', '.join(f'({test}) as `{n}`' for n, test in flags.items())})")
@@ -238,7 +239,7 @@ def definitive_override(text: Column, prediction: Column, scores: Column) -> Col
     """First type, in marker order, that has a marker in the text or is already predicted."""
     tests = []
     for kind, patterns in lx.FORCING_MARKERS.items():
-        marked = " or ".join(sql_has("x.low", p, False) for p in patterns)
+        marked = sql_any("x.low", patterns)
         tests.append(f"when map_contains_key(x.m, '{kind}') and (x.p = '{kind}' or {marked}) then '{kind}'")
     given = F.struct(F.lower(text).alias("low"), prediction.alias("p"), scores.alias("m"))
     return let_sql(given, f"case {' '.join(tests)} else x.p end", "x")
