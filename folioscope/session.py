@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "folioscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,14 +24,36 @@ def get_session(app: str = "folioscope", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a machine-local folder.
+    Where the cluster names none, a local-mode session gets a folder of its own under the
+    warehouse, which is set in the session from then on; any other session is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="folioscope-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for ``purpose`` in the shared folder, removed when the session's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it outlives lost executors, and its size is known
+    to the planner when it picks a join."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
