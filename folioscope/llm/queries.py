@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, langid, packing, sharding
+from folioscope.llm import chat, langid, neardup, packing, sharding
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op4_language(spark, sf_dir):
     model = langid.train(docs.filter(~langid.held_out()))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op5_neardup(spark, sf_dir):
+    """Components of documents whose shingle sets are 85 % alike."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
