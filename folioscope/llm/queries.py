@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, langid, neardup, packing, sharding
+from folioscope.llm import chat, embeddings, langid, neardup, packing, sharding
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op4_language(spark, sf_dir):
 def op5_neardup(spark, sf_dir):
     """Components of documents whose shingle sets are 85 % alike."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_embeddings(spark, sf_dir):
+    """Components of embeddings at a cosine of 0.95 or more."""
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
