@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, neardup, packing, sharding
+from folioscope.llm import chat, embeddings, langid, neardup, packing, sharding, toxicity
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,14 @@ def op5_neardup(spark, sf_dir):
 def op6_embeddings(spark, sf_dir):
     """Components of embeddings at a cosine of 0.95 or more."""
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """The toxicity of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = docs.filter(~langid.held_out()).join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
+    found = toxicity.assess(docs.select("doc_id", "text"), toxicity.train(labelled))
+    predicted = (F.col("toxicity") >= toxicity.PREDICT_AT).cast("int")
+    return found.select("doc_id", langid.held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
