@@ -6,17 +6,17 @@ What must hold at any size and with any hot group:
   buckets are the largest in sum (the text that most others resemble), and all others are verified against it.
   Verified links are contracted to components; buckets that lie in one component are done.
 * Where a bucket still spans several components, its members are compared in blocks of at most ``BLOCK``
-  rows by their sketches, and only pairs of different components whose estimate lies within
-  ``MARGIN`` deviations of the threshold, or above, are verified. So no link between components is
-  lost but those the bands (see ``tuned_bands``) or the estimate miss by chance.
-* Texts are read again for verification, one copy per request. A pivot with very many members is copied to one
-  group per ``GROUP`` members, and groups are streamed in sorted order, so no task holds more than one pivot.
+  rows. Pairs of different components whose sizes allow it are verified on the full sets inside the block;
+  what leaves a block is one link per merger, never its pairs. So no link between components is lost
+  but those that the bands miss by chance (see ``tuned_bands``).
+* Only texts that share a bucket with another are read again, in one shuffle of the table that is the same plan
+  at every size. A pivot with very many members is copied to one group per ``GROUP`` members, and
+  groups are streamed in sorted order, so no task holds more than one pivot or one block.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shingles import mixed, shingle_set, text_words
+from folioscope.llm.shingles import shingle_set, text_words
 from folioscope.llm.sketches import band_keys, sketch
 from folioscope.session import kept
 
 GROUP = 500
 BLOCK = 512
-MARGIN = 5.5
 PART = 256  # texts hashed together
 
 
@@ -45,13 +44,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def signature_columns(sets: list[np.ndarray], bands: int, rows: int) -> list[pa.Array]:
-    """``sketch`` (a byte per coordinate) and ``bands`` (a key per band) of sets."""
-    sketches = sketch(sets, bands * rows)
-    low = (mixed(sketches) & np.uint64(0xFF)).astype(np.uint8)
-    keys = band_keys(sketches, rows).view(np.int64).reshape(-1)
-    offsets = np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)
-    return [pa.array([row.tobytes() for row in low], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys))]
+def band_column(sets: list[np.ndarray], bands: int, rows: int) -> pa.Array:
+    """The band keys of sets, a list per set."""
+    keys = band_keys(sketch(sets, bands * rows), rows).view(np.int64).reshape(-1)
+    return pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(keys))
 
 
 def type_of(df: DataFrame, name: str) -> str:
@@ -89,40 +85,70 @@ def verified(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return streamed.select("id", "pivot", "salt", "member", "text").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def across_components(rest: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Pairs of a bucket in different components that may be similar; ``rest`` has ``key, size, id, component, n, is_pivot, sketch``."""
-    least = percent / 100 - MARGIN * math.sqrt(percent / 100 * (1 - percent / 100) / coordinates)
+def set_tables(texts: DataFrame) -> DataFrame:
+    """``id, items``: the sorted set of each text as bytes."""
+
+    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                sets = [shingle_set(w).tobytes() for w in text_words(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "items"])
+
+    return texts.select("id", "text").mapInArrow(hash_sets, f"id {type_of(texts, 'id')}, items binary")
+
+
+def block_links(component: np.ndarray, pivot: np.ndarray, low: np.ndarray | None, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components in a block, one per merger. ``low`` parts the two sides of a block of two slices."""
+    sizes = np.array([len(x) for x in items], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    _, codes = np.unique(np.concatenate(items), return_inverse=True)
+    own = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    label, links = component.copy(), []
+    for i in np.flatnonzero(~pivot & (sizes > 0) if low is None else low & ~pivot & (sizes > 0)):
+        take = (label != label[i]) & ~pivot & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        take &= (np.arange(len(sizes)) > i) if low is None else ~low
+        at = np.flatnonzero(take)
+        if not len(at):
+            continue
+        mine = codes[starts[i] : starts[i] + sizes[i]]
+        own[mine] = True
+        for j in np.array_split(at, -(-int(sizes[at].sum()) // 4_000_000)):
+            places = np.repeat(starts[j] - (np.cumsum(sizes[j]) - sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+            common = np.add.reduceat(own[codes[places]].astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+            for k in j[100 * common >= percent * (sizes[j] + sizes[i] - common)]:
+                if label[k] != label[i]:
+                    links.append((int(i), int(k)))
+                    label[label == label[k]] = label[i]
+        own[mine] = False
+    return links
+
+
+def across_components(rest: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` between components; ``rest`` has ``key, size, id, component, is_pivot, items``."""
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = (
         rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
-        .select("key", "lo", "hi", (F.col("own") == F.col("lo")).alias("low"), "id", F.xxhash64("component").alias("component"), "n", "is_pivot", "sketch")
+        .select("key", "lo", "hi", (F.col("own") == F.col("lo")).alias("low"), "id", F.xxhash64("component").alias("component"), "is_pivot", "items")
     )
     streamed = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-            if rows.num_rows < 2:
+        def links(rows: pa.Table) -> pa.RecordBatch | None:
+            component = rows.column("component").to_numpy()
+            if rows.num_rows < 2 or (component == component[0]).all():
                 return None
             same = rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py()
-            component, n, pivot, low = (rows.column(c).to_numpy() for c in ("component", "n", "is_pivot", "low"))
-            if (component == component[0]).all():
-                return None
-            marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            left, right = [], []
-            for i in np.flatnonzero(~pivot) if same else np.flatnonzero(low & ~pivot):
-                take = (component != component[i]) & ~pivot & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                take &= (np.arange(len(n)) > i) if same else ~low
-                at = np.flatnonzero(take)
-                at = at[(marks[at] == marks[i]).mean(1) >= least] if len(at) else at
-                left += [i] * len(at)
-                right += at.tolist()
-            if not left:
+            pivot, low = (rows.column(c).to_numpy() for c in ("is_pivot", "low"))
+            items = [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
+            found = block_links(component, pivot, None if same else low, items, percent)
+            if not found:
                 return None
             ids = rows.column("id").combine_chunks()
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(side, pa.int64())) for side in zip(*found)], ["a", "b"])
 
         held, at = [], None
         for batch in batches:
@@ -133,25 +159,23 @@ def across_components(rest: DataFrame, percent: int, coordinates: int) -> DataFr
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 if held and at != tuple(keys[a]):
-                    if out := pairs(pa.concat_tables(held)):
+                    if out := links(pa.concat_tables(held)):
                         yield out
                     held = []
                 at = tuple(keys[a])
                 held.append(table.slice(a, b - a))
-        if held and (out := pairs(pa.concat_tables(held))):
+        if held and (out := links(pa.concat_tables(held))):
             yield out
 
     kind = type_of(rest, "id")
-    found = streamed.mapInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+    return streamed.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def linked_components(nodes: DataFrame, texts: DataFrame, percent: int, coordinates: int) -> DataFrame:
+def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``(id, component)`` of the nodes that have a link.
 
-    ``nodes`` has one row per distinct set: ``id, n, sketch, bands``; ``texts`` has ``id, text`` of these ids at least. Two nodes
-    are linked if their full sets have a Jaccard similarity of ``percent`` / 100 or more. ``nodes`` is read
-    more than once: hand over a written table.
+    ``nodes`` has one row per distinct set: ``id, bands``; ``fetch`` turns a table of ids into ``id, text``. Two nodes are linked
+    if their full sets have a Jaccard similarity of ``percent`` / 100 or more. ``nodes`` is read twice.
     """
     rows = nodes.select("id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -160,13 +184,14 @@ def linked_components(nodes: DataFrame, texts: DataFrame, percent: int, coordina
     order = F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))  # ties fall the same way everywhere
     pivots = kept(members.join(scores, "id").groupBy("key").agg(F.max_by("id", order).alias("pivot")), "pivots")
     edges = members.join(pivots, "key").filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = kept(verified(kept(edges, "edges"), texts, percent), "links")
+    near = kept(fetch(members.select("id").distinct()), "texts")
+    first = kept(verified(kept(edges, "edges"), near, percent), "links")
     stars = kept(components(first), "stars")
 
     label = F.coalesce("component", "id").alias("component")
     labelled = members.filter("size > 2").join(stars, "id", "left").select("key", "id", "size", label)
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    rest = labelled.join(open_keys, "key").join(pivots, "key").join(nodes.select("id", "n", "sketch"), "id")
-    rest = rest.select("key", "size", "id", "component", "n", (F.col("id") == F.col("pivot")).alias("is_pivot"), "sketch")
-    second = verified(kept(across_components(rest, percent, coordinates), "pairs"), texts, percent)
-    return components(first.unionByName(second))
+    rest = kept(labelled.join(open_keys, "key").join(pivots, "key"), "rest")
+    sets = set_tables(near.join(rest.select("id").distinct(), "id"))
+    rest = rest.join(sets, "id").select("key", "size", "id", "component", (F.col("id") == F.col("pivot")).alias("is_pivot"), "items")
+    return components(first.unionByName(across_components(rest, percent)))

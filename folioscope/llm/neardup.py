@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.linking import PART, linked_components, signature_columns
+from folioscope.llm.linking import PART, band_column, linked_components
 from folioscope.llm.shingles import set_digest, shingle_set, text_words
 from folioscope.llm.sketches import tuned_bands
 from folioscope.session import kept
@@ -19,7 +19,7 @@ COORDINATES = 224
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, digest, sketch, bands`` of every row of ``docs`` (``doc_id, text``)."""
+    """``doc_id, n, digest, bands`` of every row of ``docs`` (``doc_id, text``)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -27,9 +27,9 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(at, PART)
                 sets = [shingle_set(w) for w in text_words(part.column("text").to_pylist())]
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + signature_columns(sets, bands, rows), ["doc_id", "n", "digest", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([*columns, band_column(sets, bands, rows)], ["doc_id", "n", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, digest binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, digest binary, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, coordinates: int = COORDINATES) -> DataFrame:
@@ -49,9 +49,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     bands, rows = tuned_bands(percent / 100, miss, coordinates)
     signed = kept(signatures(docs, bands, rows), "signatures")
     classes = kept(signed.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    nodes = signed.withColumnRenamed("doc_id", "id").join(classes.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "bands")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = linked_components(kept(nodes, "nodes"), texts, percent, bands * rows)
+    nodes = signed.withColumnRenamed("doc_id", "id").join(classes.select("id").distinct(), "id", "left_semi").select("id", "bands")
+
+    def fetch(ids: DataFrame) -> DataFrame:  # a merge join moves the texts in the same way at every size
+        return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id")
+
+    found = linked_components(kept(nodes, "nodes"), fetch, percent)
     labels = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(labels, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
