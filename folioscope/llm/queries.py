@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, neardup, packing, sharding, toxicity
+from folioscope.llm import chat, embeddings, langid, neardup, packing, paragraphs, sharding, toxicity
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op10_toxicity(spark, sf_dir):
     found = toxicity.assess(docs.select("doc_id", "text"), toxicity.train(labelled))
     predicted = (F.col("toxicity") >= toxicity.PREDICT_AT).cast("int")
     return found.select("doc_id", langid.held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
+
+
+@query
+def op9_paragraphs(spark, sf_dir):
+    """The paragraphs of all documents that repeat an earlier one, and which."""
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
