@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
-#: Words remembered by a worker; the memory is emptied when it is full.
-MOST_WORDS = 400_000
+#: Words that a worker's two generations of memory hold each.
+MOST_WORDS = 800_000
 #: str.split also cuts at these, the tokenizers' white space does not hold them.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 ENDING = frozenset(".,;:!?")
+JOINED = 256
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, if the tokenizer's normaliser would surely do the same before it composes characters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes, for a tokenizer that never joins words across white space.
+    """Ids as little-endian unsigned 32-bit bytes, for a tokenizer that lowers case and never joins words across
+    white space.
 
     Equal to encoding the text in one go: its normaliser maps characters on their own, its
     pre-tokenizer drops white space, and a closing mark after a letter or digit is a piece of its own.
@@ -27,46 +39,72 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def letter_words(self, words: list[str]) -> list[bytes]:
+        """``ids`` of words of letters only: joined texts are encoded, and cut by the words' numbers."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64), prepend=-1, append=-1)) * 4
+            if len(cuts) != len(part) + 1:  # a letter that the normaliser takes apart
+                out += self.ids(part)
+                continue
+            data, ends = np.asarray(found.ids, "<u4").tobytes(), cuts.tolist()
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
     def learn(self, words: set[str]) -> None:
-        known = self.words
-        if len(known) + len(words) > MOST_WORDS:
-            known.clear()
+        """Put ``words`` into the young memory; what it held before is old if it is full."""
+        if len(self.young) + len(words) > MOST_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         parts = {}
         for word in words:
-            stem, mark = word, ""
-            if "<|" not in word:
-                if word[-1] in ENDING and len(word) > 1 and (word[-2].isalpha() or word[-2].isdecimal()):
-                    stem, mark = word[:-1], word[-1]
-                if stem.isascii():
-                    stem = stem.lower()
-            parts[word] = (stem, mark)
-        new = list({p for stem_mark in parts.values() for p in stem_mark if p and p not in known})
-        known.update(zip(new, self.ids(new)))
-        known[""] = b""
-        known.update({word: known[stem] + known[mark] for word, (stem, mark) in parts.items()})
+            if word in old:
+                young[word] = old[word]
+            elif word[-1] in ENDING and (word[-2:-1].isalpha() or word[-2:-1].isdecimal()) and word[-2] != "İ" and "<|" not in word:
+                parts[word] = (word[:-1], word[-1])
+            else:
+                parts[word] = (word, "")
+        for part in {p for both in parts.values() for p in both if p in old and p not in young}:
+            young[part] = old[part]
+        new = {p for both in parts.values() for p in both if p not in young} - {""}
+        letters = [p for p in new if p.isalpha()]
+        others = [p for p in new if not p.isalpha()]
+        plain = [p for p in letters if p.isascii() and p.islower()]  # as they are after the normaliser: straight to the merges
+        letters = [p for p in letters if not (p.isascii() and p.islower())]
+        for word in plain:
+            ids = [token.id for token in self.merges(word)]
+            young[word] = struct.pack(f"<{len(ids)}I", *ids)
+        young.update(zip(letters, self.letter_words(letters)))
+        young.update(zip(others, self.ids(others)))
+        young.update({word: young[stem] + young[mark] for word, (stem, mark) in parts.items() if mark})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in NOT_BLANK) else t.split() for t in texts]
-        missing = set().union(*[s for s in split if s]) - self.words.keys()
+        split = []
+        for text in texts:
+            split.append(None if any(c in text for c in NOT_BLANK) else lowered(text).split())
+        held = self.young
+        missing = {w for s in split if s for w in s if w not in held}
         if missing:
             self.learn(missing)
-        known = self.words
+        young, old = self.young, self.old
         out = []
         for text, words in zip(texts, split):
             if words is None:
                 out += self.ids([text])
-                continue
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:  # forgotten when the memory was emptied
-                self.learn({w for w in words if w not in known})
-                out.append(b"".join([known[w] if w in known else self.ids([w])[0] for w in words]))
+            elif young is held:
+                out.append(b"".join(map(young.__getitem__, words)))
+            else:  # the memory was renewed just now: what was known before is old
+                out.append(b"".join([young[w] if w in young else old[w] for w in words]))
         return out
 
 

@@ -21,7 +21,7 @@ def direct(text):
 def test_encoder_equals_the_tokenizer():
     tokenizer = Tokenizer.from_file(PATH)
     pieces = ["Hello", "WORLD.", "it's", "don't,", "é", "é.", "x́,", "İstanbul.", "ΟΔΟΣ", "a<|endoftext|>b", "<|ENDOFTEXT|>", "12.5", "9.", "...", "!?", "«ok».",
-              "你好.", "😀,", "\x1cz", "a\x1fb.", " ", " ", "́", "ﬁ.", "K.", "'s", "x's.", "​.", "ǅ.", "_", "a_b."]
+              "你好.", "😀,", "\x1cz", "a\x1fb.", " ", " ", "́", "ﬁ.", "K.", "Å", "E\u0301.", "I\u0307", "\u0958", "क़.", "ΣΣ ΑΣ", "ẞ", "'s", "x's.", "​.", "ǅ.", "_", "a_b."]
     rng = random.Random(3)
     texts = ["", " ", "\n"] + pieces + [rng.choice(["", " "]) + "".join(rng.choice(pieces) + rng.choice([" ", "\n", "\t ", "", " ", " "]) for _ in range(12)) for _ in range(600)]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -29,6 +29,14 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
 
 
+def test_every_letter_alone_and_in_words():
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = [chr(i) for i in range(0x250)] + [chr(i) for i in range(0x250, 0x20000) if chr(i).isalpha() and chr(i).lower() != chr(i)]
+    letters = [c for c in letters if not 0xD800 <= ord(c) < 0xE000]
+    texts = [f"{c} a{c}\u0301b {c}{c}. x{c}, {c.upper()}" for c in letters]
+    assert WordEncoder(PATH).encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr("folioscope.llm.tokens.MOST_WORDS", 8)
     encoder = WordEncoder(PATH)
