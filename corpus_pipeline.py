@@ -1,15 +1,66 @@
-"""Training-data pipeline over ``documents``."""
+"""Training-data pipeline over ``documents``: language, near duplicates, repeated paragraphs, mixture, packing.
+
+Each stage is handed what its predecessor wrote, works on all of it and returns the columns of ``documents``; the
+last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import langid, mixing, neardup, packing, paragraphs
+from folioscope.session import kept
+
+TOKENIZER = "word_bpe_49k.json"
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score of at least one half; a missing language is filled in."""
+    found = langid.identify(docs, langid.train(docs))
+    told = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least doc_id."""
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(kept(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs that an earlier one has; documents of nothing else go."""
+    return paragraphs.without_repeats(docs, paragraphs.repeated_paragraphs(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that the expected tokens of sources, languages and topics are evened out."""
+    return mixing.mix(docs).filter("sampled").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens as pieces in sequences of 4096."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_paragraphs", drop_repeated_paragraphs),
+    ("mixture", mix_sources),
+    ("packing", pack_sequences),
+]
+#: SQL can express none of the models; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept(docs, name)
     return docs

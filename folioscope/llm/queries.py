@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, neardup, packing, paragraphs, sharding, toxicity
+from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, sharding, toxicity
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op10_toxicity(spark, sf_dir):
 def op9_paragraphs(spark, sf_dir):
     """The paragraphs of all documents that repeat an earlier one, and which."""
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mix(spark, sf_dir):
+    """Weight, probability and draw of every document for margins evened out by a power of one half."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
