@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, sharding, toxicity
+from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, search, sharding, toxicity
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op1_mix(spark, sf_dir):
     """Weight, probability and draw of every document for margins evened out by a power of one half."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
+@query
+def op8_search(spark, sf_dir):
+    """The ten best documents for each document whose id is divisible by 50, taken as a query."""
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.filter("doc_id % 50 = 0"))
