@@ -132,14 +132,14 @@ def top_entry(scores: Column) -> Column:
 
 
 def normalized(scores: Column) -> Column:
-    """Scores divided by their sum."""
-    return let(
-        F.struct(
-            scores.alias("m"),
-            F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + v).alias("t"),
-        ),
-        lambda s: F.transform_values(s["m"], lambda _, v: F.try_divide(v, s["t"])),
-    )
+    """Scores divided by their sum; ``scores`` is worked out once."""
+    return let(scores, normalized_bound)
+
+
+def normalized_bound(scores: Column) -> Column:
+    """``normalized`` of a value that is already bound."""
+    total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + v)
+    return let(total, lambda t: F.transform_values(scores, lambda _, v: F.try_divide(v, t)))
 
 
 def evidence(text: Column) -> Column:
@@ -215,8 +215,6 @@ def threshold_and_restrict(
     A top score under the threshold means unknown, which is not a supported type and so is
     picked again among the kept ones.
     """
-    kept = F.map_filter(scores, lambda k, _: k.isin(*supported))
-    total = F.aggregate(F.map_values(kept), F.lit(0.0), lambda a, v: a + v)
     uniform = F.create_map(*[x for k in supported for x in (F.lit(k), F.lit(1.0 / len(supported)))])
 
     def pick(s: Column) -> Column:
@@ -226,13 +224,15 @@ def threshold_and_restrict(
             s["kept"].alias("confidence_scores"),
         )
 
-    return let(
-        F.struct(
-            top_entry(scores).alias("top"),
-            F.when(total > 0, normalized(kept)).otherwise(uniform).alias("kept"),
-        ),
-        pick,
-    )
+    def shares(kept: Column) -> Column:
+        total = F.aggregate(F.map_values(kept), F.lit(0.0), lambda a, v: a + v)
+        return F.when(total > 0, normalized_bound(kept)).otherwise(uniform)
+
+    def bound(m: Column) -> Column:
+        kept = let(F.map_filter(m, lambda k, _: k.isin(*supported)), shares)
+        return let(F.struct(top_entry(m).alias("top"), kept.alias("kept")), pick)
+
+    return let(scores, bound)
 
 
 def definitive_override(text: Column, prediction: Column, scores: Column) -> Column:
@@ -247,23 +247,27 @@ def definitive_override(text: Column, prediction: Column, scores: Column) -> Col
 
 def ambiguity_flag(prediction: Column, scores: Column, flags: Column) -> Column:
     """Invoice and purchase order both indicated and within 0.1: unknown, both at 0.5."""
-    invoice = F.try_element_at(scores, F.lit("invoice"))
-    order = F.try_element_at(scores, F.lit("purchase_order"))
-    unclear = F.coalesce(
-        (F.abs(invoice - order) < 0.1)
-        & (flags["invoice"] | flags["strong_invoice"])
-        & (flags["order"] | flags["strong_order"]),
-        F.lit(False),
-    )
-    levelled = normalized(
-        F.transform_values(
-            scores, lambda k, v: F.when(k.isin("invoice", "purchase_order"), 0.5).otherwise(v)
+
+    def flagged(x: Column) -> Column:
+        m, f = x["m"], x["f"]
+        invoice = F.try_element_at(m, F.lit("invoice"))
+        order = F.try_element_at(m, F.lit("purchase_order"))
+        unclear = F.coalesce(
+            (F.abs(invoice - order) < 0.1) & (f["invoice"] | f["strong_invoice"]) & (f["order"] | f["strong_order"]),
+            F.lit(False),
         )
-    )
-    return F.struct(
-        F.when(unclear, F.lit(lx.UNKNOWN_TYPE)).otherwise(prediction).alias("prediction"),
-        F.when(unclear, levelled).otherwise(scores).alias("confidence_scores"),
-    )
+        levelled = normalized(
+            F.transform_values(m, lambda k, v: F.when(k.isin("invoice", "purchase_order"), 0.5).otherwise(v))
+        )
+        return let(
+            unclear,
+            lambda u: F.struct(
+                F.when(u, F.lit(lx.UNKNOWN_TYPE)).otherwise(x["p"]).alias("prediction"),
+                F.when(u, levelled).otherwise(m).alias("confidence_scores"),
+            ),
+        )
+
+    return let(F.struct(prediction.alias("p"), scores.alias("m"), flags.alias("f")), flagged)
 
 
 def predict(text: Column, scores: Column, model_prediction: Column | None = None) -> Column:

@@ -84,10 +84,10 @@ def clean_punctuation(text: Column) -> Column:
     )
 
 
-def clean_text_multilingual(text: Column, max_length: int = MAX_DOCUMENT_LENGTH) -> Column:
+def clean_text_multilingual(text: Column, max_length: int | None = None) -> Column:
     """Lower-cased words only; Arabic runs are set apart from their neighbours.
 
-    The cut at ``max_length`` is part of the operator's definition.
+    Whole texts unless ``max_length`` (``MAX_DOCUMENT_LENGTH`` is the usual cut) is asked for.
     """
     spaced = _replace_in_order(
         F.translate(F.lower(F.coalesce(text, F.lit(""))), "‏‎", "  "),
@@ -97,7 +97,8 @@ def clean_text_multilingual(text: Column, max_length: int = MAX_DOCUMENT_LENGTH)
             (r"[^\w\s\x{600}-\x{6FF}]", " "),
         ],
     )
-    return F.substring(collapse_blanks(spaced), 1, max_length)
+    clean = collapse_blanks(spaced)
+    return clean if max_length is None else F.substring(clean, 1, max_length)
 
 
 def is_too_short(clean: Column, min_length: int = MIN_DOCUMENT_LENGTH) -> Column:
@@ -118,11 +119,11 @@ def clean_for_excerpt(text: Column) -> Column:
     )
 
 
-def json_receipt_to_text(text: Column, max_items: int = 10) -> Column:
+def json_receipt_to_text(text: Column, max_items: int | None = None) -> Column:
     """Readable lines from a receipt stored as a JSON object; null where that fails.
 
     Text totals get the ``RM`` prefix if they lack it. Scalar fields beyond the known ones
-    follow as ``Name: value``. Results of 20 characters or less count as failed.
+    follow as ``Name: value``. All items are listed unless ``max_items`` is given. Results of 20 characters or less count as failed.
     """
     fields = F.when(
         text.rlike(rf"^[{BLANK}]*\{{"), F.from_json(strip(text), "map<string,variant>")
@@ -163,7 +164,7 @@ def json_receipt_to_text(text: Column, max_items: int = 10) -> Column:
             F.concat(
                 F.array(F.lit("Items:")),
                 F.filter(
-                    F.transform(F.slice(items, 1, max_items), item_line),
+                    F.transform(items if max_items is None else F.slice(items, 1, max_items), item_line),
                     lambda x: x.isNotNull(),
                 ),
             ),
@@ -292,8 +293,9 @@ def boost_keywords(text: Column) -> Column:
     return let(clean_text_multilingual(text), boost)
 
 
-def truncate_for_embedding(text: Column, max_length: int = EMBEDDING_LENGTH) -> Column:
-    return F.substring(strip(F.coalesce(text, F.lit(""))), 1, max_length)
+def truncate_for_embedding(text: Column, max_length: int | None = EMBEDDING_LENGTH) -> Column:
+    stripped = strip(F.coalesce(text, F.lit("")))
+    return stripped if max_length is None else F.substring(stripped, 1, max_length)
 
 
 def truncate_at_word(text: Column, max_length: int) -> Column:

@@ -10,6 +10,7 @@ from folioscope.functions.text import MIN_CLEAN_LENGTH, clean_training_text
 from folioscope.operators.joins import (
     attach_class_table,
     hash_rank_cutoffs,
+    null_safe_class,
     seeded_hash,
     with_computed,
 )
@@ -105,14 +106,14 @@ def shuffle_rows(df: DataFrame, row_id: str = "doc_id", seed: int = SEED) -> Dat
 def stratified_split(
     df: DataFrame, label: str = "label", row_id: str = "doc_id", test_share: float = 0.2, seed: int = SEED
 ) -> DataFrame:
-    """Adds ``split``: the given share of every label to test, by seeded hash.
+    """Adds ``split``: the given share of every label to test, by seeded hash; null labels are a class too.
 
     If some class has fewer than two rows the split ignores labels. A class's test rows are
     those up to its cutoff hash, so no class is sorted or shuffled whole.
     """
     smallest = df.groupBy(label).count().agg(F.min("count")).first()[0]
-    by = label if smallest is not None and smallest >= 2 else "_all"
-    rows = df if by == label else df.withColumn("_all", F.lit("all"))
+    by = "_class"
+    rows = df.withColumn(by, null_safe_class(label) if smallest is not None and smallest >= 2 else F.lit("all"))
     quota = lambda n: F.floor(n * test_share + 0.5)
     cutoffs = hash_rank_cutoffs(rows, by, row_id, seed, quota).select(
         F.col("label").alias(by), F.col("cutoff").alias("_cutoff")

@@ -91,6 +91,11 @@ def with_position(
     )
 
 
+def null_safe_class(label: str) -> Column:
+    """The label as a join key that null labels share too (joins drop null keys)."""
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
+
+
 def seeded_hash(row_id: Column, seed: int) -> Column:
     """Fixed pseudo-random key per row id: the same order on every run and retry."""
     return F.md5(F.concat(F.lit(f"{seed}-"), row_id.cast("string")))

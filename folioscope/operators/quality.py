@@ -218,11 +218,11 @@ def neighbour_similarity(df: DataFrame, key: str = "doc_id", reach: int = 9, blo
 
 def near_duplicate_pairs(
     df: DataFrame, key: str = "doc_id", reach: int = 9, threshold: float = 0.8,
-    first_rows: int | None = None, allowed: int = 5,
+    first_rows: int | None = None, allowed: float = 5 / 900,
 ) -> DataFrame:
-    """Similar pairs among neighbouring rows, flagged above ``allowed``.
+    """Similar pairs among neighbouring rows, flagged where their share of the compared pairs is above ``allowed``.
 
-    ``first_rows=100`` compares only the first hundred rows with their followers.
+    ``first_rows=100`` compares only the first hundred rows with their followers: about 900 pairs, of which five may be similar.
     """
     rows = df if first_rows is None else df.orderBy(key).limit(first_rows + reach)
     pairs = neighbour_similarity(rows, key, reach)
@@ -233,7 +233,7 @@ def near_duplicate_pairs(
         F.count(F.lit(1)).alias("compared"),
         F.count_if(F.col("similarity") > threshold).alias("similar_pairs"),
         F.max("similarity").alias("max_similarity"),
-    ).withColumn("near_duplicates", F.col("similar_pairs") > allowed)
+    ).withColumn("near_duplicates", F.col("similar_pairs") > allowed * F.col("compared"))
 
 
 def ocr_artifact_counts(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import lexicon as lx
 from folioscope.functions.patterns import WORD, let
 from folioscope.functions.text import truncate_for_embedding
-from folioscope.operators.joins import attach_class_table
+from folioscope.operators.joins import attach_class_table, null_safe_class
 
 TOKEN = rf"[{WORD}]{{2,}}"
 VOCABULARY = 10_000
@@ -104,8 +104,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias("class_weight"))
-    return attach_class_table(df, weights, label)
+    """Adds ``class_weight``; rows without a label are a class of their own."""
+    named = df.withColumn("_class", null_safe_class(label))
+    weights = class_weights(named, "_class").select(F.col("label").alias("_class"), F.col("weight").alias("class_weight"))
+    return attach_class_table(named, weights, "_class").drop("_class")
 
 
 def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: float | None = 0.9) -> list:
@@ -173,17 +175,25 @@ def grid_search(
     df: DataFrame,
     vocabularies: tuple[int, ...] = (5_000, 10_000),
     penalties: tuple[float, ...] = (0.01, 0.1),
+    min_dfs: tuple[float, ...] = (2.0,),
+    max_dfs: tuple[float, ...] = (0.9,),
+    max_iter: int = 100,
     folds: int = 3,
     parallelism: int = 2,
     seed: int = 42,
 ):
-    """Cross-validated choice of vocabulary size and penalty by accuracy."""
+    """Cross-validated choice of vocabulary size, document-frequency limits and penalty by accuracy.
+
+    Kernels other than the linear one have no distributed form and are no axis of the grid.
+    """
     stages = text_features()
     vectorizer = next(s for s in stages if isinstance(s, CountVectorizer))
-    classifier = LogisticRegression(labelCol="label_index", featuresCol="features", maxIter=30)
+    classifier = LogisticRegression(labelCol="label_index", featuresCol="features", maxIter=max_iter)
     grid = (
         ParamGridBuilder()
         .addGrid(vectorizer.vocabSize, list(vocabularies))
+        .addGrid(vectorizer.minDF, list(min_dfs))
+        .addGrid(vectorizer.maxDF, list(max_dfs))
         .addGrid(classifier.regParam, list(penalties))
         .build()
     )
@@ -357,13 +367,14 @@ def embed_documents(
     encode: Callable[[list[str]], list[list[float]]] | None = None,
     batch: int = 32,
     width: int = 384,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """(id, embedding): one vector per document.
+    """(id, embedding): one vector per document, of its whole text unless ``max_length`` is given.
 
     ``encode`` turns a list of texts into vectors and runs in Arrow batches on the executors;
     without it the hashing encoder is fitted and applied.
     """
-    texts = df.select(F.col(row_id).alias("id"), truncate_for_embedding(F.col("text")).alias("text"))
+    texts = df.select(F.col(row_id).alias("id"), truncate_for_embedding(F.col("text"), max_length).alias("text"))
     if encode is None:
         vectors = hashing_encoder(width).fit(texts).transform(texts)
         return vectors.select("id", vector_to_array("vector", "float32").alias("embedding"))

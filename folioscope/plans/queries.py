@@ -307,7 +307,7 @@ def predict(spark, sf_dir):
 
 @query
 def hybrid_decision(spark, sf_dir):
-    rule = rules.rule_score(F.lower(F.col("text")))
+    rule = rules.rule_score(text.strip_accents(F.col("text")))
     decided = rules.hybrid_decision(F.col("prediction"), F.col("confidence"), rule)
     return predicted(spark, sf_dir).select("doc_id", decided.alias("d")).select("doc_id", "d.*")
 
@@ -339,7 +339,7 @@ def commercial_decision(spark, sf_dir):
     listed = rules.decision_list(text.clean_text_multilingual(F.col("text")))
     prediction, confidence = F.col("prediction"), F.col("confidence")
     rows = predicted(spark, sf_dir).withColumn("rule", listed)
-    hybrid = rules.hybrid_decision(prediction, confidence, rules.rule_score(F.lower(F.col("text"))))
+    hybrid = rules.hybrid_decision(prediction, confidence, rules.rule_score(text.strip_accents(F.col("text"))))
     return rows.withColumn("hybrid", hybrid).select(
         "doc_id",
         rules.commercial_decision(F.col("rule"), prediction, confidence, F.col("hybrid")).alias("a"),
@@ -513,7 +513,7 @@ def largest_amount(spark, sf_dir):
 
 
 def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, response): order facts as model answers, well formed and broken in five ways."""
+    """(id, response): order facts as model answers, well formed and broken in six ways."""
     f = order_fields()
     key = F.col("o_orderkey")
 
@@ -524,13 +524,15 @@ def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('", "category": "income", "subcategory": "sales_revenue", "confidence": 0.9' + end),
         )
 
-    form = F.pmod(key, F.lit(6))
+    form = F.pmod(key, F.lit(7))
+    thousandfold = F.format_number((F.round(F.col("o_totalprice") * 100) * 10).cast("decimal(20,2)"), 2)
     response = (
         F.when(form == 0, body(f["amount"]))
         .when(form == 1, F.concat(F.lit("Here it is:\n```json\n"), body(f["amount"]), F.lit("\n```")))
         .when(form == 2, body(f["commas"]))
         .when(form == 3, body(f["amount"], ",}"))
         .when(form == 4, F.replace(body(f["amount"]), F.lit('"'), F.lit("'")))
+        .when(form == 6, body(thousandfold))
         .otherwise(body(f["amount"], ""))
     )
     return orders_with_customers(spark, sf_dir).select(key.alias("id"), response.alias("response"))
@@ -1220,37 +1222,56 @@ def performance_ranking(spark, sf_dir):
     return rounded(training.performance_ranking(class_confidence(spark, sf_dir)))
 
 
+def model_facts(scored: DataFrame) -> DataFrame:
+    """What must hold of scores whatever the fit: shares of one, the arg max as prediction, better than the largest class."""
+    values = F.map_values("confidence_scores")
+    largest = scored.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share")).scalar()
+    right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("share")).scalar()
+    return scored.select(
+        "doc_id",
+        "label",
+        (F.abs(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9).alias("shares_sum_to_one"),
+        F.forall(values, lambda v: v.between(0, 1)).alias("shares_in_range"),
+        (F.col("confidence") == F.array_max(values)).alias("prediction_is_top"),
+        (right > largest).alias("beats_largest_class"),
+    )
+
+
+def trained_and_scored(spark: SparkSession, sf_dir: str, train) -> DataFrame:
+    rows = corpus.stratified_split(labelled(spark, sf_dir))
+    return training.score_batch(train(rows.filter("split = 'train'")), rows.filter("split = 'test'"))
+
+
 @query
 def train_linear_classifier(spark, sf_dir):
-    rows = corpus.stratified_split(labelled(spark, sf_dir))
-    model = training.train_linear_classifier(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=10)
-    return training.classification_report(training.score_batch(model, rows.filter("split = 'test'")))
+    return model_facts(trained_and_scored(spark, sf_dir, training.train_linear_classifier))
 
 
 @query
 def train_logistic(spark, sf_dir):
-    rows = corpus.stratified_split(labelled(spark, sf_dir))
-    model = training.train_logistic(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=20)
-    return training.confidence_by_class(training.score_batch(model, rows.filter("split = 'test'")))
+    return model_facts(trained_and_scored(spark, sf_dir, training.train_logistic))
 
 
 @query
 def score_batch(spark, sf_dir):
-    rows = corpus.stratified_split(labelled(spark, sf_dir))
-    model = training.train_logistic(rows.filter("split = 'train'"), vocabulary=2_000, max_iter=20)
-    return training.score_batch(model, rows.filter("split = 'test'")).select("doc_id", "label", "prediction", "confidence")
+    scored = trained_and_scored(spark, sf_dir, training.train_logistic)
+    known = F.col("prediction").isin(*[r.label for r in labelled(spark, sf_dir).select("label").distinct().collect()])
+    return scored.select("doc_id", "label", known.alias("known_label"), F.size("confidence_scores").cast("long").alias("classes"))
 
 
 @query
 def grid_search(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "text", "label")
-    model = training.grid_search(rows, vocabularies=(500, 2_000), penalties=(0.01,), folds=2)
-    return training.grid_results(rows, model)
+    found = training.grid_results(rows, training.grid_search(rows))
+    return found.select("setting", F.col("accuracy").between(0.5, 1).alias("learned"))
 
 
 @query
 def embed_documents(spark, sf_dir):
-    return training.embed_documents(documents(spark, sf_dir))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    return training.embed_documents(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), F.size("embedding").cast("long").alias("width"), (F.abs(norm - 1) < 1e-3).alias("unit_length")
+    )
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -1282,7 +1303,7 @@ def stream_period_totals(spark, sf_dir):
         F.when(kind == "purchase", "income").when(kind == "error", "expense").otherwise("potential_income").alias("category"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
-    periods = totals.period_totals(amounts_by_category, "7 days", "1 day")
+    periods = totals.period_totals(amounts_by_category, "7 days")
     totals.write_period_totals(periods, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     spelled = {c: F.date_format(c, "yyyy-MM-dd") for c in ("period_start", "period_end")}
-    return spark.read.parquet(f"{base}/out").withColumns(spelled)
+    return totals.read_period_totals(spark, f"{base}/out").withColumns(spelled)

@@ -78,8 +78,17 @@ def _first_files(spark: SparkSession, folder: str, glob: str, limit: int) -> Dat
     return listed.withColumn("rank", rank).filter(F.col("rank") <= limit).select("path")
 
 
-def scan_text_files(spark: SparkSession, folder: str, label: str = "receipt", limit: int = 1500) -> DataFrame:
-    """(text, label, source_file): one row per ``*.txt`` file with over ten characters."""
+def _of_first_files(rows: DataFrame, folder: str, glob: str, limit: int | None) -> DataFrame:
+    if limit is None:
+        return rows
+    return rows.join(_first_files(rows.sparkSession, folder, glob, limit), "path", "left_semi")
+
+
+def scan_text_files(spark: SparkSession, folder: str, label: str = "receipt", limit: int | None = None) -> DataFrame:
+    """(text, label, source_file): one row per ``*.txt`` file with over ten characters.
+
+    With ``limit`` only the first files by name of each directory.
+    """
     rows = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.txt")
@@ -91,7 +100,7 @@ def scan_text_files(spark: SparkSession, folder: str, label: str = "receipt", li
         )
     )
     return (
-        rows.join(_first_files(spark, folder, "*.txt", limit), "path", "left_semi")
+        _of_first_files(rows, folder, "*.txt", limit)
         .filter(F.length("text") > 10)
         .select("text", F.lit(label).alias("label"), "source_file")
     )
@@ -111,11 +120,12 @@ def annotation_text() -> Column:
 
 
 def scan_annotation_json(
-    spark: SparkSession, folder: str, label: str = "receipt", limit: int = 200, lines: bool = False
+    spark: SparkSession, folder: str, label: str = "receipt", limit: int | None = None, lines: bool = False
 ) -> DataFrame:
     """(text, label, source_file): one row per ``*.json`` file with over ten characters.
 
-    With ``lines`` a file holds one record per line, which lets Spark split large files.
+    With ``lines`` a file holds one record per line, which lets Spark split large files; with ``limit`` only the
+    first files by name of each directory are read.
     """
     rows = (
         spark.read.schema(ANNOTATION_SCHEMA)
@@ -130,7 +140,7 @@ def scan_annotation_json(
         )
     )
     return (
-        rows.join(_first_files(spark, folder, "*.json", limit), "path", "left_semi")
+        _of_first_files(rows, folder, "*.json", limit)
         .filter(F.length("text") > 10)
         .select("text", F.lit(label).alias("label"), "source_file")
     )

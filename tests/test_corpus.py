@@ -173,3 +173,10 @@ def test_company_records(spark):
         ("content of the file, long", "receipt", "Invoice"), ("extracted content, long", "contract", "contract"),
         ("first message here second one", "form", "document"),
     ]
+
+
+def test_split_keeps_rows_without_a_label(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", None if i % 3 == 0 else "a") for i in range(60)], "doc_id long, text string, label string")
+    split = corpus.stratified_split(rows).collect()
+    assert len(split) == 60 and {(r.label, r.split) for r in split} == {(None, "test"), (None, "train"), ("a", "test"), ("a", "train")}
+    assert sum(r.split == "test" for r in split if r.label is None) == 4

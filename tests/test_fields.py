@@ -140,3 +140,11 @@ def test_report_fields(apply):
     (got,) = apply(lambda c: F.struct(*[responses.regex_report_fields(c)[n].alias(n) for n in names]), [broken])
     assert (got.chiffre_affaires, got.total_actif, got.points_forts) == (1500.0, 0.0, ["a", "b", "c"])
     assert [(t.document_id, t.montant, t.libelle) for t in got.details_transactions] == [("doc1", 12.5, "first")]
+
+
+def test_amounts_with_several_thousands_commas(apply):
+    def amount(c):
+        return responses.repair_json_response(c, F.lit("2024-01-01").cast("date"))["amount"]
+
+    rows = ['{"amount": 1,234,567.89, "confidence": 0.5}', '{"amount": 9,876,543,210}', '{"amount": 1,234.5,}', '{"amount":12,345,"currency":"EUR"}', '{"amount": 999}']
+    assert apply(amount, rows) == [1234567.89, 9876543210.0, 1234.5, 12345.0, 999.0]

@@ -88,16 +88,21 @@ def test_slices_ingest_like_the_whole(spark, tmp_path, monkeypatch, keys):
     assert all(first[t] == d for t, d in got if t != "text 0")
 
 
-def test_late_rows_do_not_reopen_periods(spark, tmp_path):
-    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+def test_periods_are_complete_over_batches(spark, tmp_path):
     schema = "ts timestamp, category string, cents long"
 
-    def load(rows):
-        spark.sql("SELECT " + " UNION ALL SELECT ".join(f"timestamp'{t}' AS ts, '{c}' AS category, {n}L AS cents" for t, c, n in rows)).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        totals.write_period_totals(totals.period_totals(stream, "1 day", "1 hour"), out, checkpoint).awaitTermination()
+    def run(name, lateness):
+        source, out, checkpoint = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "cp"))
 
-    load([("2024-01-01 10:00:00", "income", 5), ("2024-01-01 11:00:00", "expense", 2), ("2024-01-03 00:00:00", "income", 1)])
-    load([("2024-01-01 12:00:00", "income", 100), ("2024-01-05 00:00:00", "income", 1)])
-    got = local(spark.read.parquet(out), "income", "expense", "n")
-    assert got == [(1, 0, 1), (5, 2, 2)]
+        def load(rows):
+            spark.sql("SELECT " + " UNION ALL SELECT ".join(f"timestamp'{t}' AS ts, '{c}' AS category, {n}L AS cents" for t, c, n in rows)).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            totals.write_period_totals(totals.period_totals(stream, "1 day", lateness), out, checkpoint).awaitTermination()
+
+        load([("2024-01-01 10:00:00", "income", 5), ("2024-01-01 11:00:00", "expense", 2), ("2024-01-03 00:00:00", "income", 1)])
+        load([("2024-01-01 12:00:00", "income", 100), ("2024-01-05 00:00:00", "income", 1)])
+        return local(totals.read_period_totals(spark, out).orderBy("period_start"), "income", "expense", "n")
+
+    # open periods are there, and without a watermark late rows are, too
+    assert sorted(run("whole", None)) == [(1, 0, 1), (1, 0, 1), (105, 2, 3)]
+    assert sorted(run("marked", "1 hour")) == [(1, 0, 1), (1, 0, 1), (5, 2, 2)]

@@ -100,7 +100,7 @@ def test_json_receipts(apply):
 
 def test_receipt_items_are_limited(apply):
     items = ",".join('{"name":"n%d"}' % i for i in range(15))
-    (got,) = apply(text.json_receipt_to_text, ['{"items":[%s]}' % items])
+    (got,) = apply(lambda c: text.json_receipt_to_text(c, max_items=10), ['{"items":[%s]}' % items])
     assert got.count("- n") == 10
 
 
@@ -160,3 +160,16 @@ def test_required_literals_never_lose_matches(spark):
 def test_strip_uses_unicode_blanks(apply):
     assert apply(patterns.strip, ["  a b \x1f\x85"]) == ["a b"]
     assert apply(lambda c: F.length(patterns.collapse_blanks(c)), ["　a \t b"]) == [3]
+
+
+def test_long_texts_are_cleaned_whole(apply):
+    long = "word " * 30_000 + "facture montant"
+    assert apply(text.clean_text_multilingual, [long])[0].endswith("facture montant")
+    assert len(apply(lambda c: text.clean_text_multilingual(c, 100), [long])[0]) == 100
+
+
+def test_receipts_list_all_items(apply):
+    items = ", ".join(f'{{"name": "i{k}", "quantity": 1, "price": 2}}' for k in range(13))
+    receipt = f'{{"company": "c", "items": [{items}]}}'
+    assert "i12" in apply(text.json_receipt_to_text, [receipt])[0]
+    assert "i10" not in apply(lambda c: text.json_receipt_to_text(c, 10), [receipt])[0]
