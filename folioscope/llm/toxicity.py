@@ -154,8 +154,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(columns, rows)``: the subsequences that occur in the words, and each word's features for them."""
     word, u, weight = by_word(words)
     columns, at = np.unique(u, return_inverse=True)
-    rows = np.zeros((len(words), len(columns)))
-    np.add.at(rows, (word, at), weight)
+    rows = np.zeros((len(words), len(columns)), np.float32)
+    np.add.at(rows, (word, at), weight.astype(np.float32))
     return columns, rows
 
 
@@ -169,22 +169,23 @@ def weighted(weights: np.ndarray, letters: np.ndarray, first: np.ndarray, length
 
 def against(columns: np.ndarray, rows: np.ndarray, words: list[str]) -> np.ndarray:
     """The kernel of each word with each of the ``rows`` of features."""
-    word, u, weight = by_word(words)
-    at = np.minimum(np.searchsorted(columns, u), len(columns) - 1)
-    known = columns[at] == u
-    word, at, weight = word[known], at[known], weight[known]
-    out = np.zeros((len(words), len(rows)))
-    if len(word):
-        starts = np.flatnonzero(np.diff(word, prepend=-1))
-        for k, row in enumerate(rows):
-            out[word[starts], k] = np.add.reduceat(row[at] * weight, starts)
+    out = np.zeros((len(words), len(rows)), np.float32)
+    for begin in range(0, len(words), 4_000):  # some words at a time, for the driver's memory
+        word, u, weight = by_word(words[begin : begin + 4_000])
+        at = np.minimum(np.searchsorted(columns, u), len(columns) - 1)
+        known = columns[at] == u
+        word, at, weight = word[known], at[known], weight[known].astype(np.float32)
+        if len(word):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            for k, row in enumerate(rows):
+                out[begin + word[starts], k] = np.add.reduceat(row[at] * weight, starts)
     return out
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, rounds: int = 20) -> np.ndarray:
     """Weights (the last is the bias) of the squared-hinge SVM: Newton steps on the rows inside the margin, halved while
     they do not lower the objective."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     share = cost * weight
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-2
@@ -375,10 +376,10 @@ def machine(toxic: list[list[str]], told: dict[str, float], more: dict[str, floa
     chosen = dict.fromkeys([*told, *sorted(lead, key=lambda w: (-lead[w], w))][: landmarks // 2])
     chosen |= dict.fromkeys(sorted(clean, key=lambda w: (-clean[w], w))[: landmarks - len(chosen)])
     columns, z = features(list(chosen))
-    spec, vectors = np.linalg.eigh(z @ z.T)
+    spec, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = spec > 1e-5 * spec.max(initial=1e-12)
     root = vectors[:, good] / np.sqrt(spec[good])
-    nystroem = against(columns, z, words) @ root
+    nystroem = against(columns, z, words) @ root.astype(np.float32)
     fixed = [at[w] for w in [*told, *more, *sorted(clean)]]
     weight = np.concatenate([list(told.values()), list(more.values()), 1 + np.log1p([clean[w] for w in sorted(clean)]), np.ones(len(toxic))])
     y = np.repeat([1.0, -1.0, 1.0], [len(told) + len(more), len(clean), len(toxic)])
