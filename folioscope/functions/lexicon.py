@@ -588,3 +588,26 @@ TURNOVER_RATIOS = {
     "marge_brute_percent": 40.0, "marge_nette_percent": 8.0, "rentabilite_actif_percent": 6.7,
     "liquidite_generale": 4.0, "autonomie_financiere_percent": 81.7,
 }
+
+# --- fixed values: single stored responses ---------------------------------------------------
+# field -> pattern that finds it in a response that cannot be parsed; then what it is without one
+RESPONSE_PATTERNS = {
+    "document_type": r'"document_type":\s*"([^"]+)"',
+    "amount": r'"amount":\s*([0-9.]+)',
+    "currency": r'"currency":\s*"([A-Z]{3})"',
+}
+RESPONSE_DEFAULTS = {
+    "document_type": "unknown",
+    "amount": 0.0,
+    "currency": "USD",
+    "description": "Extracted from document",
+    "category": "mixed",
+    "subcategory": "unclassified",
+    "confidence": 0.6,
+}
+# shapes of values in report JSON that cannot be parsed
+REPORT_AMOUNT_SHAPE = r"\d+(?:[,.]\d+)?"
+REPORT_RATIO_SHAPE = r"\d+(?:\.\d+)?"
+REPORT_TRANSACTION_SHAPE = r'"montant":\s*(\d+(?:[,.]\d+)?)[^}]*"libelle":\s*"([^"]+)"'
+REPORT_TRANSACTION_ACCOUNT = "701"
+REPORT_NOTES_KEPT = 3

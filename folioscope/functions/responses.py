@@ -9,6 +9,12 @@ from folioscope.functions import lexicon as lx
 from folioscope.functions.patterns import let
 
 
+RESPONSE_FIELDS = {
+    "document_type": "string", "amount": "double", "currency": "string", "date": "string",
+    "description": "string", "category": "string", "subcategory": "string", "confidence": "double",
+}
+
+
 def outer_object(response: Column) -> Column:
     """From the first opening to the last closing brace."""
     return F.nullif(F.regexp_extract(response, r"(?s)(\{.*\})", 1), F.lit(""))
@@ -39,32 +45,22 @@ def repair_json_response(response: Column, as_of: Column) -> Column:
             F.try_parse_json(F.regexp_replace(body, r"(\d+),(\d+)", "$1$2")),
         )
 
-    def by_regex(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(response, pattern, 1), F.lit(""))
-
-    fallback = {
-        "document_type": F.coalesce(by_regex(r'"document_type":\s*"([^"]+)"'), F.lit("unknown")),
-        "amount": F.coalesce(by_regex(r'"amount":\s*([0-9.]+)').try_cast("double"), F.lit(0.0)),
-        "currency": F.coalesce(by_regex(r'"currency":\s*"([A-Z]{3})"'), F.lit("USD")),
-        "date": F.date_format(as_of, "yyyy-MM-dd"),
-        "description": F.lit("Extracted from document"),
-        "category": F.lit("mixed"),
-        "subcategory": F.lit("unclassified"),
-        "confidence": F.lit(0.6),
-    }
+    def stated(name: str, kind: str) -> Column:
+        """What a field is in a response that cannot be parsed."""
+        if name == "date":
+            return F.date_format(as_of, "yyyy-MM-dd")
+        default = F.lit(lx.RESPONSE_DEFAULTS[name])
+        if name not in lx.RESPONSE_PATTERNS:
+            return default
+        found = F.nullif(F.regexp_extract(response, lx.RESPONSE_PATTERNS[name], 1), F.lit(""))
+        return F.coalesce(found.try_cast(kind), default)
 
     def typed(doc: Column) -> Column:
-        def field(name: str) -> Column:
-            kind = "double" if name in ("amount", "confidence") else "string"
-            return F.try_variant_get(doc, f"$.{name}", kind)
-
-        return F.struct(
-            *[
-                F.when(doc.isNotNull(), field(name)).otherwise(default).alias(name)
-                for name, default in fallback.items()
-            ],
-            doc.isNotNull().alias("parsed"),
-        )
+        def field(name: str, kind: str) -> Column:
+            read = F.try_variant_get(doc, f"$.{name}", kind)
+            return F.when(doc.isNotNull(), read).otherwise(stated(name, kind)).alias(name)
+
+        return F.struct(*[field(name, kind) for name, kind in RESPONSE_FIELDS.items()], doc.isNotNull().alias("parsed"))
 
     return let(let(outer_object(response), parsed), typed)
 
@@ -74,15 +70,14 @@ def _number(text: Column, name: str, shape: str) -> Column:
     return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
 
 
-def regex_report_fields(response: Column) -> dict[str, Column]:
-    """Amounts, ratios, notes (three each) and transactions from report JSON that cannot
-    be parsed."""
-    fields = {n: F.coalesce(_number(response, n, r"\d+(?:[,.]\d+)?"), F.lit(0.0)) for n in lx.REPORT_AMOUNTS}
-    fields |= {n: _number(response, n, r"\d+(?:\.\d+)?") for n in lx.REPORT_RATIOS}
+def regex_report_fields(response: Column, notes: int = lx.REPORT_NOTES_KEPT) -> dict[str, Column]:
+    """Amounts, ratios, the first ``notes`` notes of each kind and transactions from report JSON that cannot be parsed."""
+    fields = {n: F.coalesce(_number(response, n, lx.REPORT_AMOUNT_SHAPE), F.lit(0.0)) for n in lx.REPORT_AMOUNTS}
+    fields |= {n: _number(response, n, lx.REPORT_RATIO_SHAPE) for n in lx.REPORT_RATIOS}
     for name in lx.REPORT_NOTES:
         block = F.regexp_extract(response, rf'(?s)"{name}":\s*\[(.*?)\]', 1)
-        fields[name] = F.slice(F.regexp_extract_all(block, F.lit('"([^"]+)"'), F.lit(1)), 1, 3)
-    shape = r'"montant":\s*(\d+(?:[,.]\d+)?)[^}]*"libelle":\s*"([^"]+)"'
+        fields[name] = F.slice(F.regexp_extract_all(block, F.lit('"([^"]+)"'), F.lit(1)), 1, notes)
+    shape = lx.REPORT_TRANSACTION_SHAPE
     fields["details_transactions"] = F.transform(
         F.arrays_zip(
             F.regexp_extract_all(response, F.lit(shape), F.lit(1)).alias("montant"),
@@ -92,7 +87,7 @@ def regex_report_fields(response: Column) -> dict[str, Column]:
             F.concat(F.lit("doc"), i + 1).alias("document_id"),
             F.lit("transaction").alias("type"),
             F.replace(t["montant"], F.lit(","), F.lit("")).cast("double").alias("montant"),
-            F.lit("701").alias("compte_comptable"),
+            F.lit(lx.REPORT_TRANSACTION_ACCOUNT).alias("compte_comptable"),
             t["libelle"].alias("libelle"),
         ),
     )
@@ -101,4 +96,4 @@ def regex_report_fields(response: Column) -> dict[str, Column]:
 
 def stated_turnover(response: Column) -> Column:
     """Turnover named in broken report JSON, 0 without one."""
-    return F.coalesce(_number(response, "chiffre_affaires", r"\d+(?:[.,]\d+)?"), F.lit(0.0))
+    return F.coalesce(_number(response, "chiffre_affaires", lx.REPORT_AMOUNT_SHAPE), F.lit(0.0))

@@ -43,18 +43,18 @@ TEMPLATES = {
         "PAYSLIP {key}\nEmployee: Jane {segment}\nPeriod: {long_date}\nGross salary: {symbol}{subtotal}\nNet pay: {symbol}{amount}",
     ],
     "contract": [
-        "CONTRACT AGREEMENT\nBetween {customer} and {segment} Partners\nEffective {long_date}\nTerm: {quantity} months, renewable.\nThis agreement is made on {date}.",
+        "CONTRACT AGREEMENT\n{customer} (client) and {segment} Holdings (supplier) sign on {date}.\nStart: {long_date}. Runs for {quantity} months unless ended by either side.",
         "CONTRAT DE SERVICES\nLe {french_date}, entre {customer} et la société {segment}. Durée: {quantity} mois.\nLes parties conviennent des conditions ci-dessous.",
     ],
     "id_card": [
-        "IDENTIFICATION CARD\nName: {customer}\nID Number: ID-{key}\nIssue Date: {date}\nExpiration: {due_date}",
+        "IDENTIFICATION CARD\nHolder {customer}\nCard no. {key}\nValid from {date} to {due_date}",
         "EMPLOYEE BADGE\n{customer}\nDepartment: {segment}\nIssued: {iso_date}",
     ],
     "resume": [
         "RESUME\n{customer}\nExperience: {quantity} years in {segment}\nAvailable from {long_date}",
     ],
     "certificate": [
-        "CERTIFICATE OF COMPLETION\nThis certifies that {customer} completed {segment} training on {date}. Certification ID: {key}",
+        "CERTIFICATE no. {key}\nAwarded on {date} to {customer} for finishing the {segment} course.",
     ],
     "report": [
         "QUARTERLY REPORT\nPrepared for: {customer}\nDate: {date}\nRevenue: {symbol}{commas}\nExpenses: {symbol}{subtotal}",
