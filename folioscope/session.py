@@ -56,4 +56,14 @@ def kept(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_in = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``kept`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.kept_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
