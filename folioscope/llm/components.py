@@ -33,6 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = small.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
         now = state(links)
         if now == before:
+            # each round is checkpointed, so nothing above is read again
             nodes = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
         before = now

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import components
 from folioscope.llm.shingles import shingle_set, text_words
 from folioscope.llm.sketches import band_keys, sketch
-from folioscope.session import kept
+from folioscope.session import discard, kept
 
 GROUP = 500
 BLOCK = 512
@@ -185,13 +185,16 @@ def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     pivots = kept(members.join(scores, "id").groupBy("key").agg(F.max_by("id", order).alias("pivot")), "pivots")
     edges = members.join(pivots, "key").filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     near = kept(fetch(members.select("id").distinct()), "texts")
-    first = kept(verified(kept(edges, "edges"), near, percent), "links")
+    edges = kept(edges, "edges")
+    first = kept(verified(edges, near, percent), "links")
     stars = kept(components(first), "stars")
 
     label = F.coalesce("component", "id").alias("component")
     labelled = members.filter("size > 2").join(stars, "id", "left").select("key", "id", "size", label)
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    rest = kept(labelled.join(open_keys, "key").join(pivots, "key"), "rest")
-    sets = set_tables(near.join(rest.select("id").distinct(), "id"))
-    rest = rest.join(sets, "id").select("key", "size", "id", "component", (F.col("id") == F.col("pivot")).alias("is_pivot"), "items")
-    return components(first.unionByName(across_components(rest, percent)))
+    open_rows = kept(labelled.join(open_keys, "key").join(pivots, "key"), "rest")
+    sets = set_tables(near.join(open_rows.select("id").distinct(), "id"))
+    rest = open_rows.join(sets, "id").select("key", "size", "id", "component", (F.col("id") == F.col("pivot")).alias("is_pivot"), "items")
+    found = components(first.unionByName(across_components(rest, percent)))  # checkpointed: what it came from may go
+    discard(members, pivots, edges, near, first, stars, open_rows)
+    return found
