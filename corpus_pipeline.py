@@ -31,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the paragraphs that an earlier one has; documents of nothing else go."""
-    return paragraphs.without_repeats(docs, paragraphs.repeated_paragraphs(docs))
+    """Documents without the lines and passages that an earlier one has; documents of nothing else go."""
+    return paragraphs.without_repeats(docs, paragraphs.repeats(docs, by_text=True))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,8 +92,8 @@ def op10_toxicity(spark, sf_dir):
 
 @query
 def op9_paragraphs(spark, sf_dir):
-    """The paragraphs of all documents that repeat an earlier one, and which."""
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """The lines and passages of all documents that repeat an earlier one, and which."""
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
 
 
 @query
