@@ -15,6 +15,7 @@ from folioscope.session import kept
 
 TOKENIZER = "word_bpe_49k.json"
 LEAST_SCORE = 0.5
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id."""
-    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (four fifths of their five-word shingles alike), the one with the least doc_id."""
+    gone = neardup.near_duplicates(docs, NEAR_PERCENT).filter("not kept").select("doc_id").distinct()
     return docs.join(kept(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
