@@ -1,9 +1,9 @@
 """Mixing documents to target weights: iterative proportional fitting of token weights, then seeded sampling.
 
-Documents fall into cells (source, language, topic). Only the cells' token sums reach the driver: at most ``MOST_VALUES`` values
-of a margin have a cell of their own, the rest of a margin's values are pooled, so the number of cells is bounded. The cells'
-weights are raked until the weighted token sums meet every margin's target shares; a document is then kept with the
-probability of its cell, decided by a hash of the document.
+Documents fall into cells (source, language, topic); every value of a margin counts by itself. Up to ``DRIVER_CELLS`` cells are
+raked on the driver and broadcast; more stay a Spark table, of which each step sums what a margin's values have and keeps
+a factor per value. The cells' weights are raked until the weighted token sums meet every margin's target shares; a document
+is then kept with the probability of its cell, decided by a hash of the document.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import mixed, text_words
-from folioscope.session import kept
+from folioscope.session import discard, kept
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-MOST_VALUES = 64
+DRIVER_CELLS = 50_000
+#: Cells with more than this share of the documents are broadcast where the others are too many for it.
+HEAVY = 1e-3
 POOLED, NONE = "(other)", "(none)"
 TOLERANCE, MOST_ROUNDS = 1e-9, 1_000
 PART = 512
@@ -75,50 +77,90 @@ def raked(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]
     return weight
 
 
-def named(column: str, values: list[str]) -> Column:
-    """The column's value if it is one of ``values``, the pool otherwise."""
+def named(column: str, values: list[str] | None) -> Column:
+    """The column's value, and with ``values`` the pool for what is none of them."""
     value = F.coalesce(F.col(column), F.lit(NONE))
+    if values is None:
+        return value
     return F.when(value.isin(values), value).otherwise(F.lit(POOLED)) if values else F.lit(POOLED)
 
 
 class Mixture:
-    """``values`` with a cell of their own per margin, ``cells`` (values, tokens, weight, probability) as rows."""
+    """``cells`` as rows (values, tokens, weight, probability) with the ``values`` of each margin and their ``targets``; where the
+    cells are too many, ``table`` has them and ``cells`` is None. ``pools`` are the values that explicit targets name."""
 
-    def __init__(self, values: dict[str, list[str]], cells: list[tuple], targets: dict[str, dict[str, float]]):
-        self.values, self.cells, self.targets = values, cells, targets
+    def __init__(self, pools: dict[str, list[str]], values=None, cells=None, targets=None, table: DataFrame | None = None):
+        self.pools, self.values, self.cells, self.targets, self.table = pools, values, cells, targets, table
 
     def attach(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``weight`` and ``probability`` of their cells; the cells, of bounded number, are broadcast."""
+        """``docs`` with ``weight`` and ``probability`` of their cells."""
         spark, keys = docs.sparkSession, [f"_{m}" for m in MARGINS]
-        schema = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"
-        table = spark.createDataFrame([(*c[: len(MARGINS)], c[-2], c[-1]) for c in self.cells], schema)
         names = [c for c in docs.columns if c not in ("weight", "probability")]
-        keyed = docs.select(*names, *[named(m, self.values[m]).alias(f"_{m}") for m in MARGINS])
-        return keyed.join(F.broadcast(table), keys).select(*names, "weight", "probability")
+        keyed = docs.select(*names, *[named(m, self.pools.get(m)).alias(f"_{m}") for m in MARGINS])
+        if self.table is None:
+            schema = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"
+            table = spark.createDataFrame([(*c[: len(MARGINS)], c[-2], c[-1]) for c in self.cells], schema)
+            return keyed.join(F.broadcast(table), keys).select(*names, "weight", "probability")
+        table = self.table.select(*[F.col(m).alias(k) for m, k in zip(MARGINS, keys)], "weight", "probability", "heavy")
+        heavy, light = (F.broadcast(table.filter("heavy")), table.filter("not heavy"))  # heavy: fewer than 1 / HEAVY
+        light_rows = keyed.join(heavy, keys, "left_anti").join(light, keys)
+        return keyed.join(heavy, keys).select(*names, "weight", "probability").unionByName(light_rows.select(*names, "weight", "probability"))
 
 
-def fit(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5, most_values: int = MOST_VALUES) -> Mixture:
+def raked_table(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``cells`` (margins, ``t``) with ``weight``: as ``raked``, by joins. ``goals[m]`` has ``m, goal``, the goals in tokens.
+
+    A weight is the product of a factor per margin; a step finds one margin's factors from the others'.
+    """
+    factors = {m: kept(goals[m].select(m, F.lit(1.0).alias(f"f_{m}")), "factors") for m in MARGINS}
+    total = cells.agg(F.sum("t")).first()[0]
+
+    def weighed(left_out: str | None = None) -> DataFrame:
+        rows, weight = cells, F.lit(1.0)
+        for m in MARGINS:
+            if m != left_out:
+                rows, weight = rows.join(factors[m], m), weight * F.col(f"f_{m}")
+        return rows.select(*MARGINS, "t", "n", weight.alias("weight"))
+
+    for _ in range(rounds if total else 0):
+        error = 0.0
+        for m in MARGINS:
+            rest = weighed(m).groupBy(m).agg(F.sum(F.col("weight") * F.col("t")).alias("rest"))
+            step = rest.join(goals[m], m).join(factors[m].withColumnRenamed(f"f_{m}", "old"), m)
+            new = F.when(F.col("rest") > 0, F.col("goal") / F.col("rest")).otherwise(0.0)
+            step = kept(step.select(m, new.alias(f"f_{m}"), F.abs(F.col("rest") * F.col("old") - F.col("goal")).alias("off")), "factors")
+            error = max(error, step.agg(F.max("off")).first()[0] / total)
+            discard(factors[m])
+            path = step.kept_in
+            factors[m] = step.drop("off")
+            factors[m].kept_in = path
+        if error <= tolerance:
+            break
+    return weighed()
+
+
+def fit(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5, driver_cells: int = DRIVER_CELLS) -> Mixture:
     """The mixture for ``measured`` (``source, lang, topic, tokens``).
 
-    ``targets`` gives shares per margin and value, a value it does not name sharing ``(other)``; a margin without targets gets its
-    own shares to the ``power``, evened out. Null values are a value of their own. The fullest cell's documents get probability one.
+    ``targets`` gives shares per margin and value, the values it does not name sharing ``(other)``; in a margin without targets every
+    value gets its own share to the ``power``, evened out. Null values are a value of their own. The fullest cell's documents get
+    probability one.
     """
     targets = targets or {}
-    values, shares = {}, {}
+    pools = {m: sorted(k for k in targets[m] if k != POOLED) for m in MARGINS if m in targets}
+    keys = [named(m, pools.get(m)).alias(m) for m in MARGINS]
+    cells = measured.groupBy(*keys).agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("t"), F.count(F.lit(1)).alias("n"))
+    cells = kept(cells, "cells")
+    if cells.count() > driver_cells:
+        return fit_table(cells, pools, targets, power)
+    rows = cells.orderBy(*MARGINS).collect()  # at most driver_cells
+    tokens = np.array([r.t for r in rows], float)
+    values, codes, goals, shares = {}, [], [], {}
     for m in MARGINS:
-        value = F.coalesce(F.col(m), F.lit(NONE)).alias("v")
-        top = measured.groupBy(value).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "v").limit(most_values).collect()
-        if m in targets:
-            values[m] = sorted(k for k in targets[m] if k != POOLED)[:most_values]
-        else:
-            values[m] = sorted(r.v for r in top if r.t)
-    keys = [named(m, values[m]).alias(m) for m in MARGINS]
-    rows = measured.groupBy(*keys).agg(F.sum("tokens").alias("t")).orderBy(*MARGINS).collect()  # bounded by most_values
-    tokens = np.array([r.t or 0 for r in rows], float)
-    codes, goals = [], []
-    for m in MARGINS:
-        order = [*values[m], POOLED]
-        code = np.array([order.index(r[m]) for r in rows], int)
+        order = [*pools[m], POOLED] if m in pools else sorted({r[m] for r in rows})
+        values[m] = pools.get(m, order)
+        place = {v: k for k, v in enumerate(order)}
+        code = np.array([place[r[m]] for r in rows], int)
         natural = np.bincount(code, tokens, len(order)) if len(rows) else np.zeros(len(order))
         goal = np.array([targets[m].get(v, 0.0) for v in order]) if m in targets else natural**power
         codes.append(code)
@@ -127,7 +169,28 @@ def fit(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     weight = raked(tokens, codes, goals) if len(rows) else np.zeros(0)
     most = max(weight[tokens > 0].max(initial=0.0), 1e-300)
     chance = np.where(tokens > 0, np.minimum(weight / most, 1.0), 1.0)
-    return Mixture(values, [(*[r[m] for m in MARGINS], t, float(w), float(p)) for r, t, w, p in zip(rows, tokens.tolist(), weight, chance)], shares)
+    return Mixture(pools, values, [(*[r[m] for m in MARGINS], t, float(w), float(p)) for r, t, w, p in zip(rows, tokens.tolist(), weight, chance)], shares)
+
+
+def fit_table(cells: DataFrame, pools: dict[str, list[str]], targets: dict[str, dict[str, float]], power: float) -> Mixture:
+    """``fit`` for ``cells`` (margins, ``t``, ``n``) that are too many for the driver."""
+    spark, goals = cells.sparkSession, {}
+    total, documents = cells.agg(F.sum("t"), F.sum("n")).first()
+    for m in MARGINS:
+        natural = cells.groupBy(m).agg(F.sum("t").alias("s"))
+        if m in targets:
+            named_goals = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, share double")
+            natural = natural.join(named_goals, m, "left")
+            goal = F.when(F.col("s") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)
+        else:
+            goal = F.pow("s", F.lit(power))
+        wanted = kept(natural.select(m, "s", goal.alias("g")), "wanted")
+        whole = wanted.agg(F.sum("g")).first()[0]
+        goals[m] = kept(wanted.select(m, (F.col("g") / whole * total if whole else F.col("s")).alias("goal")), "goals")
+    table = kept(raked_table(cells, goals), "weights")
+    most = max(table.filter("t > 0").agg(F.max("weight")).first()[0] or 0.0, 1e-300)
+    chance = F.when(F.col("t") > 0, F.least(F.col("weight") / most, F.lit(1.0))).otherwise(1.0)
+    return Mixture(pools, table=table.select(*MARGINS, "weight", chance.alias("probability"), (F.col("n") > HEAVY * documents).alias("heavy")))
 
 
 def drawn(seed: int = 23) -> Column:
@@ -136,13 +199,13 @@ def drawn(seed: int = 23) -> Column:
     return uniform < F.col("probability")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5, seed: int = 23) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5, seed: int = 23, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """``docs`` with ``tokens, topic, weight, probability, sampled``, one row per row.
 
     Expected token sums of the sampled documents have the target shares. Documents without tokens carry weight but change no
     share; null text has none; equal rows fall alike; an empty table gives no rows; columns of the new names are replaced.
     """
     measured = kept(with_topic(docs.select("source", "lang", "text")).drop("text"), "measured")
-    mixture = fit(measured, targets, power)
+    mixture = fit(measured, targets, power, driver_cells)
     rows = mixture.attach(with_topic(docs.select(*[c for c in docs.columns if c != "sampled"])))
     return rows.withColumn("sampled", drawn(seed))
