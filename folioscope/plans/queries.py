@@ -1119,13 +1119,33 @@ def scan_csv_records(spark, sf_dir):
     return digest(files.scan_csv_records(spark, path))
 
 
+#: Text in a file of ``scan_text_files``, and what stands around its documents.
+TEXT_FILE_BYTES, TEXT_MARK = 16 << 20, "|"
+
+
 @query
 def scan_text_files(spark, sf_dir):
+    """A source's text in files of bounded size, each a run of its documents by doc_id; their counts are put together again."""
     path = scratch_dir(spark, "text")
-    documents(spark, sf_dir).select("text", "source").repartition("source").write.partitionBy("source").text(path)
-    return digest(files.scan_text_files(spark, path)).groupBy("label").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars")
+    rows = documents(spark, sf_dir).select("doc_id", "text", "source").filter("text is not null")
+    ends = rows.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    # the scan strips every file: marks keep the blanks between documents, only a source's ends have none
+    mark = F.lit(TEXT_MARK)
+    before, after = (F.when(F.col("doc_id") == F.col(c), F.lit("")).otherwise(mark) for c in ("first", "last"))
+    marked = rows.join(ends, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "source", F.concat(before, "text", after).alias("text"), F.length(F.concat(before, after)).alias("marks")
     )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = marked.repartitionByRange(1 + size // TEXT_FILE_BYTES, "source", "doc_id").sortWithinPartitions("source", "doc_id")
+    ranged.select("text", "source").write.partitionBy("source").text(path)
+    folder = F.regexp_extract(F.input_file_name(), "/source=([^/]*)/", 1)
+    found = digest(files.scan_text_files(spark, path).withColumn("folder", folder))
+    # a source loses the line break after each file but its last
+    per_source = found.groupBy("label", "folder").agg((F.sum("chars") + F.count(F.lit(1)) - 1).alias("chars"))
+    marks = marked.agg(F.sum("marks").alias("marks"))
+    return per_source.groupBy("label").agg(F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars")).join(
+        F.broadcast(marks)
+    ).select("label", "files", (F.col("chars") - F.col("marks")).alias("chars"))
 
 
 @query
