@@ -92,7 +92,8 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataF
 
 
 def outside(spans: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """What of ``spans`` lies outside of the removed ``lines``, as pieces that do not overlap; blank pieces are left out."""
+    """What of ``spans`` lies outside of the removed ``lines``, as pieces that do not overlap; a piece beside a removed line with fewer
+    than ``MIN_WORDS`` words is no paragraph and stays."""
     by_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length", "kept_doc_id", "kept_line")).alias("spans"))  # a document's
     gone = lines.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
 
@@ -134,7 +135,7 @@ def outside(spans: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
                     piece = text[x["start"] : x["end"]]
                     start = x["start"] + len(piece) - len(piece.lstrip())
                     line, at = line + text.count("\n", at, start), start
-                    if piece.strip():
+                    if len(next(text_words([piece]))) >= MIN_WORDS:
                         out.append((doc, text_hash, line, start, len(piece.strip()), x["kept_doc_id"], x["kept_paragraph"]))
             columns = list(zip(*out)) or [()] * 7
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
