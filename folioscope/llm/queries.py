@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, search, sharding, toxicity
+from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, repair, search, sharding, toxicity
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,26 @@ def op8_search(spark, sf_dir):
     """The ten best documents for each document whose id is divisible by 50, taken as a query."""
     docs = table(spark, sf_dir, "documents")
     return search.search(docs, docs.filter("doc_id % 50 = 0"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text``: rows dropped, emptied, cut, repeated or given to the user, by a checksum of conversation and turn."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    damage = F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", named[2].alias("role"), named[3].alias("text"), damage.alias("damage")).filter("damage != 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(1), F.when(F.col("damage") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("time")).drop("time")
+
+
+@query
+def op13_repair(spark, sf_dir):
+    """All conversations, damaged and repaired: the faults, the cheapest edits and a digest of what they make."""
+    turns = table(spark, sf_dir, "conversations")
+    edited, totals = repair.repair(damaged(turns))
+    parts = turns.select("conv_id").distinct().unionByName(totals, allowMissingColumns=True)
+    parts = parts.unionByName(repair.digests(edited), allowMissingColumns=True)
+    counts = [F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit = F.coalesce(F.max("audit"), F.lit("")).alias("audit")
+    return parts.groupBy("conv_id").agg(*counts, audit, F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

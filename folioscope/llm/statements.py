@@ -40,3 +40,69 @@ select conv_id, cast(count(*) as bigint) as n_turns,
   cast(sum(block + context) as bigint) as formatted_chars
 from sized group by conv_id
 """
+
+# the states: 0 nothing yet, 1 after the system turn, 2 after a user, 3 after a pair
+STATEMENTS["op13_repair"] = r"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+        string_split(concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')), ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))),
+      4294967295::bigint) % 20 as damage
+  from conversations
+), turns as (
+  select conv_id, turn, case damage when 4 then 'user' else role end as role,
+    case damage when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from src, unnest(range(case damage when 3 then 2 else 1 end)) where damage <> 0
+), numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as inner_text from turns
+), told as (
+  select *, left(role, 1) as initial, inner_text = '' as blank,
+    row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+    right(inner_text, 1) not in ('.', '!', '?') as cut,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from numbered
+), rows_ as (
+  select *, blank or seen as lost, not blank and not seen and cut as truncated from told
+), steps(source, initial, target) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), names(initial, named) as (values ('u', 'user:'), ('a', 'assistant:')
+), inserts(source, target, letters, inserted) as (
+  values (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'),
+    (1, 2, 'I', 'user:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:'), (2, 3, 'I', 'assistant:'), (3, 2, 'I', 'user:')
+), edits as (
+  select conv_id, i, s.source, s.target, 'K' as letter, truncated::int as price, role || ':' || text as made
+  from rows_ join steps s using (initial) where not lost
+  union all
+  select conv_id, i, s.source, s.target, 'R', 2 + truncated::int, named || text from rows_, steps s join names using (initial) where not lost
+  union all
+  select conv_id, i, s, s, 'D', 3, '' from rows_, unnest(range(4)) u(s)
+), moves as (
+  select conv_id, i, e.source, n.target, e.letter || n.letters as letters, price + 2 * length(n.letters) as price,
+    concat_ws(chr(10), nullif(made, ''), nullif(inserted, '')) as made
+  from edits e join inserts n on n.source = e.target
+), best as (
+  select conv_id, i, source, target, min(struct_pack(price := price, letters := letters, made := made)) as m from moves group by all
+), walk as (
+  select distinct conv_id, 0::bigint as i, target as state, struct_pack(cost := 2 * length(letters), audit := letters, made := inserted) as w
+  from rows_, inserts where source = 0
+  union all
+  select w.conv_id, w.i + 1, b.target, min(struct_pack(cost := (w.w).cost + (b.m).price, audit := (w.w).audit || (b.m).letters,
+      made := concat_ws(chr(10), nullif((w.w).made, ''), nullif((b.m).made, ''))))
+  from walk w join best b on b.conv_id is not distinct from w.conv_id and b.i = w.i + 1 and b.source = w.state
+  group by w.conv_id, w.i, b.target
+), counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (blank) as blank, count(*) filter (not blank and seen) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal
+  from rows_ group by conv_id
+), ends as (
+  select w.conv_id, min(w.w) as w from walk w join counts c on c.conv_id is not distinct from w.conv_id and c.n = w.i
+  where state in (0, 3) group by w.conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce((w).cost, 0)::bigint as cost,
+  coalesce((w).audit, '') as audit, sha256(coalesce((w).made, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+  left join counts c on c.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
+"""
