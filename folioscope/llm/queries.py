@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, embeddings, langid, mixing, neardup, packing, paragraphs, repair, search, sharding, toxicity
+from folioscope.llm import chat, embeddings, langid, licences, mixing, neardup, packing, paragraphs, repair, search, sharding, toxicity, whitening
 from folioscope.plans.business_docs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,38 @@ def op13_repair(spark, sf_dir):
     counts = [F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     audit = F.coalesce(F.max("audit"), F.lit("")).alias("audit")
     return parts.groupBy("conv_id").agg(*counts, audit, F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op11_licences(spark, sf_dir):
+    """Words, licence phrases and licence labels of every document."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    share = F.greatest(F.array_max("templates.share"), F.when(F.size("phrases") > 0, 1.0).otherwise(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.word").cast("long").alias("first_word"),
+        F.array_max("phrases.word").cast("long").alias("last_word"),
+        joined(F.col("phrases.label")).alias("base_labels"),
+        joined(F.concat("phrases.label", "templates.label")).alias("labels"),
+        F.round(share, 6).alias("score"),
+    )
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """All embeddings on their eight leading components, whitened."""
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]) if model else F.array()
+    error = F.lit(model.identity_error if model else None).cast("double")
+    deviation = F.col("deviation").try_cast("long")  # a long holds it up to some million vectors
+    rows = rows.select("vec_id", "n", deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+        F.get(explained.cast("array<double>"), F.col("at")).alias("explained"), error.alias("identity_error"),
+    )

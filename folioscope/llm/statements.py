@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from folioscope.llm import licences
+
 STATEMENTS: dict[str, str] = {}
 
 STATEMENTS["op7_chat"] = r"""
@@ -106,3 +108,62 @@ select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
 from (select distinct conv_id from conversations) o
   left join counts c on c.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
 """
+
+
+def _licence_statement() -> str:
+    """All places of all phrases by comparing word lists, then templates by their keys' implied starts; no index."""
+
+    def words(values: list[str]) -> str:
+        return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+    keys = licences.keys_of(licences.PHRASES, licences.TEMPLATES)
+    key_rows = ", ".join(f"({n}, '{k.label}', {words(k.words)}, {k.template}, {k.offset})" for n, k in enumerate(keys))
+    bodies = [licences.words_of(t.text) for t in licences.TEMPLATES]
+    body_rows = ", ".join(
+        f"({t}, '{x.label}', {words(b)}, {licences.slack(b)}, {len(x.keys)})" for t, (x, b) in enumerate(zip(licences.TEMPLATES, bodies))
+    )
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licences.WORD}') as words from documents
+), keys(k, label, words, template, place) as (values {key_rows}
+), bodies(template, label, words, room, n_keys) as (values {body_rows}
+), word as (
+  select r, unnest(words) as w, generate_subscripts(words, 1) - 1 as pos from docs
+), places as (
+  select word.r, k, label, template, pos, pos - place as start
+  from word join keys on word.w = keys.words[1] join docs using (r)
+  where docs.words[pos + 1 : pos + len(keys.words)] = keys.words
+), vocabulary as (
+  select distinct unnest(words) as w from (select words from keys union all select words from bodies)
+), weight as (
+  select w, ln(((select count(*) from docs) + 1) / (count(distinct r) + 1)) + 1 as idf from vocabulary left join word using (w) group by w
+), buckets as (
+  select distinct r, p.template, k, cast(floor(start / room) as bigint) - back as b
+  from places p join bodies using (template), unnest(range(2)) u(back)
+), common as (
+  select r, template, b from buckets join bodies using (template) group by r, template, b, n_keys having count(*) = n_keys
+), windows as (
+  select r, template, label, words, greatest(b * room, 0) as first, b * room + 2 * room + len(words) as stop from common join bodies using (template)
+), totals as (
+  select template, sum(idf) as total from (select template, unnest(list_distinct(words)) as w from bodies) join weight using (w) group by template
+), shares as (
+  select r, label, first, sum(idf) / any_value(total) as share
+  from (select distinct v.r, v.template, v.label, v.first, w from windows v join word on word.r = v.r and pos >= v.first and pos < v.stop where list_contains(v.words, w))
+    join weight using (w) join totals using (template)
+  group by r, label, template, first
+), seen as (
+  select r, list(distinct label) as labels, max(share) as share from shares where share >= {licences.LEAST_SHARE} group by r
+), base as (
+  select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels
+  from places where template < 0 group by r
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(seen.labels, [])))), ','), '') as labels,
+  round(case when n_base > 0 then 1.0::double else least(coalesce(share, 0.0::double), 1.0::double) end, 6)::double as score
+from docs left join base using (r) left join seen using (r)
+"""
+
+
+STATEMENTS["op11_licences"] = _licence_statement()
