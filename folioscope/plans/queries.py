@@ -20,7 +20,7 @@ from folioscope.plans.business_docs import (
     table,
     transactions,
 )
-from folioscope.operators import corpus, detect, finance, quality, training
+from folioscope.operators import corpus, detect, finance, quality, similarity, training
 from folioscope.operators.joins import spread
 from folioscope.session import scratch_dir
 from folioscope.sources import files
@@ -833,6 +833,11 @@ def near_duplicate_pairs(spark, sf_dir):
     return rounded(quality.near_duplicate_pairs(documents(spark, sf_dir)))
 
 
+@query
+def near_duplicate_all(spark, sf_dir):
+    return similarity.near_duplicate_all(table(spark, sf_dir, "documents"))
+
+
 @query
 def ocr_artifact_counts(spark, sf_dir):
     return quality.ocr_artifact_counts(documents(spark, sf_dir))

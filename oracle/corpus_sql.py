@@ -144,6 +144,16 @@ STATEMENTS = {
     "neighbour_similarity": f"with {NEIGHBOURS} select id_a, id_b, round(similarity, 6) as similarity from sim",
     "near_duplicate_pairs": f"""with {NEIGHBOURS} select count(*) as compared, count(*) filter (where similarity > 0.8) as similar_pairs,
       round(max(similarity), 6) as max_similarity, count(*) filter (where similarity > 0.8) > count(*) * 5 / 900.0 as near_duplicates from sim""",
+    "near_duplicate_all": """with recursive w as materialized (select row_number() over () as r, doc_id,
+        list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+'), lambda x: x <> '')) as ws from documents),
+      pairs as materialized (select a.r, b.r as s, len(list_intersect(a.ws, b.ws)) as shared, len(a.ws) as la, len(b.ws) as lb
+        from w a join w b on len(b.ws) * 10 > len(a.ws) * 8 and len(a.ws) * 10 > len(b.ws) * 8 and a.r <> b.r),
+      linked as materialized (select r, s from pairs where shared * 10 > (la + lb - shared) * 8),
+      reach(r, s) as (select r, s from linked union select reach.r, linked.s from reach join linked on linked.r = reach.s),
+      least as (select reach.r, min(doc_id) as least from reach join w on w.r = reach.s group by reach.r),
+      degree as (select r, count(*) as n_links from linked group by r)
+      select doc_id, len(ws)::bigint as n_words, coalesce(n_links, 0)::bigint as n_links, least(doc_id, least) as component
+      from w left join degree using (r) left join least using (r)""",
     "ocr_artifact_counts": " union all ".join(
         f"select {q(name)} as artifact, count(*) filter (where {has('text', p, False)}) as n from documents" for name, p in lx.OCR_PATTERNS.items()
     ),
