@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,34 +18,74 @@ from folioscope.operators.detect import (
     detect_text_column,
     records_to_corpus,
 )
+from folioscope.sources.records import CSV, JSON, read_records
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV = {"quote": '"', "escape": '"'}
 
 
-def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(text, label) from CSV with quoted newlines and doubled quotes; labels are trimmed.
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with a header, quoted line breaks and doubled quotes; a large file is read by many tasks.
 
-    Quoted newlines make a file unsplittable: keep large corpora in many files.
+    Fields go by place, missing ones are null. A quote stands only in quoted fields; a carriage return before a
+    record's end is no part of it, and blank lines are no records.
     """
-    rows = spark.read.schema("text string, label string").options(**_CSV).csv(path)
+    rows = read_records(spark, path, CSV).filter(~F.col("first"))
+    return rows.select(F.from_csv("value", schema, _CSV).alias("row")).select("row.*")
+
+
+def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(text, label) from CSV with quoted newlines and doubled quotes; labels are trimmed."""
+    rows = csv_rows(spark, path, "text string, label string")
     return rows.select("text", strip(F.col("label")).alias("label"))
 
 
 def scan_json_records(spark: SparkSession, path: str, source: str = "JSON", schema: str | None = None) -> DataFrame:
-    """(text, label, source) from JSON arrays of objects with unknown keys.
+    """(text, label, source) from JSON arrays of objects with unknown keys; a large array is read by many tasks.
 
-    Without a schema the files are read twice; inferred fields come in name order.
+    A file may also hold objects one after the other. Without a schema the files are read once more; inferred fields come in name order.
     """
-    reader = spark.read.option("multiLine", "true")
-    rows = (reader.schema(schema) if schema else reader).json(path)
+    found = read_records(spark, path, JSON)
+    if schema is None:
+        seen = found.select(F.schema_of_variant_agg(F.try_parse_json("value")).alias("kind")).first()["kind"]
+        schema = re.sub(r"\b(OBJECT|VOID)\b", lambda m: "STRUCT" if m[0] == "OBJECT" else "STRING", seen)
+        if not schema.startswith("STRUCT"):
+            raise ValueError("found no JSON objects with fields of one kind")
+    rows = found.select(F.from_json("value", schema).alias("row")).select("row.*")
     return records_to_corpus(rows, coalesce_text(rows), coalesce_label(rows), source)
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of the first file that has a header."""
+    line = read_records(spark, path, CSV).filter("first").select(F.min("value").alias("value")).first()["value"]
+    if line is None:
+        raise ValueError("found no header")
+    return next(csv.reader([line.lstrip("\ufeff")], strict=True))
+
+
+def without_typed_columns(rows: DataFrame) -> DataFrame:
+    """Text columns whose values all read as numbers, truth values or times are cast to that, told in one pass."""
+    kinds = ("double", "boolean", "timestamp")
+    names = rows.columns
+    value = lambda c: F.col(f"`{c}`")
+    fits = [F.count_if(value(c).isNotNull() & value(c).try_cast(k).isNull()).alias(f"{k}_{i}") for i, c in enumerate(names) for k in kinds]
+    misses = rows.agg(*fits, *[F.count(value(c)).alias(f"n_{i}") for i, c in enumerate(names)]).first()
+    typed = {}
+    for i, c in enumerate(names):
+        kind = next((k for k in kinds if misses[f"{k}_{i}"] == 0), None)
+        if kind and misses[f"n_{i}"]:
+            typed[c] = value(c).try_cast(kind)
+    return rows.withColumns(typed)
+
+
 def scan_csv_records(spark: SparkSession, path: str, source: str = "CSV", schema: str | None = None) -> DataFrame:
-    """(text, label, source) from CSV of unknown columns, found by name or statistics."""
-    reader = spark.read.options(**_CSV)
-    rows = (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(path)
-    return detected_records(rows, source)
+    """(text, label, source) from CSV of unknown columns, found by name or statistics; a large file is read by many tasks.
+
+    Without a schema, columns are named by the header, and those of numbers, truth values or times are no candidates.
+    """
+    if schema:
+        return detected_records(csv_rows(spark, path, schema), source)
+    names = ", ".join("`" + n.replace("`", "``") + "` string" for n in header_of(spark, path))
+    return detected_records(without_typed_columns(csv_rows(spark, path, names)), source)
 
 
 def detected_records(rows: DataFrame, source: str) -> DataFrame:
