@@ -1302,19 +1302,28 @@ def embed_documents(spark, sf_dir):
 # --- streams --------------------------------------------------------------------------------
 
 
+#: Loads of ``ingest_stream``: the first is the corpus it starts from, and comes in once more at the end.
+LOADS = 10
+
+
+def cleaned_and_mapped(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", text.clean_text_basic(F.col("text")).alias("text"), labels.map_label_standard(F.col("source")).alias("label"))
+
+
 @query
 def ingest_stream(spark, sf_dir):
+    """Documents in loads by doc_id, cleaned and mapped; what the corpus holds after the last."""
     base = scratch_dir(spark, "ingest")
-    docs = table(spark, sf_dir, "documents")
-    ingest.start_corpus(docs.limit(0), f"{base}/corpus")
-    stream = (
-        spark.readStream.schema(docs.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    ingest.ingest_stream(stream, f"{base}/corpus", f"{base}/checkpoint").awaitTermination()
-    return ingest.read_corpus(spark, f"{base}/corpus").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ends = docs.agg(F.percentile_approx("doc_id", [k / LOADS for k in range(1, LOADS)], 10_000)).first()[0] or [0] * (LOADS - 1)
+    bounds = [F.lit(True), *[F.col("doc_id") > e for e in ends]]
+    bounds = [low & ~high for low, high in zip(bounds, [*bounds[1:], F.lit(False)])]
+    ingest.start_corpus(cleaned_and_mapped(docs.filter(bounds[0])), f"{base}/corpus")
+    for load in [*bounds[1:], bounds[0]]:  # small loads that come in one after the other
+        docs.filter(load).coalesce(1).write.mode("append").parquet(f"{base}/loads")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/loads")
+    ingest.ingest_stream(stream, f"{base}/corpus", f"{base}/checkpoint", cleaned_and_mapped).awaitTermination()
+    return digest(ingest.read_corpus(spark, f"{base}/corpus"))
 
 
 @query

@@ -265,7 +265,9 @@ STATEMENTS = {
       select (rank() over (order by mean_confidence desc))::int as rank, class, round(mean_confidence, 6) as mean_confidence, n, round(m, 6) as overall_mean,
         concat_ws('; ', case when low > 0 then 'Collect more samples, review data quality, consider feature engineering' end,
           case when high > low then 'Overall performance looks good' end) as advice from cf, h""",
-    "ingest_stream": "select doc_id, lang from documents qualify row_number() over (partition by text order by doc_id) = 1",
+    "ingest_stream": f"""with c as (select doc_id, source as raw, {basic('text')} as text from documents)
+      select doc_id, {STANDARD} as label, md5(text) as text_md5, length(text)::int as chars from c
+      qualify row_number() over (partition by text order by doc_id) = 1""",
     "stream_period_totals": """with e as (select time_bucket(interval 7 days, ts, timestamp '1970-01-01') as s, event_type, round(value * 100)::bigint as cents from events)
       select strftime(s, '%Y-%m-%d') as period_start, strftime(s + interval 7 days, '%Y-%m-%d') as period_end,
         coalesce(sum(cents) filter (where event_type = 'purchase'), 0)::bigint as income, coalesce(sum(cents) filter (where event_type = 'error'), 0)::bigint as expense,

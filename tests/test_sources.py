@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.sources import files, templates
-from folioscope.streaming import ingest, totals
+from folioscope.streaming import totals
 
 
 def local(df, *names):
@@ -71,23 +71,6 @@ def test_templates_fill_every_placeholder(spark):
             assert all(p in order_fields() for p, is_field in templates.template_parts(t) if is_field), kind
 
 
-@pytest.mark.parametrize("keys", [0, 1000])
-def test_slices_ingest_like_the_whole(spark, tmp_path, monkeypatch, keys):
-    monkeypatch.setattr(ingest, "BROADCAST_KEYS", keys)
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") * 7 % 90).cast("string")).alias("text"))
-    source, corpus_path, checkpoint = (str(tmp_path / n) for n in ("in", "corpus", "cp"))
-    schema = "doc_id long, text string"
-    ingest.start_corpus(spark.createDataFrame([(-1, "text 0")], schema), corpus_path)
-    for part in range(4):
-        docs.filter(f"doc_id div 75 = {part}").coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        ingest.ingest_stream(stream, corpus_path, checkpoint).awaitTermination()
-    got = local(ingest.read_corpus(spark, corpus_path), "text", "doc_id")
-    assert len(got) == 90 and dict(got)["text 0"] == -1
-    first = {r.text: r.d for r in docs.groupBy("text").agg(F.min("doc_id").alias("d")).collect()}
-    assert all(first[t] == d for t, d in got if t != "text 0")
-
-
 def test_periods_are_complete_over_batches(spark, tmp_path):
     schema = "ts timestamp, category string, cents long"
 
