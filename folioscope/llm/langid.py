@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.names import free
+
 SIZES = (1, 2, 3)
 BITS = 15
 #: Labelled rows that are learned from; more are thinned by a hash of the row.
@@ -169,17 +171,18 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    own = free(names, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                pred, value = shared.value.predict(part.column("_text").to_pylist())
+                pred, value = shared.value.predict(part.column(own).to_pylist())
                 columns = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(value, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(score, f"{schema}, lang_pred string, lang_score double")
+    return docs.select(*names, F.col(text).alias(own)).mapInArrow(score, f"{schema}, lang_pred string, lang_score double")
 
 
 def held_out(row_id: str = "doc_id") -> Column:

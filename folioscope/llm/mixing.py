@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.names import free
 from folioscope.llm.shingles import mixed, text_words
 from folioscope.session import discard, kept
 
@@ -29,25 +30,32 @@ PART = 512
 
 
 def with_topic(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """``docs`` with ``tokens`` (words) and ``topic``, a stand-in for tables without topics: the words of the language
-    are dealt to ``topics`` groups by their hash, and a text belongs to the group with most of its distinct words (the first of
-    equals; null without words). Columns of these names are replaced."""
-    names = [c for c in docs.columns if c not in ("tokens", "topic")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    """``docs`` with ``tokens`` (words) and ``topic``, where it has none of these columns of its own.
+
+    The topic is a stand-in for tables without topics: the words of the language are dealt to ``topics`` groups by their hash, and a
+    text belongs to the group with most of its distinct words (the first of equals; null without words).
+    """
+    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    new = [c for c in ("tokens", "topic") if c not in names]
+    if not new:
+        return docs
     text = names.index("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
-                tokens, topic = [], []
+                found: dict[str, list] = {"tokens": [], "topic": []}
                 for words in text_words(part.column(text).to_pylist()):
-                    groups = np.bincount((mixed(np.unique(words)) % np.uint64(topics)).astype(np.int64), minlength=topics)
-                    tokens.append(len(words))
-                    topic.append(f"topic{groups.argmax()}" if len(words) else None)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(tokens, pa.int64()), pa.array(topic, pa.string())], [*names, "tokens", "topic"])
+                    found["tokens"].append(len(words))
+                    if "topic" in new:
+                        groups = np.bincount((mixed(np.unique(words)) % np.uint64(topics)).astype(np.int64), minlength=topics)
+                        found["topic"].append(f"topic{groups.argmax()}" if len(words) else None)
+                made = {"tokens": pa.array(found["tokens"], pa.int64()), "topic": pa.array(found["topic"], pa.string())}
+                yield pa.RecordBatch.from_arrays([*part.columns, *[made[c] for c in new]], [*names, *new])
 
-    return docs.select(*names).mapInArrow(count, f"{schema}, tokens long, topic string")
+    kinds = {"tokens": "long", "topic": "string"}
+    return docs.mapInArrow(count, ", ".join([schema, *[f"{c} {kinds[c]}" for c in new]]))
 
 
 def raked(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> np.ndarray:
@@ -94,17 +102,20 @@ class Mixture:
 
     def attach(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``weight`` and ``probability`` of their cells."""
-        spark, keys = docs.sparkSession, [f"_{m}" for m in MARGINS]
+        spark = docs.sparkSession
         names = [c for c in docs.columns if c not in ("weight", "probability")]
-        keyed = docs.select(*names, *[named(m, self.pools.get(m)).alias(f"_{m}") for m in MARGINS])
+        own = {m: free(names, f"_{m}") for m in MARGINS}
+        keys = list(own.values())
+        keyed = docs.select(*names, *[named(m, self.pools.get(m)).alias(own[m]) for m in MARGINS])
+        out = [*names, "weight", "probability"]
         if self.table is None:
-            schema = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"
+            schema = ", ".join(f"`{k}` string" for k in keys) + ", weight double, probability double"
             table = spark.createDataFrame([(*c[: len(MARGINS)], c[-2], c[-1]) for c in self.cells], schema)
-            return keyed.join(F.broadcast(table), keys).select(*names, "weight", "probability")
-        table = self.table.select(*[F.col(m).alias(k) for m, k in zip(MARGINS, keys)], "weight", "probability", "heavy")
-        heavy, light = (F.broadcast(table.filter("heavy")), table.filter("not heavy"))  # heavy: fewer than 1 / HEAVY
+            return keyed.join(F.broadcast(table), keys).select(*out)
+        columns = [*[F.col(m).alias(own[m]) for m in MARGINS], "weight", "probability"]
+        heavy, light = F.broadcast(self.table.filter("heavy").select(*columns)), self.table.filter("not heavy").select(*columns)  # heavy: fewer than 1 / HEAVY
         light_rows = keyed.join(heavy, keys, "left_anti").join(light, keys)
-        return keyed.join(heavy, keys).select(*names, "weight", "probability").unionByName(light_rows.select(*names, "weight", "probability"))
+        return keyed.join(heavy, keys).select(*out).unionByName(light_rows.select(*out))
 
 
 def raked_table(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -203,9 +214,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     """``docs`` with ``tokens, topic, weight, probability, sampled``, one row per row.
 
     Expected token sums of the sampled documents have the target shares. Documents without tokens carry weight but change no
-    share; null text has none; equal rows fall alike; an empty table gives no rows; columns of the new names are replaced.
+    share; null text has none; equal rows fall alike; an empty table gives no rows. Given columns ``tokens`` (null: none) and ``topic`` are
+    used as they are; other columns of the new names are replaced.
     """
-    measured = kept(with_topic(docs.select("source", "lang", "text")).drop("text"), "measured")
+    given = [c for c in ("tokens", "topic") if c in docs.columns]
+    measured = kept(with_topic(docs.select("source", "lang", "text", *given)).drop("text"), "measured")
     mixture = fit(measured, targets, power, driver_cells)
     rows = mixture.attach(with_topic(docs.select(*[c for c in docs.columns if c != "sampled"])))
     return rows.withColumn("sampled", drawn(seed))

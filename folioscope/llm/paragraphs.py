@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import passages
 from folioscope.llm.linking import PART, band_column, linked_components
+from folioscope.llm.names import free
 from folioscope.llm.shingles import set_digest, shingle_set, text_words
 from folioscope.llm.sketches import tuned_bands
 from folioscope.session import discard, kept
@@ -232,10 +233,12 @@ def without_repeats(docs: DataFrame, removals: DataFrame) -> DataFrame:
     A line that goes as a whole takes one line break with it. Documents without removals are handed on as they are.
     """
     keys = [c for c in ("doc_id", "text_hash") if c in removals.columns]
-    spans = removals.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.collect_set(F.struct("start", "length")).alias("_gone"))  # a document's
-    of_text = F.col("_doc_id") == F.col("doc_id")
-    rows = docs.join(kept(spans, "spans"), of_text & (F.col("_text_hash") == F.hash("text")) if len(keys) > 1 else of_text, "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.udf(left_of, "string")(F.when(F.col("_gone").isNotNull(), F.col("text")), "_gone"))
-    rows = rows.withColumn("text", text).filter(F.col("_gone").isNull() | (F.trim("text") != ""))
-    rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+    own = {c: free(docs.columns, f"_{c}") for c in (*keys, "gone")}
+    gone = F.col(own["gone"])
+    spans = removals.groupBy(*[F.col(k).alias(own[k]) for k in keys]).agg(F.collect_set(F.struct("start", "length")).alias(own["gone"]))  # a document's
+    of_text = F.col(own["doc_id"]) == F.col("doc_id")
+    rows = docs.join(kept(spans, "spans"), of_text & (F.col(own["text_hash"]) == F.hash("text")) if len(keys) > 1 else of_text, "left")
+    left = F.udf(left_of, "string", useArrow=True)(F.when(gone.isNotNull(), F.col("text")), gone)
+    rows = rows.withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(left)).filter(gone.isNull() | (F.trim("text") != ""))
+    rows = rows.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
     return rows.select(*docs.columns)

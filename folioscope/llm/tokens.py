@@ -8,7 +8,7 @@ import struct
 import numpy as np
 
 #: Words that a worker's two generations of memory hold each.
-MOST_WORDS = 800_000
+MOST_WORDS = 250_000
 #: str.split also cuts at these, the tokenizers' white space does not hold them.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 ENDING = frozenset(".,;:!?")

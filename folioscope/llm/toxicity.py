@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.langid import code_points, groups
+from folioscope.llm.names import free
 
 DECAY = 0.6
 SPAN = 6
@@ -402,14 +403,15 @@ def assess(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("toxicity", "worst_word")]
+    own = free(names, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                value, worst = shared.value.decide(part.column("_text").to_pylist())
+                value, worst = shared.value.decide(part.column(own).to_pylist())
                 columns = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(value)), pa.array(worst, pa.string())], [*names, "toxicity", "worst_word"])
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(score, f"{schema}, toxicity double, worst_word string")
+    return docs.select(*names, F.col(text).alias(own)).mapInArrow(score, f"{schema}, toxicity double, worst_word string")
