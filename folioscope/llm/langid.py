@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.names import free
+from folioscope.llm.workers import tidy
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -154,7 +155,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", row_id: s
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
-    summed = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = chosen.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table: pd.DataFrame = summed.toPandas()  # at most 2 ** BITS rows per language
     order = {name: k for k, (name, _) in enumerate(names)}
     counts = np.zeros((1 << BITS, len(names)))
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    own = free(names, "_text")
+    own = text if text in names else free(names, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,8 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
                 columns = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(value, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return docs.select(*names, F.col(text).alias(own)).mapInArrow(score, f"{schema}, lang_pred string, lang_score double")
+    rows = docs.select(*names) if own == text else docs.select(*names, F.col(text).alias(own))
+    return rows.mapInArrow(tidy(score), f"{schema}, lang_pred string, lang_score double")
 
 
 def held_out(row_id: str = "doc_id") -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import components
 from folioscope.llm.shingles import shingle_set, text_words
 from folioscope.llm.sketches import band_keys, sketch
+from folioscope.llm.workers import tidy
 from folioscope.session import discard, kept
 
 GROUP = 500
@@ -82,7 +83,7 @@ def verified(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(found, pa.int64())) for c in ("id", "pivot")], ["a", "b"])
 
     kind = type_of(edges, "a")
-    return streamed.select("id", "pivot", "salt", "member", "text").mapInArrow(check, f"a {kind}, b {kind}")
+    return streamed.select("id", "pivot", "salt", "member", "text").mapInArrow(tidy(check), f"a {kind}, b {kind}")
 
 
 def set_tables(texts: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def set_tables(texts: DataFrame) -> DataFrame:
                 sets = [shingle_set(w).tobytes() for w in text_words(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "items"])
 
-    return texts.select("id", "text").mapInArrow(hash_sets, f"id {type_of(texts, 'id')}, items binary")
+    return texts.select("id", "text").mapInArrow(tidy(hash_sets), f"id {type_of(texts, 'id')}, items binary")
 
 
 def block_links(component: np.ndarray, pivot: np.ndarray, low: np.ndarray | None, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -168,7 +169,7 @@ def across_components(rest: DataFrame, percent: int) -> DataFrame:
             yield out
 
     kind = type_of(rest, "id")
-    return streamed.mapInArrow(compare, f"a {kind}, b {kind}")
+    return streamed.mapInArrow(tidy(compare), f"a {kind}, b {kind}")
 
 
 def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

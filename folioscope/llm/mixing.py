@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.names import free
 from folioscope.llm.shingles import mixed, text_words
+from folioscope.llm.workers import tidy
 from folioscope.session import discard, kept
 
 MARGINS = ("source", "lang", "topic")
@@ -55,7 +56,7 @@ def with_topic(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *[made[c] for c in new]], [*names, *new])
 
     kinds = {"tokens": "long", "topic": "string"}
-    return docs.mapInArrow(count, ", ".join([schema, *[f"{c} {kinds[c]}" for c in new]]))
+    return docs.mapInArrow(tidy(count), ", ".join([schema, *[f"{c} {kinds[c]}" for c in new]]))
 
 
 def raked(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.linking import PART, band_column, linked_components
 from folioscope.llm.shingles import set_digest, shingle_set, text_words
 from folioscope.llm.sketches import tuned_bands
+from folioscope.llm.workers import tidy
 from folioscope.session import kept
 
 PERCENT = 85
@@ -29,7 +30,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, band_column(sets, bands, rows)], ["doc_id", "n", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sign), "doc_id long, n long, digest binary, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, coordinates: int = COORDINATES) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import encoder
+from folioscope.llm.workers import tidy
 from folioscope.session import kept
 
 CAPACITY = 4096
@@ -188,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity:
                 made += [pa.array(r, k) for r, k in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(made[: len(names)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 def ranked(pieces: DataFrame, most: int) -> DataFrame:
@@ -233,7 +234,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> Data
             columns += [pa.array(plan[at, 2] + more // each), pa.array(plan[at, 4] + more % each * length)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    return rows.select(*names, "rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    return rows.select(*names, "rank").mapInArrow(tidy(look_up), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -23,6 +23,7 @@ from folioscope.llm.linking import PART, band_column, linked_components
 from folioscope.llm.names import free
 from folioscope.llm.shingles import set_digest, shingle_set, text_words
 from folioscope.llm.sketches import tuned_bands
+from folioscope.llm.workers import tidy
 from folioscope.session import discard, kept
 
 PERCENT = 80
@@ -66,7 +67,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFr
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "start", "length", "digest", "bands"])
 
     schema = "doc_id long, text_hash int, place int, start long, length long, digest binary, bands array<long>"
-    return docs.mapInArrow(sign, schema)
+    return docs.mapInArrow(tidy(sign), schema)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["id", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc.hint("merge"), "doc_id")  # moved in the same way at every size
-    return rows.select("text", "wanted").mapInArrow(extract, "id long, text string")
+    return rows.select("text", "wanted").mapInArrow(tidy(extract), "id long, text string")
 
 
 def outside(spans: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def outside(spans: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "text_hash", "start", "end", "kept_doc_id", "kept_paragraph"])
 
     schema = "doc_id long, text_hash int, start long, end long, kept_doc_id long, kept_paragraph int"
-    pieces = by_doc.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "spans", "gone").mapInArrow(subtract, schema)
+    pieces = by_doc.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "spans", "gone").mapInArrow(tidy(subtract), schema)
     by_doc = pieces.filter("end - start > 1 or start = 0").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end", "kept_doc_id", "kept_paragraph")).alias("pieces"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,7 @@ def outside(spans: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     rows = docs.join(by_doc.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     schema = "doc_id long, text_hash int, paragraph int, start long, length long, kept_doc_id long, kept_paragraph int"
-    return rows.select("doc_id", "text_hash", "text", "pieces").mapInArrow(place, schema)
+    return rows.select("doc_id", "text_hash", "text", "pieces").mapInArrow(tidy(place), schema)
 
 
 REMOVAL = ["doc_id", "paragraph", "start", "length", "kept_doc_id", "kept_paragraph"]

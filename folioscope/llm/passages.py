@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import _BLANK, _powers_to, mixed, word_hashes
+from folioscope.llm.workers import tidy
 from folioscope.session import discard, kept
 
 RUN = 50
@@ -119,7 +120,7 @@ def segments(docs: DataFrame, run: int) -> DataFrame:
                 columns = [signed(gram), signed(segment), part.column("doc_id").take(owner), pa.array(w.line[first].astype(np.int32)), pa.array(w.start[first].astype(np.int64)), part.column("text_hash").take(owner), pa.array(length)]
                 yield pa.RecordBatch.from_arrays(columns, ["gram", "segment", *PLACE, "length"])
 
-    return docs.mapInArrow(cut, SEGMENT)
+    return docs.mapInArrow(tidy(cut), SEGMENT)
 
 
 def windows(docs: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
@@ -140,7 +141,7 @@ def windows(docs: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["window", *PLACE, "length"])
 
     rows = docs.join(by_doc.hint("merge"), ["doc_id", "text_hash"])
-    return rows.select("doc_id", "text_hash", "text", "wanted").mapInArrow(cut, WINDOW)
+    return rows.select("doc_id", "text_hash", "text", "wanted").mapInArrow(tidy(cut), WINDOW)
 
 
 def firsts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.langid import code_points, groups
 from folioscope.llm.names import free
+from folioscope.llm.workers import tidy
 
 DECAY = 0.6
 SPAN = 6
@@ -294,7 +295,7 @@ def worst_sentences(texts: DataFrame, model: Toxicity) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string())), pa.array(value)], ["id", "toxic", "words", "value"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    picked = texts.select("id", "toxic", "text").mapInArrow(pick, f"id {kind}, toxic int, words array<string>, value double")
+    picked = texts.select("id", "toxic", "text").mapInArrow(tidy(pick), f"id {kind}, toxic int, words array<string>, value double")
     return picked.orderBy("id").toPandas()  # a row of WORDS words per row of the bounded sample
 
 
@@ -316,7 +317,7 @@ def word_values(texts: DataFrame, most: int = 20_000) -> dict[str, tuple[float,
                 toxic = [flags[group[owner[a]]] for a in cuts[:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(toxic, pa.int32())], ["words", "toxic"])
 
-    sentences = texts.select("toxic", "text").mapInArrow(split, "words array<string>, toxic int").groupBy("words").agg(F.min("toxic").alias("toxic"))
+    sentences = texts.select("toxic", "text").mapInArrow(tidy(split), "words array<string>, toxic int").groupBy("words").agg(F.min("toxic").alias("toxic"))
     counts = sentences.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5))
     top = counts.filter("t > 0").select("word", odds.alias("v"), "t").orderBy(F.desc(F.col("v") + F.log1p("t")), "word").limit(most)
@@ -403,7 +404,7 @@ def assess(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("toxicity", "worst_word")]
-    own = free(names, "_text")
+    own = text if text in names else free(names, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,4 +415,5 @@ def assess(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
                 columns = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(value)), pa.array(worst, pa.string())], [*names, "toxicity", "worst_word"])
 
-    return docs.select(*names, F.col(text).alias(own)).mapInArrow(score, f"{schema}, toxicity double, worst_word string")
+    rows = docs.select(*names) if own == text else docs.select(*names, F.col(text).alias(own))
+    return rows.mapInArrow(tidy(score), f"{schema}, toxicity double, worst_word string")
