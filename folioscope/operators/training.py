@@ -28,13 +28,15 @@ from folioscope.functions import lexicon as lx
 from folioscope.functions.patterns import WORD, let
 from folioscope.functions.text import truncate_for_embedding
 from folioscope.operators.joins import attach_class_table, null_safe_class
+from folioscope.operators.stages import DropColumns, PlattScaling, PlattScalingModel, SublinearIdf
 
 TOKEN = rf"[{WORD}]{{2,}}"
 VOCABULARY = 10_000
+SEED = 42
 
 # The terms of :func:`grams` as SQL text, for pipeline stages that are saved with a model.
 GRAMS_SQL = (
-    f"transform(array(regexp_extract_all(lower(text), r'{TOKEN}', 0)), w -> concat(w, "
+    f"transform(array(regexp_extract_all(lower(coalesce(text, '')), r'{TOKEN}', 0)), w -> concat(w, "
     "transform(slice(w, 1, greatest(size(w) - 1, 0)), (first, i) -> concat(first, ' ', w[i + 1]))))[0]"
 )
 
@@ -111,7 +113,7 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: float | None = 0.9) -> list:
-    """Pipeline stages from ``text`` to unit-length tf-idf ``features`` of 1-2 grams.
+    """Pipeline stages from ``text`` to ``features``, the weights of :func:`tfidf_features` as vectors.
 
     ``max_df`` is a share below one; None keeps terms however common.
     """
@@ -121,8 +123,9 @@ def text_features(vocabulary: int = VOCABULARY, min_df: float = 2.0, max_df: flo
     return [
         SQLTransformer(statement=f"SELECT *, {GRAMS_SQL} AS terms FROM __THIS__"),
         vectorizer,
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features"),
+        DropColumns(columns=["terms"]),
+        SublinearIdf(inputCol="tf", outputCol="weighted"),
+        Normalizer(inputCol="weighted", outputCol="features"),
     ]
 
 
@@ -132,8 +135,8 @@ def _label_index() -> StringIndexer:
     )
 
 
-def _fit_on_features(df: DataFrame, features: list, classifier, keep: list[str]) -> PipelineModel:
-    """Fit the feature stages, keep their vectors, fit the classifier on those.
+def _fit_on_features(df: DataFrame, features: list, classifier, keep: list[str], more=lambda vectors: []) -> PipelineModel:
+    """Fit the feature stages, keep their vectors, fit the classifier and what ``more`` makes of the vectors on those.
 
     Optimisers pass over the data many times; they read stored vectors, not text.
     """
@@ -141,25 +144,46 @@ def _fit_on_features(df: DataFrame, features: list, classifier, keep: list[str])
     vectors = prepared.transform(df).select("label_index", "features", *keep)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = classifier.fit(vectors)
+        fitted = [classifier.fit(vectors), *more(vectors)]
     finally:
         vectors.unpersist()
-    return PipelineModel(stages=[*prepared.stages, fitted])
+    return PipelineModel(stages=[*prepared.stages, *fitted])
 
 
 def train_linear_classifier(
-    df: DataFrame, vocabulary: int = VOCABULARY, c: float = 1.5, max_iter: int = 50, parallelism: int = 4
+    df: DataFrame, vocabulary: int = VOCABULARY, c: float = 1.5, max_iter: int = 50, parallelism: int = 4, calibration_folds: int = 0
 ) -> PipelineModel:
     """One-versus-rest linear SVMs with balanced class weights.
 
-    ``c`` weighs the data against the penalty, so the penalty per row is 1 / (c n).
+    ``c`` weighs the data against the penalty, so the penalty per row is 1 / (c n). With ``calibration_folds`` the decision
+    values are turned into probabilities by sigmoids, fitted on rows that a fold's classifier has not seen.
     """
-    svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(df.count(), 1)))
-    classifier = OneVsRest(
-        classifier=svm, labelCol="label_index", featuresCol="features", weightCol="class_weight",
-        rawPredictionCol="rawPrediction", parallelism=parallelism,
-    )
-    return _fit_on_features(with_class_weight(df), text_features(vocabulary), classifier, ["class_weight"])
+
+    def classifier(rows: int) -> OneVsRest:
+        svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)))
+        return OneVsRest(
+            classifier=svm, labelCol="label_index", featuresCol="features", weightCol="class_weight",
+            rawPredictionCol="rawPrediction", parallelism=parallelism,
+        )
+
+    n = df.count()
+    if not calibration_folds:
+        return _fit_on_features(with_class_weight(df), text_features(vocabulary), classifier(n), ["class_weight"])
+    held_out: list[DataFrame] = []
+
+    def calibrated(vectors: DataFrame) -> list:
+        fold = F.pmod(F.xxhash64(F.lit(SEED), "row_key"), F.lit(calibration_folds))  # rows of one text share a fold
+        share = (calibration_folds - 1) / calibration_folds
+        for k in range(calibration_folds):
+            fitted = classifier(int(n * share)).fit(vectors.filter(fold != k))
+            held_out.append(fitted.transform(vectors.filter(fold == k)).select("label_index", "rawPrediction"))
+        unseen = held_out[0]
+        for part in held_out[1:]:
+            unseen = unseen.unionByName(part)
+        return [PlattScaling().fit(unseen)]
+
+    keyed = with_class_weight(df).withColumn("row_key", F.xxhash64("text"))
+    return _fit_on_features(keyed, text_features(vocabulary), classifier(n), ["class_weight", "row_key"], calibrated)
 
 
 def train_logistic(df: DataFrame, vocabulary: int = 5_000, max_iter: int = 1_000) -> PipelineModel:
@@ -227,12 +251,17 @@ def softmax(values: Column) -> Column:
 def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``prediction``, ``confidence`` and ``confidence_scores`` (class to share).
 
-    Models without probabilities get the softmax of their decision values.
+    Calibrated models give their probabilities. Models without probabilities get the sigmoid of the second class's decision
+    value where there are two classes, else the softmax of the decision values.
     """
     labels = model.stages[0].labels
     scored = model.transform(df)
-    if "probability" in scored.columns:
+    if any(isinstance(s, PlattScalingModel) for s in model.stages):
+        shares = F.col("calibrated")
+    elif "probability" in scored.columns:
         shares = vector_to_array("probability")
+    elif len(labels) == 2:
+        shares = let(1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])), lambda p: F.array(1 - p, p))
     else:
         shares = softmax(vector_to_array("rawPrediction"))
     names = F.array(*[F.lit(x) for x in labels])
