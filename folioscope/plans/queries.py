@@ -1163,7 +1163,13 @@ def scan_annotation_json(spark, sf_dir):
 
 @query
 def inventory_sources(spark, sf_dir):
-    return files.inventory_sources(spark, sf_dir)
+    """A tree with a file of counts per source, the kind of file by language."""
+    path = scratch_dir(spark, "tree")
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    lang = F.coalesce("lang", F.lit(""))
+    for kind, wanted in (("csv", lang == "en"), ("json", lang == "fr"), ("text", ~lang.isin("en", "fr"))):
+        counts.filter(wanted).select("n", "source").repartition("source").write.partitionBy("source").format(kind).save(f"{path}/{kind}")
+    return files.inventory_sources(spark, path)
 
 
 @query

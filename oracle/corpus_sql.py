@@ -236,7 +236,9 @@ STATEMENTS = {
       select 'receipt' as label, count(*) as files, sum(length(t))::bigint as chars from f""",
     "scan_annotation_json": """with f as (select replace(text, chr(10), ' ') as t from documents)
       select 'receipt' as label, md5(t) as text_md5, length(t)::int as chars from f where length(t) > 10""",
-    "inventory_sources": "select 'parquet' as extension, 14::bigint as files, 14::bigint as total, false as chosen",
+    "inventory_sources": """with d as (select distinct coalesce('=' || source, '') as source, case coalesce(lang, '') when 'en' then 'csv' when 'fr' then 'json' else 'txt' end as extension from documents),
+      c as (select extension, count(*) as files from d group by extension)
+      select extension, files, sum(files) over ()::bigint as total, extension = (select min(extension) from c) as chosen from c""",
     "decode_bytes": "select doc_id, case when doc_id % 2 = 0 then text else regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') end as text from documents",
     "versioned_save": """select lang, count(*) as n, 1 as version from documents group by lang union all
       select lang, count(*), 2 from (select lang from documents qualify row_number() over (partition by text order by doc_id) = 1) group by lang""",
