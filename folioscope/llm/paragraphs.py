@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import passages
 from folioscope.llm.linking import PART, band_column, linked_components
 from folioscope.llm.names import free
-from folioscope.llm.shingles import set_digest, shingle_set, text_words
+from folioscope.llm.shingles import shingle_sets, text_words
 from folioscope.llm.sketches import tuned_bands
 from folioscope.llm.workers import tidy
 from folioscope.session import discard, kept
@@ -60,10 +60,10 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFr
                 owner, place, start, lines, words = lines_of(part.column("text").to_pylist(), min_words)
                 for a in range(0, len(lines), 2 * PART):
                     b = min(a + 2 * PART, len(lines))
-                    sets = [shingle_set(w) for w in words[a:b]]
+                    sets, digests = shingle_sets(words[a:b])
                     own = pa.array(owner[a:b], pa.int64())
                     columns = [part.column("doc_id").take(own), part.column("text_hash").take(own), pa.array(place[a:b], pa.int32()), pa.array(start[a:b], pa.int64())]
-                    columns += [pa.array([len(x) for x in lines[a:b]], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), band_column(sets, bands, rows)]
+                    columns += [pa.array([len(x) for x in lines[a:b]], pa.int64()), pa.array(digests, pa.binary()), band_column(sets, bands, rows)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "start", "length", "digest", "bands"])
 
     schema = "doc_id long, text_hash int, place int, start long, length long, digest binary, bands array<long>"
@@ -81,11 +81,14 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataF
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                part = batch.slice(at, PART)
+            for slice_at in range(0, batch.num_rows, PART):
+                part = batch.slice(slice_at, PART)
                 asked = [{(w["place"], w["digest"]): w["id"] for w in row} for row in part.column("wanted").to_pylist()]
                 owner, place, _, lines, words = lines_of(part.column("text").to_pylist(), min_words)
-                found = [(asked[o].get((p, set_digest(shingle_set(w)))), t) for o, p, t, w in zip(owner, place, lines, words) if any(p == q for q, _ in asked[o])]
+                places = [{p for p, _ in row} for row in asked]
+                at = [k for k, (o, p) in enumerate(zip(owner, place)) if p in places[o]]
+                _, digests = shingle_sets([words[k] for k in at])
+                found = [(asked[owner[k]].get((place[k], d)), lines[k]) for k, d in zip(at, digests)]
                 found = [(i, t) for i, t in found if i is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["id", "text"])
 

@@ -25,6 +25,8 @@ RUN = 50
 GRAM = 15
 #: Bytes of short texts worked on together, and windows worked on at a time.
 GROUP_BYTES, WINDOWS = 1 << 20, 1 << 20
+#: Parts that the rows of one key are dealt to.
+SLICES = 32
 PLACE = "doc_id", "line", "start", "text_hash"
 
 
@@ -145,9 +147,17 @@ def windows(docs: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
 
 
 def firsts(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` with the first place of their ``keys``; combined in the map tasks."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE, "length")).alias("first"))
-    return rows.join(first, list(keys))
+    """``rows`` with the first place of their ``keys``.
+
+    The rows of a key are dealt to ``SLICES`` slices by their document. The first places of the slices give that of the key, which goes
+    back to every slice there is: a key that most rows share is spread over as many tasks, and one with few rows costs few.
+    """
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SLICES)).cast("int"))
+    place = F.struct(*PLACE, "length")
+    of_slice = dealt.groupBy(*keys, "slice").agg(F.min(place).alias("first"))
+    of_key = of_slice.groupBy(*keys).agg(F.min("first").alias("first"), F.collect_set("slice").alias("slices"))  # at most SLICES numbers
+    back = of_key.select(*keys, "first", F.explode("slices").alias("slice"))
+    return dealt.join(back, [*keys, "slice"]).drop("slice")
 
 
 def same_place() -> F.Column:

@@ -110,3 +110,31 @@ def set_digest(items: np.ndarray) -> bytes:
     """128 bits for a sorted set of hashes."""
     halves = [int(mixed(items ^ s).sum(dtype=np.uint64)) for s in (STEP, STEP_BACK)]
     return b"".join((h + len(items) & (1 << 64) - 1).to_bytes(8, "little") for h in halves)
+
+
+def shingle_sets(words: list[np.ndarray], n: int = WORDS_PER_SHINGLE) -> tuple[list[np.ndarray], list[bytes]]:
+    """``shingle_set`` and ``set_digest`` of every word sequence; sequences of ``n`` words or more are hashed together."""
+    sets = [np.zeros(0, np.uint64)] * len(words)
+    digests = [set_digest(sets[0])] * len(words) if words else []
+    long = [i for i, w in enumerate(words) if len(w) >= n]
+    for i in set(range(len(words))).difference(long):
+        sets[i] = shingle_set(words[i], n)
+        digests[i] = set_digest(sets[i])
+    if not long:
+        return sets, digests
+    found = shingles(np.concatenate([words[i] for i in long]), n)
+    ends = np.cumsum([len(words[i]) for i in long])
+    starts = ends - [len(words[i]) for i in long]
+    fresh = np.ones(len(found), bool)
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        found[a : b - n + 1].sort()
+        fresh[b - n + 1 : b] = False  # these reach into the next sequence
+    fresh[1:] &= found[1:] != found[:-1]
+    fresh[starts] = True
+    sizes = np.add.reduceat(fresh.astype(np.int64), starts)
+    items = found[fresh]
+    cuts = np.cumsum(sizes)
+    low, high = ((np.add.reduceat(mixed(items ^ s), cuts - sizes) + sizes.astype(np.uint64)).astype("<u8") for s in (STEP, STEP_BACK))
+    for k, (i, end, size) in enumerate(zip(long, cuts.tolist(), sizes.tolist())):
+        sets[i], digests[i] = items[end - size : end], low[k].tobytes() + high[k].tobytes()
+    return sets, digests

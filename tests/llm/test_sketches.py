@@ -84,3 +84,14 @@ def test_components(spark, edges):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=30), max_size=12), st.integers(1, 6))
+def test_sets_hashed_together_equal_single_ones(sequences, n):
+    words = [shingles.mixed(np.array(s, np.uint64)) for s in sequences]
+    sets, digests = shingles.shingle_sets(words, n)
+    assert len(sets) == len(digests) == len(words)
+    for w, found, digest in zip(words, sets, digests):
+        alone = shingles.shingle_set(w, n)
+        assert found.tolist() == alone.tolist() and digest == shingles.set_digest(alone)
