@@ -234,7 +234,9 @@ def accent_stripper():
 
 
 def strip_accents(text: Column) -> Column:
-    return accent_stripper()(text)
+    """Lower-cased, stripped text without accents; only texts beyond ASCII are handed to Python."""
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, accent_stripper()(F.when(beyond, text))).otherwise(strip(F.lower(text)))
 
 
 def tokenize_filter(text: Column) -> Column:

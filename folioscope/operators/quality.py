@@ -182,13 +182,11 @@ def neighbour_similarity(df: DataFrame, key: str = "doc_id", reach: int = 9, blo
 
     Rows are numbered and cut into fixed blocks; the first rows of a block also travel with
     the block before it, so one shuffle serves all comparisons and no block can grow hot.
+    Words move as 64-bit hashes, each once per row; no text is shuffled.
     """
-    words = F.array_distinct(
-        F.filter(F.split(F.lower(F.col("text")), f"[{BLANK}]+"), lambda w: w != "")
-    )
-    numbered = with_position(df.select(F.col(key).alias("id"), F.col("text")), "id").select(
-        "id", "pos", words.alias("words")
-    )
+    words = F.filter(F.split(F.lower(F.col("text")), f"[{BLANK}]+"), lambda w: w != "")
+    hashed = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    numbered = with_position(df.select(F.col(key).alias("id"), hashed.alias("words")), "id")
     home = F.floor((F.col("pos") - 1) / block)
     into = F.pmod(F.col("pos") - 1, F.lit(block))
     placed = numbered.withColumn(
@@ -197,16 +195,12 @@ def neighbour_similarity(df: DataFrame, key: str = "doc_id", reach: int = 9, blo
             F.when((into < reach) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
         ),
     ).withColumn("_guest", F.col("_block") < home)
-    following = W.partitionBy("_block").orderBy("pos")
-    ahead = [
-        F.struct(F.lead("id", k).over(following).alias("id"), F.lead("words", k).over(following).alias("words"))
-        for k in range(1, reach + 1)
-    ]
+    following = W.partitionBy("_block").orderBy("pos").rowsBetween(1, reach)
     pairs = (
-        placed.withColumn("_next", F.array(*ahead))
+        placed.withColumn("_next", F.collect_list(F.struct("id", "words")).over(following))
         .filter("not _guest")
         .select(F.col("id").alias("id_a"), "words", F.explode("_next").alias("b"))
-        .filter("b.id is not null and size(words) > 0 and size(b.words) > 0")
+        .filter("size(words) > 0 and size(b.words) > 0")
     )
     shared = F.size(F.array_intersect("words", "b.words"))
     return pairs.select(
