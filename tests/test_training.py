@@ -1,9 +1,11 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import training
+from folioscope.functions import lexicon as lx
+from folioscope.operators import quality, training
 
 
 @pytest.fixture(scope="module")
@@ -13,6 +15,13 @@ def texts(spark):
     return spark.createDataFrame(data, "doc_id long, text string, label string").cache()
 
 
+def shuffled(df, column):
+    """Whether an exchange of the plan moves the column."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip())]
+    return any(f"{column}#" in part for part in moved)
+
+
 def test_tfidf_against_a_plain_count(spark):
     docs = {1: "b a a", 2: "aa bb aa", 3: "aa cc dd"}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
@@ -26,6 +35,21 @@ def test_tfidf_against_a_plain_count(spark):
     assert {r.term for r in limited.collect()} == {"aa"}
 
 
+def test_no_text_is_shuffled_for_weights(spark, tmp_path):
+    spark.createDataFrame([(1, "aa bb")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    assert not shuffled(training.tfidf_features(df), "text")
+    assert not shuffled(quality.neighbour_similarity(df), "text")
+    assert shuffled(df.repartition("doc_id"), "text")
+
+
+def test_terms_are_counted_in_the_row(spark):
+    rows = [(1, ["b", "a", "b", "é"]), (2, []), (3, None), (4, ["x"] * 5000)]
+    df = spark.createDataFrame(rows, "id long, terms array<string>").select("id", training.term_counts(F.col("terms")).alias("c"))
+    got = {r.id: r.c and [tuple(x) for x in r.c] for r in df.collect()}
+    assert got == {1: [("a", 1), ("b", 2), ("é", 1)], 2: None, 3: None, 4: [("x", 5000)]}
+
+
 def test_weights_are_balanced(texts):
     weights = training.class_weights(texts.filter("doc_id < 30 or label = 'a'")).collect()
     assert abs(sum(r.n * r.weight for r in weights) - sum(r.n for r in weights)) < 1e-9
@@ -78,3 +102,25 @@ def test_embeddings(texts):
 def test_softmax(apply):
     (got,) = apply(training.softmax, [([1.0, 2.0, 1000.0],)], "v array<double>")
     assert got[2] == 1.0 and sum(got) == pytest.approx(1.0)
+
+
+def test_classified_documents_follow_model_and_rules(spark):
+    kinds = {"invoice": "Invoice number {} total due net", "receipt": "Receipt {} thank you cash paid", "contract": "Agreement between the parties {} clause"}
+    data = [(i, list(kinds.values())[i % 3].format(i), list(kinds)[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, label string")
+    model = training.train_logistic(df, 200, 20)
+    odd = spark.createDataFrame([(100, None, None), (101, "", "never seen"), (102, "Invoice number 7 total due net", None)], df.schema)
+    # columns named as results are replaced
+    rows = training.classify_documents(model, df.unionByName(odd).withColumn("prediction", F.lit("x")).withColumn("rule", F.lit(1))).collect()
+    assert sorted(r.doc_id for r in rows) == sorted([*range(60), 100, 101, 102])
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[101].label == "never seen" and by_id[102].label is None and by_id[102].model_prediction == "invoice"
+    assert sum(r.model_prediction == r.label for r in rows) >= 57
+    for r in rows:
+        assert abs(sum(r.confidence_scores.values()) - 1) < 1e-6
+        sure = r.confidence >= 0.7 and r.prediction != lx.UNKNOWN_TYPE
+        assert r.hybrid.confidence_flag == ("ok" if sure else "needs_review")
+        assert r.hybrid.final_prediction == (r.prediction if sure else r.rule_by_score or r.prediction)
+        assert r.decision.document_type == (r.hybrid.final_prediction if sure else r.rule)
+        if r.rule != lx.UNKNOWN_TYPE:
+            assert r.final_prediction == r.rule
