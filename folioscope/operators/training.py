@@ -69,7 +69,7 @@ def grams(text: Column, stopwords: Iterable[str] = ()) -> Column:
 
 def term_counts(terms: Column) -> Column:
     """Array of (term, tf): the runs of the sorted terms."""
-    ordered = F.array_sort(terms)
+    ordered = F.sort_array(terms)  # a native comparison, where array_sort runs a lambda
 
     def runs(t: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
