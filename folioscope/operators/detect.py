@@ -17,13 +17,13 @@ def _string_columns(df: DataFrame) -> list[str]:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """(position, column, mean_length, distinct_ratio) of the string columns, in one pass.
+    """(position, column, mean_length, distinct_ratio, distincts) of the string columns, in one pass.
 
     Distinct counts run over 32-byte digests, so wide texts are not shuffled.
     """
     names = _string_columns(df)
     if not names:
-        none = "position int, column string, mean_length double, distinct_ratio double"
+        none = "position int, column string, mean_length double, distinct_ratio double, distincts bigint"
         return df.sparkSession.createDataFrame([], none)
     digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
     stats = df.agg(
@@ -39,6 +39,7 @@ def column_stats(df: DataFrame) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.col(f"len_{i}").alias("mean_length"),
                 F.try_divide(F.col(f"dis_{i}"), F.col("n")).alias("distinct_ratio"),
+                F.col(f"dis_{i}").alias("distincts"),
             )
             for i, c in enumerate(names)
         ]
@@ -56,9 +57,13 @@ def detect_text_column(df: DataFrame, stats: DataFrame | None = None) -> str | N
     return top["column"] if top and top["mean_length"] else None
 
 
-def detect_label_column(df: DataFrame, stats: DataFrame | None = None) -> str | None:
+def detect_label_column(df: DataFrame, stats: DataFrame | None = None, any_size: bool = False) -> str | None:
     """A column with a usual label name, else the first string column other than the text
-    whose distinct share lies in [0.01, 0.5]."""
+    whose distinct share lies in [0.01, 0.5].
+
+    A class column's share falls as a table grows. With ``any_size``, where no column fits, the first with two
+    values or more and a share of at most 0.5 is taken.
+    """
     named = [c for c in lx.LABEL_FIELDS if c in df.columns]
     if named or not _string_columns(df):
         return named[0] if named else None
@@ -66,7 +71,10 @@ def detect_label_column(df: DataFrame, stats: DataFrame | None = None) -> str |
     text = [c for c in lx.TEXT_COLUMNS if c in df.columns]
     longest = max(stats, key=lambda r: (r.mean_length or 0.0, -r.position)).column
     chosen = text[0] if text else longest
-    fits = [r.column for r in stats if r.column != chosen and 0.01 <= (r.distinct_ratio or 0) <= 0.5]
+    others = [r for r in stats if r.column != chosen and (r.distinct_ratio or 0) <= 0.5]
+    fits = [r.column for r in others if (r.distinct_ratio or 0) >= 0.01]
+    if any_size and not fits:
+        fits = [r.column for r in others if r.distincts >= 2]
     return fits[0] if fits else None
 
 

@@ -91,7 +91,7 @@ def scan_csv_records(spark: SparkSession, path: str, source: str = "CSV", schema
 def detected_records(rows: DataFrame, source: str) -> DataFrame:
     """(text, label, source) of a table whose text and label columns are detected."""
     stats = column_stats(rows).persist()  # a row per column, asked for twice
-    text, label = detect_text_column(rows, stats), detect_label_column(rows, stats)
+    text, label = detect_text_column(rows, stats), detect_label_column(rows, stats, any_size=True)
     stats.unpersist()
     if text is None or label is None:
         raise ValueError("could not detect text and label columns")

@@ -94,3 +94,11 @@ def test_files_without_records(spark, tmp_path):
     assert records.read_records(spark, str(tmp_path / "e.json"), records.JSON).collect() == []
     with pytest.raises(ValueError):
         files.scan_json_records(spark, str(tmp_path / "e.json"))
+
+
+def test_few_classes_in_a_long_table_are_found(spark):
+    # two classes in 300 rows are a share under 0.01, as twenty are in a table of ten thousand
+    rows = [(f"row {i} of a table that goes on for long", "all", "invoice" if i % 2 else "receipt") for i in range(300)]
+    df = spark.createDataFrame(rows, "remark string, same string, kind string")
+    got = files.detected_records(df, "CSV").groupBy("label").count().collect()
+    assert {tuple(r) for r in got} == {("invoice", 150), ("receipt", 150)}
