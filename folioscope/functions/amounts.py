@@ -16,6 +16,7 @@ from folioscope.functions.patterns import (
     first_group,
     has_any,
     let,
+    may_have,
     replace_all,
     strip,
 )
@@ -38,12 +39,16 @@ def extract_amount(text: Column, strict_total: bool = False) -> Column:
 
     def read(low: Column) -> Column:
         def first_positive(pattern: str) -> Column:
+            possible = may_have(low, pattern)
+            for mark in "$€£":
+                if mark in re.sub(r"\[[^]]*\]|.\?", "", pattern):  # neither in a class nor optional
+                    possible = possible & low.contains(mark)
             if strict_total and pattern.startswith("total"):
                 pattern = r"\b" + pattern
             bare = F.transform(
                 all_groups(low, pattern), lambda m: to_number(replace_all(m, r"[€$£\s]", ""))
             )
-            return F.get(F.filter(bare, lambda v: v > 0), F.lit(0))
+            return F.when(possible, F.get(F.filter(bare, lambda v: v > 0), F.lit(0)))
 
         return F.coalesce(*[first_positive(p) for p in lx.TOTAL_PATTERNS + lx.LOOSE_AMOUNT_PATTERNS])
 
@@ -94,7 +99,10 @@ def categorize(document_type: Column) -> tuple[Column, Column]:
 
 def describe(text: Column, document_type: Column) -> Column:
     """Text after a description label (100 characters), else type and first line (50)."""
-    labelled = F.coalesce(*[strip(first_group(text, p)) for p in lx.DESCRIPTION_PATTERNS])
+    labelled = let(
+        F.struct(text.alias("text"), F.lower(text).alias("low")),
+        lambda t: F.coalesce(*[F.when(may_have(t["low"], p), strip(first_group(t["text"], p))) for p in lx.DESCRIPTION_PATTERNS]),
+    )
     first_line = strip(F.substring_index(strip(text), "\n", 1))
     title = title_case(document_type)
     fallback = F.when(

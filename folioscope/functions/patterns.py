@@ -57,6 +57,11 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + portable(pattern)
 
 
+def python(pattern: str) -> str:
+    """Pattern text for Python, whose shorthands are Unicode's; a leading word edge becomes a class as in :func:`portable`."""
+    return r"(?:^|[^\w])" + pattern[2:] if pattern.startswith(r"\b") else pattern
+
+
 def required_literal(pattern: str) -> str:
     """Longest plain text that every match of ``pattern`` contains ('' if none is sure)."""
     outside, depth = [], 0
@@ -73,6 +78,15 @@ def required_literal(pattern: str) -> str:
     return max(sure, key=len, default="")
 
 
+def may_have(col: Column, pattern: str) -> Column:
+    """A substring test that holds wherever ``pattern`` matches the lower-case ``col`` ignoring case; true without one.
+
+    The letters i, s and k are left out: the dotless i, the long s and the Kelvin sign match them, too.
+    """
+    part = max(re.split("[isk]", required_literal(pattern)), key=len)
+    return col.contains(part) if len(part) > 1 else F.lit(True)
+
+
 def has(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Whether ``pattern`` matches; a plain substring test goes first where it can decide."""
     matched = col.rlike(java(pattern, ignore_case))
@@ -95,7 +109,8 @@ def sql_has(name: str, pattern: str, ignore_case: bool = True) -> str:
     return f"(contains({name}, {sql_text(part)}) and {matched})" if len(part) > 1 else f"({matched})"
 
 
-def _by_literal(patterns: Iterable[str]) -> dict[str, list[str]]:
+def by_literal(patterns: Iterable[str]) -> dict[str, list[str]]:
+    """Patterns under the plain text that each needs ('' if none is sure)."""
     groups: dict[str, list[str]] = {}
     for p in patterns:
         part = required_literal(p)
@@ -106,7 +121,7 @@ def _by_literal(patterns: Iterable[str]) -> dict[str, list[str]]:
 def sql_any(name: str, patterns: Iterable[str]) -> str:
     """Whether any pattern matches; those that need the same text share one test for it."""
     tests = []
-    for part, group in _by_literal(patterns).items():
+    for part, group in by_literal(patterns).items():
         matched = " or ".join(f"{name} rlike {sql_text(java(p, False))}" for p in group)
         tests.append(f"(contains({name}, {sql_text(part)}) and ({matched}))" if part else f"({matched})")
     return "(" + " or ".join(tests) + ")"
@@ -115,7 +130,7 @@ def sql_any(name: str, patterns: Iterable[str]) -> str:
 def sql_hits(name: str, patterns: Iterable[str]) -> str:
     """How many patterns match; those that need the same text share one test for it."""
     sums = []
-    for part, group in _by_literal(patterns).items():
+    for part, group in by_literal(patterns).items():
         hits = " + ".join(f"cast({name} rlike {sql_text(java(p, False))} as int)" for p in group)
         sums.append(f"if(contains({name}, {sql_text(part)}), {hits}, 0)" if part else f"({hits})")
     return "(" + " + ".join(sums) + ")"

@@ -15,10 +15,9 @@ from folioscope.functions.patterns import (
     let_sql,
     sql_any,
     sql_contains,
-    sql_count,
     sql_has,
-    sql_hits,
 )
+from folioscope.functions.wording import Question, asker
 
 CONFIDENCE_THRESHOLD = 0.10
 
@@ -28,11 +27,8 @@ def rule_points(plain: Column) -> Column:
 
     Catalogue words keep their accents, so accented ones never match.
     """
-    fields = [
-        f"{sql_count('t', words)} + 2 * {sql_hits('t', lx.RULE_PATTERNS[kind])} as {kind}"
-        for kind, words in lx.RULE_KEYWORDS.items()
-    ]
-    return let_sql(plain, f"struct({', '.join(fields)})")
+    questions = {k: Question(words, lx.RULE_PATTERNS[k], 2) for k, words in lx.RULE_KEYWORDS.items()}
+    return asker(questions)(plain)
 
 
 def best_rule(points: Column, min_score: int = 2) -> Column:
@@ -124,11 +120,10 @@ def keyword_vote(text: Column, classes: list[str] = lx.DOCUMENT_CLASSES) -> Colu
 
 def top_entry(scores: Column) -> Column:
     """Struct (key, value) of the highest score; the first entry wins a tie."""
-    ranked = F.transform(
-        F.map_entries(scores),
-        lambda e, i: F.struct(e["value"].alias("value"), (-i).alias("i"), e["key"].alias("key")),
-    )
-    return F.array_max(ranked)
+    values = F.map_values(scores)
+    # without any value the first entry stands
+    at = F.coalesce(F.array_position(values, F.array_max(values)), F.lit(1))
+    return F.struct(F.array_max(values).alias("value"), F.get(F.map_keys(scores), (at - 1).cast("int")).alias("key"))
 
 
 def normalized(scores: Column) -> Column:
@@ -144,16 +139,16 @@ def normalized_bound(scores: Column) -> Column:
 
 def evidence(text: Column) -> Column:
     """Wording flags used by the score adjustments, as one struct of booleans."""
-    flags = {
-        "definitive": sql_contains("t", lx.DEFINITIVE_INVOICE_WORDS),
-        "invoice": sql_contains("t", lx.INVOICE_WORDS),
-        "strong_invoice": sql_any("t", lx.STRONG_INVOICE_PATTERNS),
-        "order": sql_contains("t", lx.ORDER_WORDS),
-        "strong_order": sql_any("t", lx.STRONG_ORDER_PATTERNS),
-        "order_excluded": sql_any("t", lx.ORDER_EXCLUSIONS),
-        "order_heading": "startswith(t, 'bon de commande')",
+    questions = {
+        "definitive": Question(lx.DEFINITIVE_INVOICE_WORDS),
+        "invoice": Question(lx.INVOICE_WORDS),
+        "strong_invoice": Question([], lx.STRONG_INVOICE_PATTERNS),
+        "order": Question(lx.ORDER_WORDS),
+        "strong_order": Question([], lx.STRONG_ORDER_PATTERNS),
+        "order_excluded": Question([], lx.ORDER_EXCLUSIONS),
+        "order_heading": Question([], ["^bon de commande"]),
     }
-    return let_sql(F.lower(text), f"struct({', '.join(f'({test}) as `{n}`' for n, test in flags.items())})")
+    return asker(questions, flags=True)(F.lower(text))
 
 
 def adjust_scores(scores: Column, flags: Column) -> Column:
@@ -284,7 +279,7 @@ def predict(text: Column, scores: Column, model_prediction: Column | None = None
             s["m"].alias("confidence_scores"),
         )
         return F.when(F.try_element_at(s["m"], label) >= 0.8, sure).otherwise(
-            let(evidence(text), lambda flags: unsure(s["m"], flags))
+            unsure(s["m"], s["flags"])
         )
 
     def unsure(m: Column, flags: Column) -> Column:
@@ -308,7 +303,7 @@ def predict(text: Column, scores: Column, model_prediction: Column | None = None
         )
 
     label = top_entry(scores)["key"] if model_prediction is None else model_prediction
-    return let(F.struct(scores.alias("m"), label.alias("label")), start)
+    return let(F.struct(scores.alias("m"), label.alias("label"), evidence(text).alias("flags")), start)
 
 
 def hybrid_decision(prediction: Column, confidence: Column, rule: Column) -> Column:

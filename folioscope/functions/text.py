@@ -89,15 +89,14 @@ def clean_text_multilingual(text: Column, max_length: int | None = None) -> Colu
 
     Whole texts unless ``max_length`` (``MAX_DOCUMENT_LENGTH`` is the usual cut) is asked for.
     """
-    spaced = _replace_in_order(
-        F.translate(F.lower(F.coalesce(text, F.lit(""))), "‏‎", "  "),
-        [
-            (r"([\x{600}-\x{6FF}])([^\x{600}-\x{6FF}\s])", "$1 $2"),
-            (r"([^\x{600}-\x{6FF}\s])([\x{600}-\x{6FF}])", "$1 $2"),
-            (r"[^\w\s\x{600}-\x{6FF}]", " "),
-        ],
-    )
-    clean = collapse_blanks(spaced)
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "‏‎", "  ")
+    apart = [
+        (r"([\x{600}-\x{6FF}])([^\x{600}-\x{6FF}\s])", "$1 $2"),
+        (r"([^\x{600}-\x{6FF}\s])([\x{600}-\x{6FF}])", "$1 $2"),
+    ]
+    spaced = let(low, lambda t: F.when(t.rlike(r"[\x{600}-\x{6FF}]"), _replace_in_order(t, apart)).otherwise(t))
+    # blanks are no words either, so odd marks and runs of blanks go in one step
+    clean = F.trim(replace_all(spaced, r"[^\w\x{600}-\x{6FF}]+", " "))
     return clean if max_length is None else F.substring(clean, 1, max_length)
 
 
