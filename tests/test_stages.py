@@ -82,3 +82,28 @@ def test_sigmoids_equal_a_plain_newton_fit(spark):
         h = np.array([[(w * f * f).sum(), (w * f).sum()], [(w * f).sum(), w.sum()]])
         a, b = np.array([a, b]) - np.linalg.solve(h, [(off * f).sum(), off.sum()])
     assert np.allclose([model.getOrDefault(model.slopes)[1], model.getOrDefault(model.shifts)[1]], [a, b], atol=1e-6)
+
+
+def test_texts_are_cut_three_times_and_the_fit_is_the_pipelines(spark, monkeypatch):
+    df = corpus(spark, ["aa", "bb", "cc"], 120).coalesce(1)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    model = training.train_logistic(df.withColumn("text", seen.asNondeterministic()("text")), 200, max_iter=20)
+    # the vocabulary's pass or two, the counts' pass; the weights and the optimiser read stored counts
+    assert df.count() <= read.value <= 3 * df.count()
+    plain = Pipeline(stages=[training._label_index(), *training.text_features(200, 1.0, None)]).fit(df)
+    rows = plain.transform(df)
+    want = training.LogisticRegression(labelCol="label_index", family="multinomial", maxIter=20, regParam=1.0 / df.count()).fit(rows)
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), atol=1e-6)
+
+
+def test_the_best_model_of_a_grid_takes_texts(spark):
+    df = corpus(spark, ["aa", "bb"], 90, noise=0.05)
+    found = training.grid_search(df, vocabularies=(50,), penalties=(0.01,), folds=2)
+    scored = training.score_batch(found.bestModel, df.filter("text is not null"))
+    assert scored.filter("prediction = label").count() > 60
