@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import langid, mixing, neardup, packing, paragraphs
 from folioscope.llm.names import free
-from folioscope.session import kept
+from folioscope.session import kept, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 LEAST_SCORE = 0.5
@@ -23,7 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is told with a score of at least one half; a missing language is filled in.
 
     Null texts and texts without a letter have no language and go. Repeated rows fare alike; an empty table gives no rows.
+    The session keeps small batches for the stages that follow.
     """
+    small_batches(spark)
     found = langid.identify(docs, langid.train(docs))
     told = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

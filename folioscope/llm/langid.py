@@ -22,7 +22,7 @@ SMOOTHING = 0.5
 #: Beyond so many n-grams evidence grows with the root of their number: neighbouring n-grams are not independent.
 FULL_EVIDENCE = 200
 UNKNOWN = "und"
-CHUNK = 1 << 19  # characters worked on at a time
+CHUNK = 1 << 17  # characters worked on at a time
 
 
 @functools.cache

@@ -189,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity:
                 made += [pa.array(r, k) for r, k in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(made[: len(names)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(cut), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut, "tokens"), schema)
 
 
 def ranked(pieces: DataFrame, most: int) -> DataFrame:

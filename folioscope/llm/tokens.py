@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 
+from folioscope.llm.workers import memories
+
 #: Words that a worker's two generations of memory hold each.
 MOST_WORDS = 250_000
 #: str.split also cuts at these, the tokenizers' white space does not hold them.
@@ -14,7 +16,7 @@ NOT_BLANK = "\x1c\x1d\x1e\x1f"
 ENDING = frozenset(".,;:!?")
 JOINED = 256
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = memories.setdefault("tokens", {})
 
 
 def lowered(text: str) -> str:
