@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import encoder
+from folioscope.llm.tokens import encoder, text_groups
 from folioscope.llm.workers import tidy
 from folioscope.session import kept
 
@@ -30,6 +30,8 @@ BINS = 256
 PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Most pieces of one length in a window's group.
 GROUP_ROWS = 1_000_000
+#: Bytes of short texts encoded together.
+GROUP_BYTES = 4 << 20
 SHIFT = 40  # a length's ranks are below 2 ** SHIFT
 
 
@@ -175,8 +177,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, many in text_groups(batch.column(1), GROUP_BYTES):
+                part = batch.slice(at, many)
                 ids = part.column(0)
                 rows: list[list] = [[], [], [], [], [], []]
                 for row, data in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import os
-import struct
+import re
+from array import array
+from codecs import charmap_decode
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from folioscope.llm.workers import memories
 
 #: Words that a worker's two generations of memory hold each.
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
 #: str.split also cuts at these, the tokenizers' white space does not hold them.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 ENDING = frozenset(".,;:!?")
 JOINED = 256
+#: The pieces that the pre-tokenizer cuts a word of ``PLAIN`` characters into, and small letters that the normaliser leaves alone.
+ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = re.compile("[!-@\\[-~]+").fullmatch
+LATIN = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
+#: The characters that stand for the bytes 0 to 255 in the merges.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = "".join(chr(b) if b in _PRINTED else chr(0x100 + sum(c not in _PRINTED for c in range(b))) for b in range(256))
 
 _encoders: dict[str, WordEncoder] = memories.setdefault("tokens", {})
 
@@ -28,6 +39,13 @@ def lowered(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+def text_groups(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """``(first, number)`` of rows in a row that begin within the same ``most`` bytes of the column."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1))
+    return list(zip(first.tolist(), np.diff(first, append=len(sizes)).tolist()))
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, for a tokenizer that lowers case and never joins words across
     white space.
@@ -42,7 +60,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -63,51 +81,83 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def merged(self, part: str) -> bytes:
+        """``ids`` of a piece of the pre-tokenizer that the normaliser leaves alone."""
+        found = self.merges(part if part.isascii() and part.isprintable() else charmap_decode(part.encode(), "strict", BYTE_LEVEL)[0])
+        return array("I", [token.id for token in found]).tobytes()
+
+    def of_pieces(self, word: str) -> bytes:
+        """``ids`` of a word of small ASCII letters, digits and marks: its pieces are encoded and remembered on their own."""
+        young, out = self.young, []
+        for piece in ASCII_PIECES.findall(word):
+            data = young.get(piece)
+            if data is None:
+                data = young[piece] = self.old.get(piece) or self.merged(piece)
+            out.append(data)
+        return b"".join(out)
+
+    def learn(self, words: list[str]) -> None:
         """Put ``words`` into the young memory; what it held before is old if it is full."""
         if len(self.young) + len(words) > MOST_WORDS:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        parts = {}
+        merged, of_pieces = self.merged, self.of_pieces
+        parts, new = {}, {}
         for word in words:
-            if word in old:
-                young[word] = old[word]
+            data = old.get(word)
+            if data is not None:
+                young[word] = data
+            elif word.isascii():
+                if word.islower() and word.isalpha():
+                    young[word] = merged(word)  # as it is after the normaliser: straight to the merges
+                elif PLAIN(word) and "<|" not in word:
+                    young[word] = of_pieces(word)
+                else:
+                    new[word] = True
+            elif word.isalpha():
+                if LATIN(word):
+                    young[word] = merged(word)
+                else:
+                    new[word] = True
             elif word[-1] in ENDING and (word[-2:-1].isalpha() or word[-2:-1].isdecimal()) and word[-2] != "İ" and "<|" not in word:
-                parts[word] = (word[:-1], word[-1])
+                stem = parts[word] = word[:-1]
+                if stem in old:
+                    young[stem] = old[stem]
+                elif LATIN(stem) and stem.isalpha():
+                    young[stem] = merged(stem)
+                else:
+                    new[stem] = True
             else:
-                parts[word] = (word, "")
-        for part in {p for both in parts.values() for p in both if p in old and p not in young}:
-            young[part] = old[part]
-        new = {p for both in parts.values() for p in both if p not in young} - {""}
+                new[word] = True
         letters = [p for p in new if p.isalpha()]
         others = [p for p in new if not p.isalpha()]
-        plain = [p for p in letters if p.isascii() and p.islower()]  # as they are after the normaliser: straight to the merges
-        letters = [p for p in letters if not (p.isascii() and p.islower())]
-        for word in plain:
-            ids = [token.id for token in self.merges(word)]
-            young[word] = struct.pack(f"<{len(ids)}I", *ids)
         young.update(zip(letters, self.letter_words(letters)))
         young.update(zip(others, self.ids(others)))
-        young.update({word: young[stem] + young[mark] for word, (stem, mark) in parts.items() if mark})
+        young.update({word: young[stem] + of_pieces(word[-1]) for word, stem in parts.items()})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            split.append(None if any(c in text for c in NOT_BLANK) else lowered(text).split())
-        held = self.young
-        missing = {w for s in split if s for w in s if w not in held}
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        data = list(map(self.young.get, words))
+        missing = [w for w, d in zip(words, data) if d is None]
         if missing:
             self.learn(missing)
-        young, old = self.young, self.old
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out += self.ids([text])
-            elif young is held:
-                out.append(b"".join(map(young.__getitem__, words)))
-            else:  # the memory was renewed just now: what was known before is old
-                out.append(b"".join([young[w] if w in young else old[w] for w in words]))
-        return out
+            young = self.young
+            data = [young[w] if d is None else d for w, d in zip(words, data)]
+        return data
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of every text: its words are told apart in Arrow, each different one is looked up once."""
+        odd = [any(c in text for c in NOT_BLANK) for text in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else lowered(t) for o, t in zip(odd, texts)], pa.string()))
+        words = split.flatten().dictionary_encode()
+        data = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        flat, first, word = np.frombuffer(b"".join(data), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        many = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(first[word] - ends[:-1], many) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [self.ids([text])[0] if o else ids[a:b].tobytes() for text, o, a, b in zip(texts, odd, cuts, cuts[1:])]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -4,12 +4,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm import packing
-from folioscope.llm.tokens import WordEncoder
+from folioscope.llm.tokens import WordEncoder, text_groups
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,6 +46,26 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
     assert encoder.encode(texts) == encoder.ids(texts)
 
 
+def test_words_below_256_go_to_the_merges_and_each_different_one_once(monkeypatch):
+    rng = random.Random(5)
+    letters = [chr(i) for i in range(0x21, 0x7F)] + [chr(i) for i in range(0xA1, 0x100) if chr(i).isalpha()] + list("''.,ets")
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)) for _ in range(200)]
+    assert WordEncoder(PATH).encode(texts) == WordEncoder(PATH).ids(texts)
+    encoder, asked = WordEncoder(PATH), []
+    merges = encoder.merges
+    encoder.merges = lambda piece: asked.append(piece) or merges(piece)
+    monkeypatch.setattr(encoder, "letter_words", lambda words: [] if not words else pytest.fail("a text of joined words"))
+    monkeypatch.setattr(encoder, "ids", lambda words: [] if not words else pytest.fail("a word on its own"))
+    encoder.encode(["erbleon.&&& été, it's 12.5 %%% " * 3, "Été erbleon ,%%% " * 2])
+    assert asked.count("it") == asked.count("%%%") == 1 and asked.count(".&&&") == 1 and asked.count("erbleon") < 3
+
+
+def test_groups_of_texts_hang_on_their_bytes():
+    texts = pa.array(["a" * 10, None, "é" * 5, "b" * 25, "", "c"])
+    assert text_groups(texts, 20) == [(0, 3), (3, 1), (4, 2)] and text_groups(texts, 1 << 20) == [(0, 6)]
+    assert text_groups(texts[2:], 20) == [(0, 2), (2, 2)] and text_groups(texts[:0], 20) == []
+
+
 def check_plan(counts, capacity, bins=packing.BINS):
     plan, sequences = packing.plan_sequences(counts, capacity, bins)
     spans = defaultdict(list)
