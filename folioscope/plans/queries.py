@@ -1346,10 +1346,10 @@ def ingest_stream(spark, sf_dir):
     bounds = [F.lit(True), *[F.col("doc_id") > e for e in ends]]
     bounds = [low & ~high for low, high in zip(bounds, [*bounds[1:], F.lit(False)])]
     ingest.start_corpus(cleaned_and_mapped(docs.filter(bounds[0])), f"{base}/corpus")
-    for load in [*bounds[1:], bounds[0]]:  # small loads that come in one after the other
-        docs.filter(load).coalesce(1).write.mode("append").parquet(f"{base}/loads")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/loads")
-    ingest.ingest_stream(stream, f"{base}/corpus", f"{base}/checkpoint", cleaned_and_mapped).awaitTermination()
+    for load in [*bounds[1:], bounds[0]]:  # loads that come in one after the other, each written by all tasks and taken in as one batch
+        docs.filter(load).write.mode("append").parquet(f"{base}/loads")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/loads")
+        ingest.ingest_stream(stream, f"{base}/corpus", f"{base}/checkpoint", cleaned_and_mapped).awaitTermination()
     return digest(ingest.read_corpus(spark, f"{base}/corpus"))
 
 

@@ -107,3 +107,20 @@ def test_nothing_to_take_in(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     ingest.ingest_stream(Source(spark, tmp_path / "in").stream(), f"{tmp_path}/corpus", f"{tmp_path}/cp").awaitTermination()
     assert ingest.read_corpus(spark, f"{tmp_path}/corpus").collect() == []
+
+
+def test_query_writes_loads_by_all_tasks_and_takes_each_in_as_one_batch(spark, tmp_path, monkeypatch):
+    from folioscope.plans import queries
+
+    rows = [(i, f"invoice number {i % 300} for goods" if i % 7 else None, "web") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, parts in (("one", 1), ("four", 4)):
+        docs.repartition(parts).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    found = {}
+    for name in ("one", "four"):
+        monkeypatch.setattr(queries, "scratch_dir", lambda spark, purpose: f"{tmp_path}/{name}/scratch")
+        found[name] = sorted(map(tuple, queries.ingest_stream(spark, f"{tmp_path}/{name}").collect()))
+    assert found["one"] == found["four"] and found["one"]
+    files = [f for f in os.listdir(f"{tmp_path}/four/scratch/loads") if f.endswith(".parquet")]
+    batches = [f for f in os.listdir(f"{tmp_path}/four/scratch/checkpoint/commits") if f.isdigit()]
+    assert len(files) > 2 * queries.LOADS and len(batches) == queries.LOADS
