@@ -12,16 +12,23 @@ from folioscope.functions.patterns import let_sql
 
 BROADCAST_ROWS = 10_000
 SALTS = 64
+# Rows dealt anew by ``spread``: at least so many a task, and at most so many tasks a core.
+ROWS_PER_TASK = 50_000
+TASKS_PER_CORE = 4
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small, hardly split input over all cores; larger inputs are left alone.
+    """Rows over all cores where the tasks that read them would not share them evenly; other inputs are left alone.
 
-    Pattern matching is heavy per row, and a table that is one file split would otherwise be
-    worked on by a single core.
+    Pattern matching is heavy per row, and a file is split by bytes but read by row groups: a table in one or a few row
+    groups is worked on by as many cores, however many splits it has. The rows per split come from the files' footers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    rows, rounds = sum(sizes), math.ceil(len(sizes) / cores)
+    if rounds * max(sizes, default=0) * cores <= 1.25 * rows:
+        return df
+    return df.repartition(cores * min(max(rows // (cores * ROWS_PER_TASK), 1), TASKS_PER_CORE), key)
 
 
 def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
