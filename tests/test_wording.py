@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import amounts, patterns, rules, wording
 from folioscope.functions import lexicon as lx
 from folioscope.functions.text import clean_text_multilingual
+from folioscope.plans.business_docs import evidence_scores
 
 
 def texts(n=120):
@@ -63,3 +64,24 @@ def test_amounts_and_words_keep_their_values(apply):
     step = lambda c: patterns.collapse_blanks(patterns.replace_all(F.lower(F.coalesce(c, F.lit(""))), r"[^\w\s\x{600}-\x{6FF}]", " "))
     rows = ["A  b c", " x!!\n y ", "½ é_", "\x1c.", "", None, "a​b"]
     assert apply(clean_text_multilingual, rows) == apply(step, rows)
+
+
+def test_one_search_answers_points_flags_and_markers(apply):
+    rows = texts()
+    read = apply(lambda c: rules.wording(c, points=True), rows)
+    points = apply(lambda c: rules.rule_points(F.lower(c)), rows)
+    flags = apply(rules.evidence, rows)
+    markers = {k: patterns.sql_any("t", p) for k, p in lx.FORCING_MARKERS.items()}
+    marks = apply(lambda c: patterns.let_sql(F.lower(c), f"struct({', '.join(f'{t} as {k}' for k, t in markers.items())})"), rows)
+    for r, p, f, m in zip(read, points, flags, marks):
+        got = r.asDict() if r else {}
+        want = {f"points_{k}": v for k, v in (p.asDict() if p else {}).items()} | (f.asDict() if f else {})
+        want |= {f"marker_{k}": v for k, v in (m.asDict() if m else {}).items()}
+        assert all(got.get(k) == v for k, v in want.items())
+
+
+def test_all_score_steps_ask_one_question_of_a_text(spark):
+    docs = spark.range(1).selectExpr("id as doc_id", "'a' as label", "cast(id as string) as text")
+    rows = evidence_scores(docs).select(rules.predict(F.col("text"), F.col("scores"), read=F.col("read")).alias("p"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("arrowevalpython") == 1 and "rlike" not in plan
