@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -87,6 +88,45 @@ def term_counts(terms: Column) -> Column:
     return let(ordered, lambda t: F.when(F.size(t) > 0, runs(t)))
 
 
+def count_terms(stopwords: Iterable[str] = (), most: int = 100_000):
+    """Batches of (id, lower-cased text) to rows (id, term, tf) of the terms of :func:`grams`, some ``most`` rows at a time.
+
+    The worker imports only the standard library and pyarrow, so the function can be shipped without this package.
+    """
+    dropped = frozenset(stopwords)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+        from collections import Counter
+
+        import pyarrow as pa
+
+        words = re.compile(r"\w{2,}").findall
+
+        def rows(ids, at, terms, uses):
+            columns = [ids.take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(uses, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf"])
+
+        for batch in batches:
+            ids, at, terms, uses = batch.column(0), [], [], []
+            for i, text in enumerate(batch.column(1)):
+                if (t := text.as_py()) is None:
+                    continue
+                found = [w for w in words(t) if w not in dropped] if dropped else words(t)
+                counts = Counter(found)
+                counts.update(map(" ".join, zip(found, found[1:])))
+                at += [i] * len(counts)
+                terms += counts
+                uses += counts.values()
+                if len(terms) >= most:
+                    yield rows(ids, at, terms, uses)
+                    at, terms, uses = [], [], []
+            if terms:
+                yield rows(ids, at, terms, uses)
+
+    return count
+
+
 def tfidf_features(
     df: DataFrame,
     row_id: str = "doc_id",
@@ -97,12 +137,13 @@ def tfidf_features(
 ) -> DataFrame:
     """(id, term, weight): sublinear tf times smoothed idf, each document at unit length.
 
-    A row is a document and its id is unique. Terms are counted inside the row, so no text is shuffled: what moves is one row
-    per term and map task for the document frequencies, and ids with term numbers and weights for the norms. The
-    vocabulary has at most ``max_features`` rows, which bounds what is broadcast.
+    A row is a document and its id is unique. Terms are counted where the text is read, so no text is shuffled: what moves is
+    one row per term and map task for the document frequencies, and ids with term numbers and weights for the norms. The
+    vocabulary has at most ``max_features`` rows, which bounds what is broadcast; it is worked out when this is called.
     """
-    counted = term_counts(grams(F.col("text"), stopwords))
-    counts = df.select(F.col(row_id).alias("id"), F.inline(counted))
+    texts = df.select(F.col(row_id).alias("id"), F.lower("text").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    counts = texts.mapInArrow(count_terms(stopwords), f"id {kind}, term string, tf bigint")
     docs = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = (
         counts.groupBy("term")
@@ -114,6 +155,7 @@ def tfidf_features(
         .select("term", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
     numbered = vocabulary.select("term", "idf", (F.row_number().over(W.orderBy("term"))).alias("number"))  # max_features rows
+    numbered = kept(numbered, "vocabulary")  # joined twice, counted once
     weighted = counts.join(F.broadcast(numbered), "term").select(
         "id", "number", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )

@@ -124,3 +124,20 @@ def test_classified_documents_follow_model_and_rules(spark):
         assert r.decision.document_type == (r.hybrid.final_prediction if sure else r.rule)
         if r.rule != lx.UNKNOWN_TYPE:
             assert r.final_prediction == r.rule
+
+
+@pytest.mark.parametrize("stopwords", [(), ("aa", "été")])
+def test_terms_of_batches_equal_those_of_single_expressions(spark, stopwords):
+    texts = [None, "", "a", "aa", "Aa aa AA bb", "été aa\tété_1 ٣٤ x فاتورة رقم", "K ſſ ß \x1c 𝔘𝔘 ½½ 中文", "aa " * 5000 + "bb"]
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "id long, text string").repartition(2)
+    rows = df.select("id", F.lower("text").alias("text")).mapInArrow(training.count_terms(stopwords, most=7), "id long, term string, tf bigint")
+    want = df.select("id", F.inline(training.term_counts(training.grams(F.col("text"), stopwords))))
+    assert rows.count() == want.count() and rows.exceptAll(want).isEmpty()
+
+
+def test_the_vocabulary_is_counted_once(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (2, "aa cc aa"), (2, "aa"), (None, "aa cc")], "doc_id long, text string")
+    weights = training.tfidf_features(df, min_df=1, max_df=1.0)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("mapinarrow") == 1
+    assert weights.filter("term = 'aa'").count() == 4
